@@ -80,3 +80,21 @@ def which_max(df: DataFrame, value: str, pos: str, keys=()) -> DataFrame:
 def offset_limit(df: DataFrame, order_cols, offset: int, limit: int) -> DataFrame:
     """skip ``offset`` rows of the order, take ``limit``."""
     return df.orderBy(*_order(order_cols)).offset(offset).limit(limit)
+
+
+def group_rank(df: DataFrame, group_cols, order_cols, out: str = "rn") -> DataFrame:
+    """1-based rank inside each group for limits that are not one literal
+    (per-key quotas, class-size-dependent samples).
+
+    ``orderBy(group..., order...)`` range-partitions the rows, so a group
+    holding a third of the data is spread over many tasks; the rank inside
+    the group is the global rank minus the group's first global rank (one
+    partial-aggregated row per group, joined back)."""
+    group_cols = list(group_cols)
+    r = global_rank(df, [*group_cols, *order_cols], out="_g")
+    first = r.groupBy(*group_cols).agg(F.min("_g").alias("_g0"))
+    first = first.select(*[F.col(c).alias(f"_k_{c}") for c in group_cols], "_g0")
+    cond = [r[c].eqNullSafe(first[f"_k_{c}"]) for c in group_cols]
+    j = r.join(first, cond)
+    return (j.withColumn(out, F.col("_g") - F.col("_g0") + 1)
+            .drop("_g", "_g0", *[f"_k_{c}" for c in group_cols]))
