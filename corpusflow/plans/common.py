@@ -36,3 +36,23 @@ def portable_key(id_col, seed: int):
 
 def portable_key_sql(id_col: str, seed: int) -> str:
     return f"(({id_col} * 7919 + {seed * 104729}) % 1000003)"
+
+
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Deterministic stand-in classifier output over labelled documents:
+    score = (doc_id * 37 mod 101) / 101, p_high = logistic(6 * score - 3),
+    pred = 'high' when p_high >= 0.5; gold from labels.quality."""
+    lab = labelled_documents(spark, sf, inner=True)
+    score = (F.col("doc_id") * 37 % 101) / 101.0
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(score * 6 - 3)))
+    return lab.select("doc_id", "source", "lang", F.col("label").alias("gold"), score.alias("score"),
+                      p.alias("p_high"), F.when(score >= 0.5, "high").otherwise("low").alias("pred"))
+
+
+PRED_SQL = """
+SELECT d.doc_id, d.source, d.lang, CASE WHEN l.quality = 1 THEN 'high' ELSE 'low' END AS gold,
+       (d.doc_id * 37 % 101) / 101.0 AS score,
+       1.0 / (1.0 + exp(-(((d.doc_id * 37 % 101) / 101.0) * 6 - 3))) AS p_high,
+       CASE WHEN (d.doc_id * 37 % 101) / 101.0 >= 0.5 THEN 'high' ELSE 'low' END AS pred
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+"""
