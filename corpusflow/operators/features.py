@@ -15,19 +15,27 @@ from pyspark.sql import Window
 from ..functions import text as tx
 
 
+_SEP = "\u0001"
+
+
 def ngram_array(tokens, n_max: int = 2, n_min: int = 1) -> Column:
-    """All n-grams (space-joined) for n_min <= n <= n_max, in position order
-    within each n."""
+    """All n-grams (space-joined) for n_min <= n <= n_max.
+
+    The token array is referenced only at the top level: a reference inside
+    a lambda would be inlined by the optimizer and re-run the tokenizer once
+    per array element.  Longer n-grams come from one regex pass over the
+    tokens joined by U+0001 (a look-ahead captures each window of n
+    tokens)."""
     toks = tokens if isinstance(tokens, Column) else F.col(tokens)
     parts = []
+    joined = F.array_join(toks, _SEP)
     for n in range(n_min, n_max + 1):
         if n == 1:
             parts.append(toks)
         else:
-            idx = F.sequence(F.lit(1), F.size(toks) - n + 1)
-            parts.append(F.when(F.size(toks) >= n, F.transform(
-                idx, lambda i, n=n: F.array_join(F.slice(toks, i, n), " ")))
-                .otherwise(F.array().cast("array<string>")))
+            pat = "(?:^|" + _SEP + ")(?=((?:[^" + _SEP + "]+" + _SEP + "){" + str(n - 1) + "}[^" + _SEP + "]+))"
+            grams = F.regexp_extract_all(joined, F.lit(pat), 1)
+            parts.append(F.transform(grams, lambda g: F.translate(g, _SEP, " ")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
@@ -153,3 +161,32 @@ def lexicon_matches(tokens_df: DataFrame, lexicon: DataFrame, token_col: str = "
     b = tokens_df.join(F.broadcast(prefix), tokens_df[token_col].startswith(prefix["stem"])) \
         .drop("stem")
     return a.unionByName(b)
+
+
+def cooccurrences(docs: DataFrame, text_col: str = "text", min_df=0.01, max_df=0.99,
+                  doc_col: str = "doc_id") -> DataFrame:
+    """Ordered token pairs ``a-b`` (a before b, repeats counted) of
+    lower-cased ``\\w\\w+`` tokens, df-cut.
+
+    The pair table *is* the feature matrix, so distinct pairs per document
+    are produced; occurrence pairs are not.  Two exact reductions come
+    first: a pair's df never exceeds its tokens' df, so tokens below min_df
+    are dropped before pairing; and each document's token occurrences are
+    folded into one sorted position list per distinct token, so the pair
+    count is sum over b's positions of (a positions before it), computed
+    inside the row instead of as one row per occurrence pair."""
+    n = docs.select(F.count(F.lit(1))).scalar()
+    lo, hi = df_bounds(n, min_df, max_df)
+    toks = docs.select(F.col(doc_col).alias("doc_id"),
+                       F.posexplode(tx.regex_tokens(F.lower(F.col(text_col)), "word2")).alias("pos", "tok"))
+    per = toks.groupBy("doc_id", "tok").agg(F.sort_array(F.collect_list("pos")).alias("ps"))
+    keep = per.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= lo).select("tok")
+    per = per.join(keep, "tok", "left_semi")
+    a = per.select("doc_id", F.col("tok").alias("a"), F.col("ps").alias("pa"))
+    b = per.select("doc_id", F.col("tok").alias("b"), F.col("ps").alias("pb"))
+    pairs = a.join(b, "doc_id")
+    cnt = F.aggregate("pb", F.lit(0).cast("long"),
+                      lambda acc, j: acc + F.size(F.filter("pa", lambda i: i < j)).cast("long"))
+    long = (pairs.select("doc_id", F.concat_ws("-", "a", "b").alias("term"), cnt.alias("value"))
+            .where(F.col("value") > 0))
+    return df_cut(long, n, min_df, max_df)
