@@ -1,3 +1,470 @@
-"""Registered queries."""
+"""Model, sampling and study queries.
+
+Sampling queries use the portable hash so DuckDB can check them exactly.
+Model fits are distributed Spark ML fits; their outputs depend on the
+optimiser, so they are registered without SQL (rows-only) except for naive
+Bayes and chi-squared, which are computed exactly in the long form.
+"""
 
 from __future__ import annotations
+
+import time
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import models as md
+from ..operators import sampling as sp
+from ..operators.aggregate import histogram, quantiles, log_loss, hmean_row, binned_accuracy
+from ..operators.features import term_counts
+from ..operators.timeseries import running_stats
+from ..sources.tables import table
+from .common import labelled_documents
+from .registry import query
+
+W2 = r"'[\p{L}\p{N}_]{2,}'"
+LAB_SQL = """
+SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'high' ELSE 'low' END AS label
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+
+
+def _r(c, n=6):
+    return F.round(c, n)
+
+
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents with word tokens and a 0/1 label id (high = 1)."""
+    c = labelled_documents(spark, sf, inner=True)
+    return c.select("doc_id", "label", (F.col("label") == "high").cast("double").alias("label_id"),
+                    tx.regex_tokens(F.lower("text"), "word2").alias("tokens"), "source")
+
+
+def _vectors(spark, sf, min_df=2.0, vocab_size=1 << 18):
+    c = corpus(spark, sf)
+    v, m = md.count_vectors(c, "tokens", vocab_size=vocab_size, min_df=min_df)
+    return v, m
+
+
+# Sampling -------------------------------------------------------------------------
+@query("I22", sql=f"""
+WITH c AS ({LAB_SQL}), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM c),
+n AS (SELECT count(*) AS n FROM c),
+dr AS (SELECT rep, j FROM range(0, 20) a(rep), range(0, (SELECT CAST(floor(n * 0.5) AS BIGINT) FROM n)) b(j)),
+h AS (SELECT rep, ((rep * 7919 + j * 104729 + 0 * 1299709) % 1000003) % (SELECT n FROM n) AS idx FROM dr)
+SELECT CAST(h.rep AS BIGINT) AS replicate, r.doc_id, count(*) AS weight FROM h JOIN r ON h.idx = r.idx GROUP BY 1, 2
+""")
+def i22_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    c = corpus(spark, sf).select("doc_id")
+    return sp.bootstrap_weights(c, "doc_id", n_iter=20, proportion=0.5, seed=0)
+
+
+@query("I23", sql=f"""
+WITH c AS ({LAB_SQL}),
+g AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY ((doc_id * 7919 + 3 * 104729) % 1000003), doc_id) AS rn FROM c),
+m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM c GROUP BY label))
+SELECT doc_id, label FROM g, m WHERE rn <= m.m
+""")
+def i23_balance(spark: SparkSession, sf: str) -> DataFrame:
+    return sp.balance(corpus(spark, sf), "label", "doc_id", seed=3).select("doc_id", "label")
+
+
+@query("I24", sql=f"""
+WITH c AS ({LAB_SQL}),
+g AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY ((doc_id * 7919 + 5 * 104729) % 1000003), doc_id) AS rn FROM c)
+SELECT doc_id, label FROM g WHERE rn <= 50
+""")
+def i24_fixed_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return sp.balance(corpus(spark, sf), "label", "doc_id", seed=5, per_class=50).select("doc_id", "label")
+
+
+@query("I25", sql=f"""
+WITH c AS ({LAB_SQL}), s AS (SELECT c.*, CAST(split AS BIGINT) AS split FROM c, range(0, 3) t(split)),
+g AS (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY ((doc_id * 7919 + 7 * 104729 + split * 1299709) % 1000003), doc_id) AS rn,
+             count(*) OVER (PARTITION BY split, label) AS n FROM s)
+SELECT split, doc_id, label, rn <= ceil(0.25 * n) AS is_test FROM g
+""")
+def i25_stratified(spark: SparkSession, sf: str) -> DataFrame:
+    s = sp.stratified_split(corpus(spark, sf), "label", "doc_id", test_size=0.25, n_iter=3, seed=7)
+    return s.select("split", "doc_id", "label", "is_test")
+
+
+@query("I26", sql="SELECT doc_id, CAST(((doc_id * 7919 + 11 * 104729) % 1000003) % 10 AS INT) AS fold FROM documents")
+def i26_kfold(spark: SparkSession, sf: str) -> DataFrame:
+    return sp.kfold(table(spark, sf, "documents").select("doc_id"), "doc_id", 10, seed=11)
+
+
+# I20 / I29 (exact, long form) ------------------------------------------------------
+@query("I20", sql=rf"""
+WITH c AS ({LAB_SQL}),
+d AS (SELECT doc_id, label, ((doc_id * 7919 + 0 * 104729) % 1000003) % 10 AS fold FROM c),
+t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {W2})) AS term FROM documents WHERE doc_id IN (SELECT doc_id FROM c)),
+L0 AS (SELECT doc_id, term, count(*) AS value FROM t GROUP BY doc_id, term),
+L AS (SELECT L0.*, d.label, d.fold FROM L0 JOIN d ON L0.doc_id = d.doc_id),
+V AS (SELECT count(DISTINCT term) AS V FROM L0),
+N AS (SELECT count(*) AS n FROM d),
+grid AS (SELECT DISTINCT d1.fold, d2.label AS c FROM d d1, d d2),
+fc AS (SELECT g.fold, g.c,
+         ln(((SELECT count(*) FROM d WHERE label = g.c) - (SELECT count(*) FROM d WHERE label = g.c AND fold = g.fold))
+            / ((SELECT n FROM N) - (SELECT count(*) FROM d WHERE fold = g.fold))) AS log_prior,
+         (SELECT coalesce(sum(value), 0) FROM L WHERE label = g.c)
+           - (SELECT coalesce(sum(value), 0) FROM L WHERE label = g.c AND fold = g.fold) + (SELECT V FROM V) AS denom
+       FROM grid g),
+ct AS (SELECT label AS c, term, sum(value) AS n_ct FROM L GROUP BY 1, 2),
+ctf AS (SELECT fold, label AS c, term, sum(value) AS n_fct FROM L GROUP BY 1, 2, 3),
+test AS (SELECT L.doc_id, L.fold, L.term, L.value, cl.c FROM L, (SELECT DISTINCT label AS c FROM d) cl),
+s AS (SELECT test.doc_id, test.fold, test.c, fc.log_prior,
+             sum(test.value * ln((coalesce(ct.n_ct, 0) - coalesce(ctf.n_fct, 0) + 1) / fc.denom)) AS ll
+      FROM test LEFT JOIN ct ON test.c = ct.c AND test.term = ct.term
+      LEFT JOIN ctf ON test.fold = ctf.fold AND test.c = ctf.c AND test.term = ctf.term
+      JOIN fc ON test.fold = fc.fold AND test.c = fc.c GROUP BY 1, 2, 3, 4),
+p AS (SELECT doc_id, fold, arg_max(c, (ll + log_prior, c)) AS pred FROM s GROUP BY 1, 2)
+SELECT CAST(p.fold AS INT) AS fold, count(*) AS n, sum(CAST(p.pred = d.label AS BIGINT)) AS correct,
+       round(avg(CAST(p.pred = d.label AS DOUBLE)), 6) AS accuracy
+FROM p JOIN d ON p.doc_id = d.doc_id GROUP BY 1
+""")
+def i20_naive_bayes(spark: SparkSession, sf: str) -> DataFrame:
+    c = corpus(spark, sf)
+    long = term_counts(c.select("doc_id", "tokens"), F.col("tokens"))
+    r = md.naive_bayes_cv(long, c.select("doc_id", "label"), k=10, seed=0)
+    return r.select("fold", "n", "correct", _r(F.col("accuracy")).alias("accuracy"))
+
+
+@query("I29", sql=rf"""
+WITH c AS ({LAB_SQL}),
+t AS (SELECT c.doc_id, c.label, unnest(regexp_extract_all(lower(d.text), {W2})) AS term FROM c JOIN documents d ON c.doc_id = d.doc_id),
+sh AS (SELECT label AS c, count(*) / (SELECT count(*) FROM c) AS p FROM c GROUP BY label),
+obs AS (SELECT label AS c, term, count(*) AS o FROM t GROUP BY 1, 2),
+tot AS (SELECT term, count(*) AS t FROM t GROUP BY term),
+x AS (SELECT tot.term, sum(power(coalesce(obs.o, 0) - sh.p * tot.t, 2) / (sh.p * tot.t)) AS chi2
+      FROM tot, sh LEFT JOIN obs ON obs.c = sh.c AND obs.term = tot.term GROUP BY tot.term)
+SELECT term, round(chi2, 6) AS chi2 FROM x ORDER BY chi2 DESC, term LIMIT 20
+""")
+def i29_chi2(spark: SparkSession, sf: str) -> DataFrame:
+    c = corpus(spark, sf)
+    long = term_counts(c.select("doc_id", "tokens"), F.col("tokens"))
+    s = md.chi2_scores(long, c.select("doc_id", "label"))
+    return s.select("term", _r(F.col("chi2")).alias("chi2")).orderBy(F.desc("chi2"), "term").limit(20)
+
+
+# I28 ---------------------------------------------------------------------------
+@query("I28", sql="""
+SELECT d.source AS name, 'Corpus ' || d.source AS title, count(*) AS n_docs, count(l.doc_id) AS n_labelled
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source
+""")
+def i28_corpora(spark: SparkSession, sf: str) -> DataFrame:
+    c = labelled_documents(spark, sf)
+    return c.groupBy(F.col("source").alias("name")).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count("quality").alias("n_labelled")) \
+        .withColumn("title", F.concat(F.lit("Corpus "), F.col("name")))
+
+
+# D19 ---------------------------------------------------------------------------
+@query("D19", sql="""
+WITH x AS (SELECT vec_id, CAST(i AS BIGINT) AS i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(0, 64) t(i))
+SELECT a.i, b.i AS j, round(covar_samp(a.v, b.v), 5) AS cov, round(corr(a.v, b.v), 5) AS corr
+FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.i, b.i
+""")
+def d19_covariance(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+    e = table(spark, sf, "embeddings").select(array_to_vector(
+        F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    m = md.correlation_matrix(e)
+    return m.select("i", "j", _r(F.col("cov"), 5).alias("cov"), _r(F.col("corr"), 5).alias("corr"))
+
+
+# Logistic models ---------------------------------------------------------------------
+@query("I17")
+def i17_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    v, _ = _vectors(spark, sf)
+    split = sp.stratified_split(v, "label", "doc_id", test_size=0.2, seed=1).select("doc_id", "is_test")
+    v = v.join(split, "doc_id")
+    train, test = v.where(~F.col("is_test")), v.where(F.col("is_test"))
+    n = train.count()
+    rows = []
+    for pen in ("l2", "l1"):
+        m = md.logistic(pen, 1.0, n).fit(train)
+        acc = m.transform(test).select(md.accuracy(test)).first()[0]
+        nz = int(sum(1 for x in m.coefficients.toArray() if x != 0))
+        rows.append((pen, n, float(acc), nz))
+    return spark.createDataFrame(rows, "penalty string, n_train long, accuracy double, n_nonzero long")
+
+
+@query("I18")
+def i18_accuracy_on_rows(spark: SparkSession, sf: str) -> DataFrame:
+    v, _ = _vectors(spark, sf)
+    chosen = sp.balance(v.select("doc_id", "label"), "label", "doc_id", seed=2, per_class=20).select("doc_id")
+    train = v.join(chosen, "doc_id")
+    acc = md.fit_accuracy(train, v, md.logistic("l2", 1.0, 40))
+    return spark.createDataFrame([(40, float(acc))], "n_train long, accuracy double")
+
+
+@query("I19")
+def i19_linear_svc_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Perceptron stand-in: Spark ML has no linear perceptron; LinearSVC
+    (hinge loss, linear) over 10 shuffled folds."""
+    from pyspark.ml.classification import LinearSVC
+    v, _ = _vectors(spark, sf)
+    v = sp.kfold(v, "doc_id", 10, seed=4).persist()
+    rows = []
+    for f in range(10):
+        tr, te = v.where(F.col("fold") != f), v.where(F.col("fold") == f)
+        m = LinearSVC(featuresCol="features", labelCol="label_id", maxIter=50, regParam=0.01).fit(tr)
+        acc = m.transform(te).select(md.accuracy(te)).first()[0]
+        coefs = m.coefficients.toArray()
+        rows.append((f, float(acc or 0.0), float(sum(1 for x in coefs if x == 0) / max(len(coefs), 1))))
+    v.unpersist()
+    return spark.createDataFrame(rows, "fold int, accuracy double, sparsity double")
+
+
+def _bootstrap(spark, sf, n_iter=10, proportion=0.5, penalty="l2"):
+    v, m = _vectors(spark, sf)
+    coefs = md.bootstrap_coefs(v, n_iter=n_iter, proportion=proportion, penalty=penalty, seed=0)
+    return v, m, coefs
+
+
+@query("I21")
+def i21_bootstrap_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    v, m, coefs = _bootstrap(spark, sf)
+    c = corpus(spark, sf)
+    long = md.long_with_ids(term_counts(c.select("doc_id", "tokens"), F.col("tokens")), m.vocabulary)
+    p = md.predict_mean_coef(long, coefs)
+    return p.join(c.select("doc_id", "label"), "doc_id").select(
+        "doc_id", "label", "p0", "p1", F.when(F.col("p1") >= 0.5, "high").otherwise("low").alias("pred"))
+
+
+@query("E09")
+def e09_convergence(spark: SparkSession, sf: str) -> DataFrame:
+    v, m, coefs = _bootstrap(spark, sf)
+    mean = coefs.groupBy("term_id").agg(F.avg("coef").alias("m"))
+    top = mean.orderBy(F.desc("m")).limit(25).unionByName(mean.orderBy("m").limit(25)).select("term_id")
+    sel = coefs.join(F.broadcast(top), "term_id")   # 50 terms
+    return running_stats(sel, "coef", "replicate", ["term_id"]).select(
+        "term_id", "replicate", "running_mean", "running_var")
+
+
+@query("I31")
+def i31_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    v, m = _vectors(spark, sf)
+    split = sp.stratified_split(v, "label", "doc_id", test_size=0.2, n_iter=2, seed=9)
+    rows = []
+    for s in range(2):
+        sp_s = split.where(F.col("split") == s).select("doc_id", "is_test")
+        vv = v.join(sp_s, "doc_id")
+        tr, te = vv.where(~F.col("is_test")), vv.where(F.col("is_test"))
+        lr = md.logistic("l2", 1.0, tr.count()).fit(tr)
+        pr = lr.transform(te).select("label_id", "prediction",
+                                     F.get(md.vector_to_array("probability"), 1).alias("p1"))
+        best = F.greatest("p1", 1 - F.col("p1"))
+        r = pr.agg(md.accuracy(pr).alias("acc"), F.avg(best).alias("mean_best"),
+                   F.avg(F.when(F.col("label_id") != F.col("prediction"), hmean_row("p1", 1 - F.col("p1")))).alias("err_hmean")).first()
+        rows.append((s, "logistic", float(r["acc"]), float(r["mean_best"]), r["err_hmean"]))
+    return spark.createDataFrame(rows, "split int, model string, accuracy double, mean_best_proba double, error_hmean double")
+
+
+@query("I32")
+def i32_score_bins(spark: SparkSession, sf: str) -> DataFrame:
+    v, m = _vectors(spark, sf)
+    split = sp.stratified_split(v, "label", "doc_id", test_size=0.3, seed=12).select("doc_id", "is_test")
+    vv = v.join(split, "doc_id")
+    tr, te = vv.where(~F.col("is_test")), vv.where(F.col("is_test"))
+    lr = md.logistic("l2", 1.0, tr.count()).fit(tr)
+    pr = lr.transform(te).select("doc_id", "label_id", "prediction",
+                                 F.get(md.vector_to_array("probability"), 1).alias("p1"))
+    b = binned_accuracy(pr, "p1", F.col("label_id") == F.col("prediction"), "doc_id", 10)
+    ll = pr.select(log_loss(F.when(F.col("label_id") == 1, F.col("p1")).otherwise(1 - F.col("p1")))).scalar()
+    return b.withColumn("log_loss", ll)
+
+
+@query("I33")
+def i33_coef_study(spark: SparkSession, sf: str) -> DataFrame:
+    v, m, coefs = _bootstrap(spark, sf)
+    mean = coefs.groupBy("term_id").agg(F.avg("coef").alias("mean"), F.var_pop("coef").alias("var"))
+    h = histogram(mean, "mean", 20).select(F.lit("hist").alias("kind"), F.col("bin").cast("double").alias("x"),
+                                           F.col("n").cast("double").alias("y"))
+    q = quantiles(mean, "mean").select(F.lit("quantile").alias("kind"), F.col("q").alias("x"), F.col("value").alias("y"))
+    return h.unionByName(q)
+
+
+@query("I37")
+def i37_l1_bootstrap_hist(spark: SparkSession, sf: str) -> DataFrame:
+    v, m, coefs = _bootstrap(spark, sf, n_iter=5, proportion=1.0, penalty="l1")
+    mean = coefs.groupBy("term_id").agg(F.avg("coef").alias("mean"))
+    return histogram(mean, "mean", 20)
+
+
+@query("I30")
+def i30_self_train(spark: SparkSession, sf: str) -> DataFrame:
+    c = labelled_documents(spark, sf).select(
+        "doc_id", "label", (F.col("label") == "high").cast("double").alias("label_id"),
+        tx.regex_tokens(F.lower("text"), "word2").alias("tokens"))
+    v, cvm = md.count_vectors(c, "tokens", min_df=2.0)
+    lab, unl = v.where(F.col("label").isNotNull()), v.where(F.col("label").isNull())
+    m1 = md.logistic("l2", 1.0, lab.count()).fit(lab)
+    pseudo = m1.transform(unl).select("doc_id", "features", F.col("prediction").alias("label_id"))
+    m2 = md.logistic("l2", 1.0, pseudo.count()).fit(pseudo)
+    acc1 = m1.transform(lab).select(md.accuracy(lab)).first()[0]
+    acc2 = m2.transform(lab).select(md.accuracy(lab)).first()[0]
+    return spark.createDataFrame([("supervised", float(acc1)), ("self_trained", float(acc2))],
+                                 "model string, accuracy double")
+
+
+@query("I27")
+def i27_learning_curve(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml.classification import NaiveBayes
+    v, _ = _vectors(spark, sf)
+    v = v.persist()
+    rows = []
+    for train_n in (100, 200):
+        for s in range(2):
+            split = sp.stratified_split(v, "label", "doc_id", test_size=0.25, seed=20 + s).select("doc_id", "is_test")
+            vv = v.join(split, "doc_id")
+            tr = sp.balance(vv.where(~F.col("is_test")), "label", "doc_id", seed=s, per_class=train_n // 2)
+            te = vv.where(F.col("is_test"))
+            for name, est in (("logistic", md.logistic("l2", 1.0, train_n)),
+                              ("naive_bayes", NaiveBayes(featuresCol="features", labelCol="label_id", smoothing=1.0))):
+                t0 = time.time()
+                acc = te.transform(lambda d: est.fit(tr).transform(d)).select(md.accuracy(te)).first()[0]
+                rows.append((name, train_n, s, float(acc), round(time.time() - t0, 3)))
+    v.unpersist()
+    r = spark.createDataFrame(rows, "model string, train long, split int, accuracy double, elapsed double")
+    base = corpus(spark, sf).groupBy("label").count().select((F.max("count") / F.sum("count"))).scalar()
+    return r.groupBy("model", "train").agg(F.avg("accuracy").alias("accuracy"), F.avg("elapsed").alias("elapsed")) \
+        .withColumn("baseline", base) \
+        .withColumn("improvement", 1 - (1 - F.col("accuracy")) / (1 - F.col("baseline")))
+
+
+@query("D26")
+def d26_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml.classification import NaiveBayes
+    v, _ = _vectors(spark, sf)
+    split = sp.stratified_split(v, "label", "doc_id", test_size=0.1, n_iter=3, seed=30)
+    accs = []
+    for s in range(3):
+        vv = v.join(split.where(F.col("split") == s).select("doc_id", "is_test"), "doc_id")
+        tr, te = vv.where(~F.col("is_test")), vv.where(F.col("is_test"))
+        m = NaiveBayes(featuresCol="features", labelCol="label_id", smoothing=1.0).fit(tr)
+        accs.append(m.transform(te).select(md.accuracy(te)).first()[0])
+    return spark.createDataFrame([(3, float(sum(accs) / len(accs)))], "n_iter long, mean_accuracy double")
+
+
+# Topic models ----------------------------------------------------------------------
+def _topic_vectors(spark, sf, family="alpha", extra_stop=True, tfidf=True, vocab_size=5000):
+    d = table(spark, sf, "documents")
+    toks = tx.regex_tokens("text", family, lower=True, min_len=2 if family == "alpha" else None,
+                           max_len=15 if family == "alpha" else None)
+    if extra_stop:
+        toks = tx.drop_stopwords(toks, tx.TOPIC_EXTRA_STOPWORDS)
+    c = d.select("doc_id", "source", toks.alias("tokens"))
+    v, m = md.count_vectors(c, "tokens", vocab_size=vocab_size, min_df=2.0, out="tf")
+    if tfidf:
+        from pyspark.ml.feature import IDF
+        v = IDF(inputCol="tf", outputCol="features").fit(v).transform(v)
+    else:
+        v = v.withColumnRenamed("tf", "features")
+    return v, m
+
+
+@query("I12")
+def i12_lda(spark: SparkSession, sf: str) -> DataFrame:
+    v, m = _topic_vectors(spark, sf)
+    _, topics = md.lda_topics(v, m.vocabulary, k=5, max_iter=20)
+    return topics
+
+
+@query("I13")
+def i13_lda_hashwords(spark: SparkSession, sf: str) -> DataFrame:
+    v, m = _topic_vectors(spark, sf, family="hashword", tfidf=False)
+    _, topics = md.lda_topics(v, m.vocabulary, k=4, max_iter=20, optimize_doc_concentration=True)
+    return topics
+
+
+@query("I14")
+def i14_lda_per_label(spark: SparkSession, sf: str) -> DataFrame:
+    c = corpus(spark, sf)
+    out = None
+    for lab in ("high", "low"):
+        sub = c.where(F.col("label") == lab)
+        v, m = md.count_vectors(sub, "tokens", vocab_size=5000, min_df=1.0)
+        _, t = md.lda_topics(v, m.vocabulary, k=5, max_iter=20)
+        t = t.withColumn("label", F.lit(lab))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query("I16")
+def i16_doc_topics(spark: SparkSession, sf: str) -> DataFrame:
+    v, m = _topic_vectors(spark, sf)
+    model, _ = md.lda_topics(v, m.vocabulary, k=5, max_iter=20)
+    t = model.transform(v).select("doc_id", md.vector_to_array("topicDistribution").alias("d"))
+    return t.select("doc_id", (F.array_position("d", F.array_max("d")) - 1).alias("top_topic"),
+                    F.array_max("d").alias("top_weight"))
+
+
+@query("I15")
+def i15_pca(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml.feature import IDF, Normalizer, PCA
+    from ..operators.links import boilerplate_free
+    pages = table(spark, sf, "pages")
+    content = boilerplate_free(pages)
+    c = content.select("page_id", tx.regex_tokens("content", "word2", lower=True).alias("tokens"))
+    # PCA builds a d x d covariance on the driver: the vocabulary is capped
+    # to the 2000 most frequent terms (the reference's input had 2,118)
+    v, m = md.count_vectors(c, "tokens", vocab_size=2000, min_df=1.0, out="tf")
+    v = IDF(inputCol="tf", outputCol="idf").fit(v).transform(v)
+    v = Normalizer(inputCol="idf", outputCol="features", p=2.0).transform(v)
+    p = PCA(k=2, inputCol="features", outputCol="pc").fit(v).transform(v)
+    arr = md.vector_to_array("pc")
+    return p.select("page_id", arr[0].alias("pc1"), arr[1].alias("pc2"))
+
+
+# Hashtags as labels / out-of-corpus errors ---------------------------------------------
+@query("I35")
+def i35_hashtag_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Top-20 source tags as labels, at most 1000 texts per tag in arrival
+    order, the tag removed from its text, 10 folds of L2 logistic fits;
+    confusion counts and log loss per fold."""
+    from ..operators.ranking import top_k_per_group
+    d = table(spark, sf, "documents")
+    txt = F.concat(F.substring("text", 1, 200), F.lit(" #"), F.col("source"))
+    tagged = d.select("doc_id", txt.alias("t")).select("doc_id", "t", F.explode(tx.hashtags("t")).alias("tag"))
+    top = tagged.groupBy("tag").count().orderBy(F.desc("count"), "tag").limit(20).select("tag")
+    sel = tagged.join(F.broadcast(top), "tag")    # 20 rows
+    sel = top_k_per_group(sel, ["tag"], ["doc_id"], 1000, out="rn")
+    sel = sel.select("doc_id", "tag", tx.remove_tag("t", "tag").alias("t"))
+    from pyspark.ml.feature import StringIndexer
+    sel = StringIndexer(inputCol="tag", outputCol="label_id").fit(sel).transform(sel)
+    sel = sel.withColumn("tokens", tx.regex_tokens(F.lower("t"), "word2"))
+    v, _ = md.count_vectors(sel, "tokens", min_df=1.0)
+    v = sp.kfold(v, "doc_id", 10, seed=6).persist()
+    rows = []
+    for f in range(10):
+        tr, te = v.where(F.col("fold") != f), v.where(F.col("fold") == f)
+        m = md.logistic("l2", 1.0, tr.count(), max_iter=50).fit(tr)
+        pr = m.transform(te)
+        p_true = F.get(md.vector_to_array("probability"), F.col("label_id").cast("int"))
+        r = pr.agg(md.accuracy(pr).alias("acc"), log_loss(p_true).alias("ll")).first()
+        rows.append((f, float(r["acc"]), float(r["ll"])))
+    v.unpersist()
+    return spark.createDataFrame(rows, "fold int, accuracy double, log_loss double")
+
+
+@query("I36")
+def i36_out_of_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.models import feature_contributions
+    d = table(spark, sf, "documents")
+    u = d.where(F.col("source").isin("src0", "src1")).select(
+        "doc_id", "text", F.col("source").alias("label"),
+        (F.col("source") == "src1").cast("double").alias("label_id"),
+        tx.regex_tokens(F.lower("text"), "word2").alias("tokens"))
+    v, cvm = md.count_vectors(u, "tokens", min_df=1.0)
+    split = sp.stratified_split(v, "label", "doc_id", test_size=0.3, seed=8).select("doc_id", "is_test")
+    v = v.join(split, "doc_id")
+    tr, te = v.where(~F.col("is_test")), v.where(F.col("is_test"))
+    m = md.logistic("l2", 1.0, tr.count()).fit(tr)
+    wrong = m.transform(te).where(F.col("prediction") != F.col("label_id")).select("doc_id", "label", "prediction")
+    coefs = spark.createDataFrame([(t, float(c)) for t, c in zip(cvm.vocabulary, m.coefficients.toArray())],
+                                  "term string, coef double")
+    long = term_counts(u.select("doc_id", "tokens"), F.col("tokens"))
+    contrib = feature_contributions(long.join(wrong.select("doc_id"), "doc_id", "left_semi"), coefs)
+    return wrong.join(contrib, "doc_id").select("doc_id", "label", "prediction", "total", "n_terms")
