@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import time
 
+from pyspark import StorageLevel
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,8 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 def _vectors(spark, sf, min_df=2.0, vocab_size=1 << 18):
     c = corpus(spark, sf)
     v, m = md.count_vectors(c, "tokens", vocab_size=vocab_size, min_df=min_df)
-    return v, m
+    # every fit iterates over the vectors: keep them (recomputable) in memory/disk
+    return v.persist(StorageLevel.MEMORY_AND_DISK), m
 
 
 # Sampling -------------------------------------------------------------------------
@@ -209,7 +212,7 @@ def i19_linear_svc_folds(spark: SparkSession, sf: str) -> DataFrame:
     rows = []
     for f in range(10):
         tr, te = v.where(F.col("fold") != f), v.where(F.col("fold") == f)
-        m = LinearSVC(featuresCol="features", labelCol="label_id", maxIter=50, regParam=0.01).fit(tr)
+        m = LinearSVC(featuresCol="features", labelCol="label_id", maxIter=10, regParam=0.01).fit(tr)
         acc = m.transform(te).select(md.accuracy(te)).first()[0]
         coefs = m.coefficients.toArray()
         rows.append((f, float(acc or 0.0), float(sum(1 for x in coefs if x == 0) / max(len(coefs), 1))))
@@ -440,7 +443,7 @@ def i35_hashtag_labels(spark: SparkSession, sf: str) -> DataFrame:
     rows = []
     for f in range(10):
         tr, te = v.where(F.col("fold") != f), v.where(F.col("fold") == f)
-        m = md.logistic("l2", 1.0, tr.count(), max_iter=50).fit(tr)
+        m = md.logistic("l2", 1.0, tr.count(), max_iter=20).fit(tr)
         pr = m.transform(te)
         p_true = F.get(md.vector_to_array("probability"), F.col("label_id").cast("int"))
         r = pr.agg(md.accuracy(pr).alias("acc"), log_loss(p_true).alias("ll")).first()
