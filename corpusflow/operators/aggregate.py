@@ -25,7 +25,7 @@ def hmean(x) -> Column:
     """D09 aggregate: harmonic mean, NULL (NaN in the reference) when any
     value is <= 0."""
     v = _c(x).cast("double")
-    return F.when(F.min(v) > 0, F.count(v) / F.sum(F.lit(1.0) / v))
+    return F.when(F.min(v) > 0, F.count(v) / F.sum(F.try_divide(F.lit(1.0), v)))
 
 
 def hmean_row(*xs) -> Column:
