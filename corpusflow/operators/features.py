@@ -8,6 +8,7 @@ shuffle on the grouping keys after map-side partial aggregation.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -82,6 +83,9 @@ def ngrams(docs: DataFrame, text_col: str = "text", ngram_max: int = 2, min_df=2
     toks = tx.social_tokens(F.lower(F.col(text_col)))
     long = term_counts(docs.select(F.col(doc_col).alias("doc_id"), toks.alias("t")),
                        ngram_array(F.col("t"), ngram_max))
+    # read twice (df and the cut): keep the aggregated counts instead of
+    # tokenizing twice; lost blocks are recomputed from lineage
+    long = long.persist(StorageLevel.MEMORY_AND_DISK)
     n = docs.select(F.count(F.lit(1))).scalar()
     return df_cut(long, n, min_df, max_df)
 

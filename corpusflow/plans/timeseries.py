@@ -177,14 +177,25 @@ SELECT bin_idx, term, CAST(volume AS BIGINT) AS volume,
        round(volume / sum(volume) OVER (PARTITION BY bin_idx), 6) AS share FROM d
 """)
 def e11_volume_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens are binned and counted per (bin, term) in one pass; the term
+    ranking (6th..15th by total, all rows counted) reads that aggregate, so
+    the text is tokenized once."""
+    from pyspark import StorageLevel
     docs = labelled_documents(spark, sf)
-    toks = docs.select("published", F.explode(tx.regex_tokens(F.lower("text"), "word2")).alias("term"))
-    tot = toks.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    p = ts.grid_params(docs, "published", 7, "D")
+    start, n_edges = p.select("start").scalar(), p.select("n_edges").scalar()
+    rows = docs.select(ts.bin_index(F.col("published"), start, n_edges, 7, "D").alias("bin_idx"),
+                       F.explode(tx.regex_tokens(F.lower("text"), "word2")).alias("term"))
+    agg = rows.groupBy("bin_idx", "term").agg(F.count(F.lit(1)).alias("n")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    tot = agg.groupBy("term").agg(F.sum("n").alias("n"))
     # ranks 6..15: distributed top-k (each partition keeps 15 rows)
     sel = tot.orderBy(F.desc("n"), F.asc("term")).offset(5).limit(10).select("term")
-    picked = toks.join(F.broadcast(sel), "term")   # sel holds exactly 10 rows
-    b = ts.binned_statistic(picked, "published", "term", None, 7, "D", stats=("count",))
-    s = ts.share_per_bin(b.withColumnRenamed("count", "volume"), "bin_idx", "volume")
+    picked = agg.where(F.col("bin_idx").isNotNull()).join(F.broadcast(sel), "term")   # sel: 10 rows
+    grid = sel.select("term", F.explode(F.sequence(F.lit(0).cast("long"), (n_edges - 2).cast("long"))).alias("bin_idx"))
+    d = grid.join(picked, ["bin_idx", "term"], "left").select(
+        "bin_idx", "term", F.coalesce(F.col("n"), F.lit(0)).alias("volume"))
+    s = ts.share_per_bin(d, "bin_idx", "volume")
     return s.select("bin_idx", "term", F.col("volume").cast("long").alias("volume"),
                     _r(F.col("share")).alias("share"))
 
