@@ -46,11 +46,35 @@ def normalise(df: DataFrame, value_col: str, out: str = "dist") -> DataFrame:
     return df.withColumn(out, F.col(value_col) / tot)
 
 
+def exact_quantiles(df: DataFrame, value_col: str, qs) -> DataFrame:
+    """Exact quantiles with linear interpolation (as ``percentile``) from
+    order statistics: a distributed rank picks the rows at floor and ceil of
+    (n - 1) q, so no task holds more than its range partition.  Returns one
+    row with an array ``v`` aligned with ``qs``."""
+    v = df.select(F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    n = v.select(F.count(F.lit(1))).scalar()
+    r = global_rank(v, ["_v"], out="_r", start=0)
+    hs = [(n - 1) * F.lit(float(q)) for q in qs]
+    wanted = None
+    for h in hs:
+        c = (F.col("_r") == F.floor(h)) | (F.col("_r") == F.ceil(h))
+        wanted = c if wanted is None else wanted | c
+    picked = r.where(wanted)
+    vals = []
+    for h in hs:
+        lo = F.max(F.when(F.col("_r") == F.floor(h), F.col("_v")))
+        hi = F.max(F.when(F.col("_r") == F.ceil(h), F.col("_v")))
+        vals.append(lo + (h - F.floor(h)) * (hi - lo))
+    return picked.agg(F.array(*vals).alias("v"))
+
+
 def per_author(df: DataFrame, author: Column, q: float = 0.99) -> DataFrame:
     """Documents per author; mean; exact q-percentile (linear);
     mean over authors strictly below it; number of authors excluded."""
     per = df.groupBy(author.alias("author")).agg(F.count(F.lit(1)).alias("n"))
-    p = per.select(F.percentile("n", q).alias("p")).scalar()
+    # the rank uses partition positions (non-deterministic for the analyser),
+    # so the single number comes back as a literal
+    p = F.lit(exact_quantiles(per, "n", [q]).first()["v"][0])
     return per.agg(F.avg("n").alias("mean_docs"), F.first(p).alias("p99"),
                    F.avg(F.when(F.col("n") < p, F.col("n"))).alias("mean_below"),
                    F.count_if(F.col("n") >= p).alias("n_excluded"),
@@ -123,8 +147,8 @@ def binned_accuracy(df: DataFrame, score: str, correct: Column, key: str, n_bins
 def quartile_accuracy(df: DataFrame, score: str, correct: Column) -> DataFrame:
     """Quartile bin = number of edges (0, .25, .5, .75 percentiles)
     <= score; accuracy per bin and for extreme (1, 4) vs middle (2, 3)."""
-    edges = df.select(F.percentile(score, [0.0, 0.25, 0.5, 0.75]).alias("e")).scalar()
-    below = [F.when(F.element_at(edges, i + 1) <= F.col(score), 1).otherwise(0) for i in range(4)]
+    edges = exact_quantiles(df, score, [0.0, 0.25, 0.5, 0.75]).first()["v"]   # four numbers
+    below = [F.when(F.lit(edges[i]) <= F.col(score), 1).otherwise(0) for i in range(4)]
     q = df.withColumn("_ok", correct.cast("double")).withColumn(
         "quartile", (below[0] + below[1] + below[2] + below[3]).cast("long"))
     per = q.groupBy(F.concat(F.lit("q"), F.col("quartile")).alias("grp")) \
@@ -152,7 +176,7 @@ def histogram(df: DataFrame, value_col: str, bins: int = 10, lo=None, hi=None) -
 
 def quantiles(df: DataFrame, value_col: str, qs=(0, .05, .10, .50, .90, .95, 1.0)) -> DataFrame:
     """Exact quantiles (linear interpolation) as rows (q, value)."""
-    arr = df.select(F.percentile(F.col(value_col).cast("double"), list(qs)).alias("v"))
+    arr = exact_quantiles(df, value_col, list(qs))
     return arr.select(F.posexplode("v").alias("i", "value")) \
         .withColumn("q", F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("i") + 1)) \
         .select("q", "value")

@@ -82,23 +82,21 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_size: floa
 def bootstrap_weights(df: DataFrame, id_col: str, n_iter: int = 100, proportion: float = 1.0,
                       seed: int = 0, portable: bool = True) -> DataFrame:
     """Per replicate, int(n * proportion) draws with replacement; the
-    result is (replicate, id, weight = times drawn).  Draws are generated
-    with ``range`` and matched to rows by a 0-based rank, so every replicate
-    has exactly the stated size."""
+    result is (replicate, id, weight = times drawn).  Draws come from a
+    distributed ``range`` over n_iter * size (replicate = id div size) and
+    are matched to rows by a 0-based rank, so every replicate has exactly
+    the stated size and no task generates more than its range slice."""
     spark = df.sparkSession
-    n = df.select(F.count(F.lit(1))).scalar()
-    size = F.floor(n * F.lit(float(proportion))).cast("long")
+    n = df.count()                                   # scalar on the driver
+    size = int(n * proportion)
     ranked = global_rank(df.select(id_col), [id_col], out="_idx", start=0)
-    draws = _draw_rows(spark, n_iter, size)
+    draws = spark.range(0, n_iter * size).select(
+        (F.col("id") / F.lit(max(size, 1))).cast("long").alias("replicate"),
+        (F.col("id") % F.lit(max(size, 1))).alias("draw"))
     h = (portable_hash(F.col("replicate"), F.col("draw"), seed) if portable
          else F.xxhash64("replicate", "draw", F.lit(seed)))
-    draws = draws.withColumn("_idx", F.pmod(h, n))
-    w = draws.join(ranked, "_idx").groupBy("replicate", id_col).agg(F.count(F.lit(1)).alias("weight"))
-    return w
-
-
-def _draw_rows(spark, n_iter: int, size: Column) -> DataFrame:
-    """(replicate, draw) for draw < size, one row per draw, built from a
-    distributed range per replicate."""
-    reps = spark.range(n_iter).withColumnRenamed("id", "replicate")
-    return reps.select("replicate", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("draw"))
+    draws = draws.withColumn("_idx", F.pmod(h, F.lit(max(n, 1))))
+    # partial count per (replicate, row index) before the join: the join then
+    # carries at most one row per drawn (replicate, row)
+    w = draws.groupBy("replicate", "_idx").agg(F.count(F.lit(1)).alias("weight"))
+    return w.join(ranked, "_idx").select("replicate", id_col, "weight")
