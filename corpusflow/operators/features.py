@@ -192,5 +192,5 @@ def cooccurrences(docs: DataFrame, text_col: str = "text", min_df=0.01, max_df=0
     cnt = F.aggregate("pb", F.lit(0).cast("long"),
                       lambda acc, j: acc + F.size(F.filter("pa", lambda i: i < j)).cast("long"))
     long = (pairs.select("doc_id", F.concat_ws("-", "a", "b").alias("term"), cnt.alias("value"))
-            .where(F.col("value") > 0))
+            .where(F.col("value") > 0)).persist(StorageLevel.MEMORY_AND_DISK)   # read by df and cut
     return df_cut(long, n, min_df, max_df)
