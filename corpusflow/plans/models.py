@@ -471,3 +471,12 @@ def i36_out_of_corpus(spark: SparkSession, sf: str) -> DataFrame:
     long = term_counts(u.select("doc_id", "tokens"), F.col("tokens"))
     contrib = feature_contributions(long.join(wrong.select("doc_id"), "doc_id", "left_semi"), coefs)
     return wrong.join(contrib, "doc_id").select("doc_id", "label", "prediction", "total", "n_terms")
+
+
+@query("I34")
+def i34_greedy_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Balanced sample of 50 per class (the reference uses 500), 5 rounds."""
+    c = corpus(spark, sf)
+    s = sp.balance(c, "label", "doc_id", seed=13, per_class=50)
+    long = term_counts(s.select("doc_id", "tokens"), F.col("tokens"))
+    return md.greedy_selection(long, s.select("doc_id", "label_id"), rounds=5)

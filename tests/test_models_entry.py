@@ -115,3 +115,22 @@ def test_query_matches_oracle(spark, duck, qid):
     idx = [dcols.index(c) for c in cols]
     b = sorted((tuple(_norm(r[i]) for i in idx) for r in res.fetchall()), key=repr)
     assert a == b
+
+
+def test_kernel_logreg_accuracy():
+    rng = np.random.default_rng(0)
+    X = np.vstack([rng.normal(2, 0.3, (10, 3)), rng.normal(-2, 0.3, (10, 3))])
+    y = np.array([1.0] * 10 + [0.0] * 10)
+    G = X @ X.T
+    assert md._kernel_logreg_accuracy(G, y, np.array([0, 1, 2])) == 0.0      # one class
+    assert md._kernel_logreg_accuracy(G, y, np.array([0, 15])) == 1.0        # separable
+
+
+def test_greedy_selection_rounds(spark):
+    long = spark.createDataFrame([(0, "aa", 2), (1, "aa", 1), (2, "bb", 2), (3, "bb", 1), (3, "aa", 1)],
+                                 "doc_id long, term string, value long")
+    labels = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 0.0), (3, 0.0)], "doc_id long, label_id double")
+    out = md.greedy_selection(long, labels, rounds=2).orderBy("round").collect()
+    # round 0: every single-row fit has one class (accuracy 0), the first row wins
+    assert out[0]["doc_id"] == 0 and out[0]["accuracy"] == 0.0
+    assert out[1]["accuracy"] >= 0.75
