@@ -53,22 +53,33 @@ def windowed_counts(events: DataFrame, ts_col: str, term_col: str, days: int = 7
 
 
 def run_to_table(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append") -> str:
-    """Run a streaming query over everything available now, into parquet
-    (append) or, for aggregations, through foreachBatch rewriting the latest
-    complete result.  Returns the output path."""
+    """Run a streaming query over everything available now into parquet.
+
+    ``append``: rows are final when emitted.  ``update`` (aggregations):
+    every micro-batch appends only the groups it changed, tagged with its
+    batch id; ``latest`` reads back the last version of each group, so no
+    batch rewrites the whole result."""
     if mode == "append":
         q = (df.writeStream.format("parquet").option("path", out_path)
              .option("checkpointLocation", checkpoint).outputMode("append")
              .trigger(availableNow=True).start())
     else:
         def write(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(out_path)
+            batch.withColumn("_batch", F.lit(epoch)).write.mode("append").parquet(out_path)
         q = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-             .outputMode("complete").trigger(availableNow=True).start())
+             .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
     return out_path
 
 
+def latest(spark: SparkSession, path: str, keys) -> DataFrame:
+    """Last version of each group written by ``run_to_table(mode='update')``."""
+    df = spark.read.parquet(path)
+    vals = [c for c in df.columns if c not in set(keys) | {"_batch"}]
+    agg = [F.max_by(F.col(c), F.col("_batch")).alias(c) for c in vals]
+    return df.groupBy(*keys).agg(*agg)
+
+
 def frontier_batches(pages_stream: DataFrame, known_path: str, out_path: str, checkpoint: str) -> str:
     """Each micro-batch of fetched pages discovers links (H12-style
     hrefs), drops those already known (A15: anti-join on url, dedupe), and
