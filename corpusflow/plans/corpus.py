@@ -348,7 +348,7 @@ def f08_which(spark: SparkSession, sf: str) -> DataFrame:
 
 # G01 ---------------------------------------------------------------------------
 @query("G01", sql="""
-SELECT label, count(*) AS n, sum(n_chars) AS chars FROM (
+SELECT label, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM (
   SELECT source AS label, n_chars FROM documents WHERE source = 'src0'
   UNION ALL SELECT source AS label, n_chars FROM documents WHERE source = 'src1') GROUP BY label
 """)

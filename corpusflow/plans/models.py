@@ -122,7 +122,7 @@ s AS (SELECT test.doc_id, test.fold, test.c, fc.log_prior,
       LEFT JOIN ctf ON test.fold = ctf.fold AND test.c = ctf.c AND test.term = ctf.term
       JOIN fc ON test.fold = fc.fold AND test.c = fc.c GROUP BY 1, 2, 3, 4),
 p AS (SELECT doc_id, fold, arg_max(c, (ll + log_prior, c)) AS pred FROM s GROUP BY 1, 2)
-SELECT CAST(p.fold AS INT) AS fold, count(*) AS n, sum(CAST(p.pred = d.label AS BIGINT)) AS correct,
+SELECT CAST(p.fold AS INT) AS fold, count(*) AS n, CAST(sum(CAST(p.pred = d.label AS BIGINT)) AS BIGINT) AS correct,
        round(avg(CAST(p.pred = d.label AS DOUBLE)), 6) AS accuracy
 FROM p JOIN d ON p.doc_id = d.doc_id GROUP BY 1
 """)

@@ -167,8 +167,8 @@ SELECT doc_id, length(sq) AS squeezed_len, md5(sq) AS squeezed_md5, length(m2) A
 def h05_squeeze(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf).select("doc_id", tx.squeeze_whitespace("text").alias("sq"))
     d = d.withColumn("m", tx.edge_punct_munge("sq"))
-    return d.select("doc_id", F.length("sq").alias("squeezed_len"), F.md5("sq").alias("squeezed_md5"),
-                    F.length("m").alias("munged_len"), F.md5("m").alias("munged_md5"))
+    return d.select("doc_id", F.length("sq").cast("long").alias("squeezed_len"), F.md5("sq").alias("squeezed_md5"),
+                    F.length("m").cast("long").alias("munged_len"), F.md5("m").alias("munged_md5"))
 
 
 # H06 ---------------------------------------------------------------------------
@@ -207,10 +207,10 @@ FROM documents
 def h08_token_families(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf)
     return d.select("doc_id",
-                    F.size(tx.regex_tokens("text", "word2")).alias("n_word2"),
-                    F.size(tx.regex_tokens("text", "nonspace")).alias("n_nonspace"),
-                    F.size(tx.regex_tokens("text", "hashword")).alias("n_hashword"),
-                    F.size(tx.regex_tokens("text", "alpha", lower=True, min_len=2, max_len=15)).alias("n_alpha"))
+                    F.size(tx.regex_tokens("text", "word2")).cast("long").alias("n_word2"),
+                    F.size(tx.regex_tokens("text", "nonspace")).cast("long").alias("n_nonspace"),
+                    F.size(tx.regex_tokens("text", "hashword")).cast("long").alias("n_hashword"),
+                    F.size(tx.regex_tokens("text", "alpha", lower=True, min_len=2, max_len=15)).cast("long").alias("n_alpha"))
 
 
 # H09 ---------------------------------------------------------------------------
@@ -223,7 +223,7 @@ def h09_remove_tag(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf).select("doc_id", tagged().alias("txt"))
     g = d.select("doc_id", "txt", F.explode(tx.hashtags("txt")).alias("tag"))
     r = tx.remove_tag("txt", "tag")
-    return g.select("doc_id", "tag", F.length(r).alias("new_len"), F.md5(r).alias("new_md5"))
+    return g.select("doc_id", "tag", F.length(r).cast("long").alias("new_len"), F.md5(r).alias("new_md5"))
 
 
 # H10 ---------------------------------------------------------------------------
@@ -234,7 +234,7 @@ FROM documents
 """)
 def h10_topic_stopwords(spark: SparkSession, sf: str) -> DataFrame:
     toks = tx.regex_tokens("text", "alpha", lower=True, min_len=2, max_len=15)
-    return _docs(spark, sf).select("doc_id", F.size(tx.drop_stopwords(toks, tx.TOPIC_EXTRA_STOPWORDS)).alias("n_tokens"))
+    return _docs(spark, sf).select("doc_id", F.size(tx.drop_stopwords(toks, tx.TOPIC_EXTRA_STOPWORDS)).cast("long").alias("n_tokens"))
 
 
 # H11 (goldens only: the full entity table has no SQL twin) ------------------------
@@ -327,7 +327,7 @@ def i04_hashtags(spark: SparkSession, sf: str) -> DataFrame:
     return hashtag_counts(d, "text", min_df=1).select("doc_id", "term", "value")
 
 
-@query("I01", sql="SELECT doc_id, '#intercept#' AS term, 1.0 AS value FROM documents")
+@query("I01", sql="SELECT doc_id, '#intercept#' AS term, CAST(1.0 AS DOUBLE) AS value FROM documents")
 def i01_intercept(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.features import intercept
     return intercept(_docs(spark, sf))
@@ -363,7 +363,7 @@ pairs AS (SELECT a.doc_id, a.tok || '-' || b.tok AS term FROM pp a JOIN pp b ON
 c AS (SELECT doc_id, term, count(*) AS value FROM pairs GROUP BY doc_id, term),
 df AS (SELECT term FROM c GROUP BY term
        HAVING count(*) >= 0.01 * (SELECT n FROM n) AND count(*) <= 0.99 * (SELECT n FROM n))
-SELECT c.doc_id, count(*) AS n_pairs, sum(c.value) AS total FROM c JOIN df ON c.term = df.term GROUP BY c.doc_id
+SELECT c.doc_id, count(*) AS n_pairs, CAST(sum(c.value) AS BIGINT) AS total FROM c JOIN df ON c.term = df.term GROUP BY c.doc_id
 """)
 def i03_cooccurrences(spark: SparkSession, sf: str) -> DataFrame:
     """The whole pair block is computed; the registered result is its
