@@ -67,3 +67,25 @@ def test_quota_per_key(spark):
 def test_kfold_range(spark):
     f = sp.kfold(spark.range(0, 1000).withColumnRenamed("id", "doc_id"), "doc_id", 10, seed=1)
     assert {r["fold"] for r in f.select("fold").distinct().collect()} == set(range(10))
+
+
+def _rows(df):
+    return sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+
+
+def test_registered_queries_split_and_merge(spark):
+    """Same results with 1 and 8 shuffle partitions (AQE off so the counts hold)."""
+    import __spark_entry__ as E
+    from tests.conftest import SF001
+    q = E.queries()
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        results = {}
+        for parts in ("1", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            results[parts] = {qid: _rows(q[qid](spark, SF001)) for qid in ("F03", "D15", "E05", "I22", "I25", "C02")}
+        assert results["1"] == results["8"]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
