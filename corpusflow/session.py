@@ -37,7 +37,7 @@ def get_spark(master: str | None = None, app: str = "corpusflow",
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if (master or "").startswith("local") and "spark.driver.memory" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
         # local mode: the driver JVM is the only executor
-        builder = builder.config("spark.driver.memory", os.environ.get("CF_DRIVER_MEMORY", "16g"))
+        builder = builder.config("spark.driver.memory", os.environ.get("CF_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
