@@ -28,8 +28,10 @@ def _floor(ts: Column, unit: str) -> Column:
     return F.date_trunc(_UNITS[unit][0], ts).cast("timestamp_ntz")
 
 
-def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+def _diff_us(start: Column, ts: Column) -> Column:
+    """Microseconds from start to ts on the wall clock (TIMESTAMP_NTZ
+    arithmetic: no session time zone, no DST shifts)."""
+    return F.timestamp_diff("MICROSECOND", start.cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
 def _months(ts: Column) -> Column:
@@ -49,8 +51,8 @@ def grid_params(df: DataFrame, ts_col: str, num: int = 1, unit: str = "D",
     step = _UNITS[unit][1]
     if step is not None:
         width = step * num
-        span = _micros(fmax) + F.lit(width) - _micros(start)
-        beyond = _micros(F.col("hi")) > _micros(fmax) + F.lit(width)
+        span = _diff_us(start, fmax) + F.lit(width)
+        beyond = _diff_us(fmax, F.col("hi")) > F.lit(width)
         n_edges = F.ceil(span / F.lit(width)) + F.when(beyond, 1).otherwise(0)
     else:
         mult = 12 if unit == "Y" else 1
@@ -72,7 +74,7 @@ def bin_index(ts: Column, start: Column, n_edges: Column, num: int, unit: str) -
     step = _UNITS[unit][1]
     if step is not None:
         width = step * num
-        pos = _micros(ts) - _micros(start)
+        pos = _diff_us(start, ts)
         idx = F.floor(pos / F.lit(width))
         on_last = pos == (n_edges - 1) * F.lit(width)
     else:
