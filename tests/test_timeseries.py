@@ -68,3 +68,15 @@ def test_share_per_bin(spark):
     df = spark.createDataFrame([(0, "a", 1.0), (0, "b", 3.0), (1, "a", 0.0), (1, "b", 0.0)], "b long, t string, x double")
     out = {(r["b"], r["t"]): r["share"] for r in ts.share_per_bin(df, "b", "x").collect()}
     assert out[(0, "a")] == 0.25 and out[(1, "a")] is None
+
+
+def test_bins_ignore_session_time_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        df = spark.range(0, 24 * 20).select(F.timestamp_add(
+            "HOUR", F.col("id"), F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")).alias("ts"))
+        b = ts.binned_statistic(df, "ts", None, None, 1, "D", stats=("count",), include_tail=True)
+        assert {r["count"] for r in b.collect()} == {24}      # across the DST change
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
