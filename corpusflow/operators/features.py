@@ -173,24 +173,35 @@ def cooccurrences(docs: DataFrame, text_col: str = "text", min_df=0.01, max_df=0
     lower-cased ``\\w\\w+`` tokens, df-cut.
 
     The pair table *is* the feature matrix, so distinct pairs per document
-    are produced; occurrence pairs are not.  Two exact reductions come
-    first: a pair's df never exceeds its tokens' df, so tokens below min_df
-    are dropped before pairing; and each document's token occurrences are
-    folded into one sorted position list per distinct token, so the pair
-    count is sum over b's positions of (a positions before it), computed
-    inside the row instead of as one row per occurrence pair."""
+    are produced; occurrence pairs are not.  Reductions, all exact: a
+    pair's df never exceeds its tokens' df, so tokens below min_df are
+    dropped before pairing; each document's occurrences are folded into one
+    sorted position list per distinct token, so the pair count is computed
+    inside the row; and pairs are keyed by a long built from token ids (a
+    distributed rank of the pruned vocabulary), so the largest aggregation
+    shuffles fixed-width keys.  Strings are rebuilt only for kept pairs."""
+    from .ranking import global_rank
     n = docs.select(F.count(F.lit(1))).scalar()
     lo, hi = df_bounds(n, min_df, max_df)
     toks = docs.select(F.col(doc_col).alias("doc_id"),
                        F.posexplode(tx.regex_tokens(F.lower(F.col(text_col)), "word2")).alias("pos", "tok"))
     per = toks.groupBy("doc_id", "tok").agg(F.sort_array(F.collect_list("pos")).alias("ps"))
     keep = per.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= lo).select("tok")
-    per = per.join(keep, "tok", "left_semi")
-    a = per.select("doc_id", F.col("tok").alias("a"), F.col("ps").alias("pa"))
-    b = per.select("doc_id", F.col("tok").alias("b"), F.col("ps").alias("pb"))
-    pairs = a.join(b, "doc_id")
+    vocab = global_rank(keep, ["tok"], out="tid", start=0).persist(StorageLevel.MEMORY_AND_DISK)
+    V = vocab.select(F.count(F.lit(1))).scalar()
+    per = per.join(vocab, "tok").select("doc_id", "tid", "ps")
+    a = per.select("doc_id", F.col("tid").alias("ta"), F.col("ps").alias("pa"))
+    b = per.select("doc_id", F.col("tid").alias("tb"), F.col("ps").alias("pb"))
     cnt = F.aggregate("pb", F.lit(0).cast("long"),
                       lambda acc, j: acc + F.size(F.filter("pa", lambda i: i < j)).cast("long"))
-    long = (pairs.select("doc_id", F.concat_ws("-", "a", "b").alias("term"), cnt.alias("value"))
-            .where(F.col("value") > 0)).persist(StorageLevel.MEMORY_AND_DISK)   # read by df and cut
-    return df_cut(long, n, min_df, max_df)
+    pairs = (a.join(b, "doc_id")
+             .select("doc_id", (F.col("ta") * V + F.col("tb")).alias("key"), cnt.alias("value"))
+             .where(F.col("value") > 0)).persist(StorageLevel.MEMORY_AND_DISK)   # read by df and cut
+    kept = df_cut(pairs.withColumnRenamed("key", "term"), n, min_df, max_df) \
+        .withColumnRenamed("term", "key")
+    va = vocab.select(F.col("tid").alias("ta"), F.col("tok").alias("a"))
+    vb = vocab.select(F.col("tid").alias("tb"), F.col("tok").alias("b"))
+    out = (kept.withColumn("ta", F.floor(F.col("key") / V).cast("long"))
+           .withColumn("tb", (F.col("key") % V).cast("long"))
+           .join(va, "ta").join(vb, "tb"))
+    return out.select("doc_id", F.concat_ws("-", "a", "b").alias("term"), "value")
