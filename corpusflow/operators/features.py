@@ -40,6 +40,13 @@ def ngram_array(tokens, n_max: int = 2, n_min: int = 1) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """Persist (recomputable, memory then disk) a long table that feeds two
+    branches: column pruning makes the branches' aggregates differ, so the
+    optimizer would otherwise re-run the tokenizer for each."""
+    return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def term_counts(docs: DataFrame, terms: Column, keys=("doc_id",)) -> DataFrame:
     """Explode an array of terms and count per (keys..., term)."""
     keys = list(keys)
@@ -67,6 +74,7 @@ def df_cut(long: DataFrame, n_docs: Column, min_df=1, max_df=1.0) -> DataFrame:
     semi-join lets AQE split a hot term's partition.
     """
     lo, hi = df_bounds(n_docs, min_df, max_df)
+    long = reused(long)
     keep = doc_freq(long).where((F.col("df") >= lo) & (F.col("df") <= hi)).select("term")
     return long.join(keep, "term", "left_semi")
 
@@ -105,6 +113,7 @@ def tfidf_log(long: DataFrame, n_docs: Column) -> DataFrame:
     df is a per-term partial aggregate joined back on term, so a term present
     in every document is split by AQE's skew handling instead of landing in
     one window task."""
+    long = reused(long)
     j = long.join(doc_freq(long), "term")
     return j.withColumn("value", F.col("value") * F.log(n_docs / F.col("df"))).drop("df")
 
@@ -118,6 +127,7 @@ def tfidf_join(long: DataFrame, n_docs: Column, smooth: bool = True, base=None,
     splits a hot term's partition); the norm is a per-document window, and a
     document is one bounded group.
     """
+    long = reused(long)
     dfs = doc_freq(long)
     j = long.join(dfs, "term")
     if smooth:
