@@ -21,6 +21,14 @@ def labelled_documents(spark: SparkSession, sf: str, inner: bool = False) -> Dat
                                                      F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))))
 
 
+def timed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """documents with the derived publish time, without the labels join
+    (for queries that never read a label)."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return d.withColumn("published", F.timestamp_add("HOUR", F.col("doc_id"),
+                                                     F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
+
+
 # SQL fragments (DuckDB dialect) mirroring the builders above.
 LABELLED_SQL = """
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic,

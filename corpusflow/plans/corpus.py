@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..operators import corpus as cp
 from ..operators.ranking import global_rank, margins, which_max, which_min, offset_limit
 from ..sources.tables import table
-from .common import labelled_documents, LABELLED_SQL
+from .common import labelled_documents, timed_documents, LABELLED_SQL
 from .registry import query
 
 W2 = r"'[\p{L}\p{N}_]{2,}'"
@@ -265,7 +265,7 @@ WITH c AS ({LABELLED_SQL})
 SELECT doc_id, strftime(published, '%Y-%m-%d %H:%M:%S') AS published FROM c ORDER BY published, doc_id
 """)
 def f01_sort(spark: SparkSession, sf: str) -> DataFrame:
-    c = labelled_documents(spark, sf).orderBy("published", "doc_id")
+    c = timed_documents(spark, sf).orderBy("published", "doc_id")
     return c.select("doc_id", _ts(F.col("published")).alias("published"))
 
 

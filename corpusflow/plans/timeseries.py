@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import timeseries as ts
 from ..operators.ranking import global_rank
 from ..sources.tables import table
-from .common import labelled_documents
+from .common import labelled_documents, timed_documents
 from .registry import query
 
 WEEK_US = 7 * 86_400_000_000
@@ -181,7 +181,7 @@ def e11_volume_share(spark: SparkSession, sf: str) -> DataFrame:
     ranking (6th..15th by total, all rows counted) reads that aggregate, so
     the text is tokenized once."""
     from pyspark import StorageLevel
-    docs = labelled_documents(spark, sf)
+    docs = timed_documents(spark, sf)
     p = ts.grid_params(docs, "published", 7, "D")
     start, n_edges = p.select("start").scalar(), p.select("n_edges").scalar()
     rows = docs.select(ts.bin_index(F.col("published"), start, n_edges, 7, "D").alias("bin_idx"),
