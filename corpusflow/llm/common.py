@@ -69,7 +69,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def blocks(docs: DataFrame, row: str | None = None, block_bytes: int = 16 << 20, block_rows: int = 8192) -> DataFrame:
+def blocks(docs: DataFrame, row: str | None = None, block_bytes: int = 6 << 20, block_rows: int = 4096) -> DataFrame:
     """``(block, row, doc_id, text)``, written: every row of ``docs`` in a block of bounded bytes and rows.
 
     ``row`` tells rows with the same doc_id apart; it is made here unless ``row`` names a unique column of longs.  A block is a run of neighbouring rows of one input task, so no row is moved; a value that many documents
