@@ -20,7 +20,7 @@ from .common import written
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE, MOST = 1.5, 2.0
-SHARD_DOCS = 50_000
+SHARD_DOCS = 2048
 LANDING = 12
 
 
@@ -152,12 +152,23 @@ def drawn_copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL
 
     schema = "row long, id long, key string, size long, source_size long, target double, base int, p double, u double, q double, fixed boolean"
     flown = written(dealt.groupBy("key", "shard").applyInArrow(fly, schema), "mix-flown")
+    # a shard leaves at most landing_docs undecided: they fly again, in fewer shards, until a source's fit in one
+    decided_rows, undecided = flown.where("fixed"), flown.where("not fixed")
+    left = (plan.agg(F.max("shards")).first()[0] or 0) * landing_docs
+    while left > shard_docs:
+        shards = -(-left // shard_docs)
+        again = (undecided.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 2 + shards), "id", "row"), F.lit(shards)))
+                 .withColumn("p", F.col("q")).drop("q", "fixed"))
+        flown = written(again.groupBy("key", "shard").applyInArrow(fly, schema), "mix-flown")
+        decided_rows, undecided = decided_rows.unionByName(flown.where("fixed")), flown.where("not fixed")
+        left = shards * landing_docs
 
     # what the decided documents of a source miss of its words and documents
-    decided = flown.groupBy("key").agg(
-        F.sum(F.col("size") * F.col("base") + F.when(F.col("fixed"), F.col("q") * F.col("size")).otherwise(0.0)).alias("words"),
-        F.max("target").alias("wanted"),
-        (F.sum("p") - F.sum(F.when(F.col("fixed"), F.col("q")).otherwise(0.0))).alias("docs"))
+    wanted = dealt.groupBy("key").agg(F.max("target").alias("wanted"), F.sum(F.col("size") * F.col("base")).alias("base_words"), F.sum("p").alias("p"))
+    done = decided_rows.groupBy("key").agg(F.sum(F.col("q") * F.col("size")).alias("words"), F.sum("q").alias("docs"))
+    decided = (wanted.join(done, "key", "left")
+               .select("key", "wanted", (F.col("base_words") + F.coalesce("words", F.lit(0.0))).alias("words"),
+                       (F.col("p") - F.coalesce("docs", F.lit(0.0))).alias("docs")))
     most_open = landing_docs
 
     def land(key, table):
@@ -180,9 +191,9 @@ def drawn_copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL
                                  table.column("docs")[0].as_py() - float(out[done].sum()))
         return table.select(["row", "id", "size", "source_size", "target", "base"]).append_column("q", pa.array(out))
 
-    landed = (flown.where("not fixed").join(decided, "key").groupBy("key")
+    landed = (undecided.join(decided, "key").groupBy("key")
               .applyInArrow(land, "row long, id long, size long, source_size long, target double, base int, q double"))
-    every = flown.where("fixed").select("row", "id", "size", "source_size", "target", "base", "q").unionByName(landed)
+    every = decided_rows.select("row", "id", "size", "source_size", "target", "base", "q").unionByName(landed)
     return every.select("row", "id", "size", "source_size", "target", (F.col("base") + F.round("q").cast("int")).alias("copies"))
 
 
