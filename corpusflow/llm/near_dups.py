@@ -8,14 +8,16 @@ similarity, and the number of agreements is concentrated about its mean as if th
 Documents with equal sets are one node from then on.  Nodes that agree in all rows of a band fall in one bucket, and
 each bucket is searched without listing its pairs:
 
-1. every member is paired with one leader, the smallest node of the buckets it shares with it, and compared with it on
-   the full sets; linked nodes are gathered in components;
+1. every member is paired with one leader and compared with it on the full sets; linked nodes are gathered in
+   components.  A bucket's leader is the member with the most fellow members in all its buckets, thus one near the
+   middle of its group;
 2. members still apart from a leader of one of their buckets are compared with that leader;
-3. where a bucket still spans components, its members outside its largest component are compared with the members of
-   the others.
+3. where buckets still span components, their nodes are searched by the exact prefix filter: in any common order of
+   the shingles, two sets that must share o of them share one of the first |x| - o + 1 of x and |y| - o + 1 of y.  Rare
+   shingles come first, so two nodes meet only if they share a rare one.
 
-A pair of one bucket is thus compared, or its ends are connected already.  With 24 bands of 5 bins a pair at 0.85
-shares no bucket with a probability of 8e-7.
+A pair of one bucket is thus compared, or its ends are connected already, or it can't be alike.  With 24 bands of 5 bins
+a pair at 0.85 shares no bucket with a probability of 8e-7.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX_A, MIX_B, blocks, hashed_words, mix64, text_chunks, written
+from .common import GOLDEN, MIX_A, MIX_B, batches_of, blocks, hashed_words, mix64, text_chunks, written
 
 BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
+BIN_BITS = 19
 _SEEDS = mix64(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * GOLDEN)
 
 
@@ -158,6 +161,46 @@ def components(links: DataFrame) -> DataFrame:
         edges = roots
 
 
+def prefix_pairs(nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different roots, at least one of them ``out``, that can be alike; nodes: (node, text, root, out).
+
+    The order of the shingles is by how often their hash bin occurs, one of 2^BIN_BITS.  Any order gives all pairs.
+    """
+    def count(batches):
+        total = np.zeros(1 << BIN_BITS, np.int64)
+        for b in batches:
+            for _, s in shingle_sets(b.column("text"), words):
+                total += np.bincount((s >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bin", "n"])
+
+    found = nodes.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # at most 2^BIN_BITS rows
+    often = np.zeros(1 << BIN_BITS, np.int64)
+    often[found.column("bin").to_numpy()] = found.column("n").to_numpy()
+
+    def prefixes(batches):
+        def out():
+            for b in batches:
+                kept = [b.column(c).to_pylist() for c in ("node", "root", "out")]
+                for (_, s), node, root, outside in zip(shingle_sets(b.column("text"), words), *kept):
+                    n = len(s)
+                    order = np.lexsort((s, often[(s >> np.uint64(64 - BIN_BITS)).astype(np.int64)]))
+                    # two sets of n and m elements share at least percent / (100 + percent) * (n + m), and m >= n * percent / 100
+                    for place, shingle in enumerate(s[order[:n - -(-n * percent // 100) + 1]].view(np.int64).tolist()):
+                        yield shingle, node, root, outside, n, place
+
+        return batches_of(out(), pa.schema([("shingle", pa.int64()), ("node", pa.binary()), ("root", pa.binary()), ("out", pa.bool_()), ("n", pa.int64()),
+                                            ("place", pa.int64())]), 20_000)
+
+    rows = written(nodes.mapInArrow(prefixes, "shingle long, node binary, root binary, out boolean, n long, place long"), "prefixes")
+    x, y = (rows.select("shingle", *(F.col(c).alias(f"{c}_{v}") for c in ("node", "root", "out", "n", "place"))) for v in "xy")
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100.0 + percent) - 1e-6)
+    return (x.where("out_x").join(y, "shingle")
+            .where((F.col("root_x") != F.col("root_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
+                   & (F.col("place_x") <= F.col("n_x") - need) & (F.col("place_y") <= F.col("n_y") - need))
+            .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
+
+
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, node, component_id (smallest doc_id reachable), group_size of every row of ``docs``.
 
@@ -169,15 +212,19 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = written(sketched(held, words), "sketches")
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.max("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
-    # buckets with several nodes; the smallest node leads
-    leaders = written(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("c"))
-                      .where("c > 1").select("key", F.col("first.node").alias("a"), F.col("first.n").alias("n_a")), "leaders")
+    # buckets with several nodes, and their leaders
+    crowds = written(members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "crowds")
+    shared = written(members.join(crowds, "key"), "buckets")
+    fellows = written(shared.groupBy("node").agg(F.sum("c").alias("fellows")), "fellows")
+    leaders = written(shared.join(fellows, "node").groupBy("key").agg(F.max(F.struct("fellows", "node", "n")).alias("first"))
+                      .select("key", F.col("first.node").alias("a"), F.col("first.n").alias("n_a")), "leaders")
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    shared = written(members.join(leaders, "key").select("key", "a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b")), "buckets")
-    pairs = written(shared.where((F.col("a") != F.col("b")) & fits(F.col("n_a"), F.col("n_b"))).groupBy("a", "b").agg(F.count("*").alias("c")), "pairs")
+    pairs = written(shared.select("key", F.col("node").alias("b"), F.col("n").alias("n_b")).join(leaders, "key")
+                    .where((F.col("a") != F.col("b")) & fits(F.col("n_a"), F.col("n_b")))
+                    .groupBy("a", "b").agg(F.count("*").alias("c")), "pairs")
     first = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where("rank = 1").select("a", "b")
     first = written(first, "first-pairs")
-    inside = written(shared.select(F.col("b").alias("node")).distinct(), "candidates")
+    inside = fellows.select("node")
     # one text for each node that is in a bucket with others
     wanted = nodes.select("node", "row").join(inside, "node", "left_semi")
     texts = written(held.select("row", "text").join(wanted, "row").select("node", "text"), "candidate-texts")
@@ -193,16 +240,12 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if apart.head(1):
         links = written(links.unionByName(verified(apart, texts, words, percent)), "links-2")
         roots = components(links)
-    # what is left: buckets that span components
-    placed = written(rooted(shared.select("key", F.col("b"), F.col("n_b").alias("n")), "b", roots).select("key", F.col("b").alias("node"), "n", F.col("root_b").alias("root")), "placed")
+    # what is left: nodes of buckets that span components; out: not of the largest one of some bucket
+    placed = written(rooted(shared.select("key", F.col("node").alias("b")), "b", roots).select("key", F.col("b").alias("node"), F.col("root_b").alias("root")), "placed")
     spans = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(
         F.max(F.struct("c", "root"))["root"].alias("largest"), F.count("*").alias("roots")).where("roots > 1").select("key", "largest")
-    spread = written(placed.join(written(spans, "spans"), "key"), "spread")
-    out = spread.where("root <> largest").select("key", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"))
-    rest = (out.join(spread.select("key", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"), "largest"), "key")
-            .where((F.col("root_x") != F.col("root_y")) & fits(F.col("n_x"), F.col("n_y")) & ((F.col("root_y") == F.col("largest")) | (F.col("x") < F.col("y"))))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    rest = written(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest-pairs")
+    left = written(placed.join(written(spans, "spans"), "key").groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("largest")).alias("out")), "left")
+    rest = written(prefix_pairs(written(texts.join(left, "node"), "left-texts"), words, percent), "rest-pairs")
     if rest.head(1):
         links = written(links.unionByName(verified(rest, texts, words, percent)), "links-3")
         roots = components(links)
