@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import ensure_checkpoint_dir
 
@@ -69,11 +70,28 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def blocks(docs: DataFrame, row: str | None = None, block_bytes: int = 6 << 20, block_rows: int = 4096) -> DataFrame:
-    """``(block, row, doc_id, text)``, written: every row of ``docs`` in a block of bounded bytes and rows.
+def small(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A narrow, written table as the side of a join: broadcast if it has at most ``most`` rows (a few ten MB), else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
 
-    ``row`` tells rows with the same doc_id apart; it is made here unless ``row`` names a unique column of longs.  A block is a run of neighbouring rows of one input task, so no row is moved; a value that many documents
-    share is looked up once a block instead of once a document.  One longer text is a block of its own.
+
+def others(docs: DataFrame):
+    """All columns of ``docs`` but the text, and whether that is null, as one struct; see ``restored``."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"], F.col("text").isNull().alias("no_text"))
+
+
+def restored(columns: list[str], text=None) -> list:
+    """The columns of ``docs`` from ``rest`` (made by ``others``) and the bytes ``text``, in their order and with their names."""
+    text = F.col("text").cast("string") if text is None else text
+    return [(F.when(F.col("rest.no_text"), F.lit(None)).otherwise(text) if c == "text" else F.col(f"rest.c{i}")).alias(c) for i, c in enumerate(columns)]
+
+
+def blocks(docs: DataFrame, rest=None, block_bytes: int = 6 << 20, block_rows: int = 4096) -> DataFrame:
+    """``(block, row, doc_id, text)`` and ``rest`` if given, written: every row of ``docs`` in a block of bounded bytes and rows.
+
+    ``row`` tells rows with the same doc_id apart.  A block is a run of neighbouring rows of one input task, so no row is
+    moved; a value that many documents share is looked up once a block instead of once a document.  One longer text is a
+    block of its own.
     """
     def cut(batches):
         from pyspark import TaskContext
@@ -87,12 +105,13 @@ def blocks(docs: DataFrame, row: str | None = None, block_bytes: int = 6 << 20,
                 if rows and (size + n > block_bytes or rows >= block_rows):
                     block, size, rows = block + 1, 0, 0
                 ids[i], size, rows = block, size + n, rows + 1
-            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column("row") if row else pa.array(np.arange(at, at + len(ids))), b.column("doc_id"), b.column("text")],
-                                             names=["block", "row", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.arange(at, at + len(ids))), *b.columns],
+                                             names=["block", "row", *b.schema.names])
             at += len(ids)
 
-    rows = docs.select(F.col(row).alias("row"), *id_and_text_columns()) if row else id_and_text(docs)
-    return written(rows.mapInArrow(cut, "block long, row long, doc_id long, text binary"), "blocks")
+    rows = docs.select(*id_and_text_columns(), *([] if rest is None else [rest.alias("rest")]))
+    schema = StructType([StructField("block", LongType()), StructField("row", LongType()), *rows.schema.fields])
+    return written(rows.mapInArrow(cut, schema), "blocks")
 
 
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:

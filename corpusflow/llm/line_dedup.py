@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import batches_of, blocks, by_block, written
+from .common import batches_of, blocks, by_block, others, restored, written
 
 MIN_DOCS, MIN_CHARS = 3, 20
 SHARD_BYTES = 8 << 20  # of text for one shard
@@ -236,41 +237,42 @@ class LineIndex:
         found = (state.groupBy("shard").cogroup(postings.select("shard", "key", "block").groupBy("shard"))
                  .applyInArrow(hits, "block long, key binary, owner long"))
 
+        names = [c for c in held.columns if c not in ("block", "text")]
+
         def clean(key, rows, owned):
             owner = dict(zip(owned.column("key").to_pylist(), owned.column("owner").to_pylist()))
             out: list[tuple] = []
-            for row, doc_id, text in zip(*(rows.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
+            for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
                 lines, own = text.split(b"\n"), NO_ID if doc_id is None else doc_id
                 kept = [x for x in lines if (k := line_key(x, min_chars)) is None or owner.get(k, own) == own] if owner else lines
-                out.append((row, doc_id, b"\n".join(kept).decode("utf-8", "replace"), len(lines), len(lines) - len(kept)))
-            return pa.table([list(x) for x in zip(*out)] or [[]] * 5, schema=pa.schema(
-                [("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]))
+                out.append((b"\n".join(kept).decode("utf-8", "replace"), len(lines), len(lines) - len(kept)))
+            made = [pa.array(list(x), t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64()))] or [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64())]
+            return pa.table([*(rows.column(c) for c in names), *made], names=[*names, "text", "n_lines", "n_dropped"])
 
-        return (held.groupBy("block").cogroup(found.groupBy("block"))
-                .applyInArrow(clean, "row long, doc_id long, text string, n_lines long, n_dropped long"))
+        schema = StructType([*(held.schema[c] for c in names), StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+        return held.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(clean, schema)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_bytes: int = SHARD_BYTES, row: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """row, doc_id, text, n_lines, n_dropped of each row of ``docs`` with the lines dropped that its own rows repeat.
 
     A key that at least ``min_docs`` rows hold loses its lines except in rows with the largest doc_id holding it
     (a null id is below all others).  A null or empty text is one empty line; an empty table gives an empty result;
-    other columns are not read.  ``row`` may name a unique column of longs that the result carries.
+    other columns are not read.
     """
-    held = blocks(docs, row)
+    return _dedup(blocks(docs), min_docs, min_chars, shard_bytes)
+
+
+def _dedup(held: DataFrame, min_docs: int, min_chars: int, shard_bytes: int) -> DataFrame:
     index, postings = LineIndex._of(held, min_docs, min_chars, shard_bytes)
     return index._applied(held, postings)
 
 
-def clean_rows(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def clean_rows(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, with the repeated lines taken out of their texts, and n_chars (where there is
     one) as the length of what is left.  Rows are told apart by their place, not by their ids; a null text stays null."""
-    names = docs.columns
-    kept = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), "text",
-                               F.monotonically_increasing_id().alias("row")), "line-rows")
-    cleaned = dedup_lines(kept, min_docs, min_chars, row="row")
-    joined = kept.select("row", "_doc").join(cleaned.select("row", F.col("text").alias("_text"), "n_dropped"), "row")
-    text = F.when(F.col("n_dropped") > 0, F.col("_text")).otherwise(F.col("_doc.text"))
-    fields = [(text if c == "text" else F.when(F.col("n_dropped") > 0, F.length("_text")).otherwise(F.col("_doc.n_chars")).cast(dict(docs.dtypes)[c])
-               if c == "n_chars" else F.col(f"_doc.`{c}`")).alias(c) for c in names]
-    return joined.select(*fields)
+    cleaned = _dedup(blocks(docs, others(docs)), min_docs, min_chars, shard_bytes)
+    out = cleaned.select(*restored(docs.columns), F.col("n_dropped").alias("_dropped" + "_" * max(map(len, docs.columns))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(out.columns[-1]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(out.columns[-1])

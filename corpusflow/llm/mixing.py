@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-from .common import written
+from .common import small, written
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE, MOST = 1.5, 2.0
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, m
                                F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
                                F.monotonically_increasing_id().alias("row")), "mix")
     drawn = drawn_copies(kept.select("row", "id", "source", "size"), weights, share, most, seed, shard_docs, landing_docs)
-    return (kept.select("_doc", "row").join(drawn, "row").select("_doc", "size", "source_size", "target", "copies"))
+    return (kept.select("_doc", "row").join(small(written(drawn, "mix-drawn")), "row").select("_doc", "size", "source_size", "target", "copies"))
 
 
 def drawn_copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST, seed: int = 17,

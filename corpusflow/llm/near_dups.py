@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX_A, MIX_B, batches_of, blocks, hashed_words, mix64, text_chunks, written
+from .common import GOLDEN, MIX_A, MIX_B, batches_of, blocks, hashed_words, mix64, others, restored, small, text_chunks, written
 
 BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
@@ -208,7 +208,11 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     without words (null, empty) have none and are linked with nothing, a row each.  Of null ids the component has none
     unless other rows give one.  An empty table gives an empty result; other columns are not read.
     """
-    held = blocks(docs)
+    return _components(blocks(docs), words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(held: DataFrame, words: int, percent: int) -> DataFrame:
+    """(row, doc_id, n, root, component_id) of each row of the blocks; rows without words have no root."""
     rows = written(sketched(held, words), "sketches")
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.max("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -227,7 +231,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     inside = fellows.select("node")
     # one text for each node that is in a bucket with others
     wanted = nodes.select("node", "row").join(inside, "node", "left_semi")
-    texts = written(held.select("row", "text").join(wanted, "row").select("node", "text"), "candidate-texts")
+    texts = written(held.select("row", "text").join(small(written(wanted, "wanted")), "row").select("node", "text"), "candidate-texts")
     links = written(verified(first, texts, words, percent), "links-1")
     roots = components(links)
 
@@ -251,9 +255,10 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         roots = components(links)
     named = written(rooted(nodes.select("node", "id"), "node", roots.select("node", "root")).select("node", "id", F.col("root_node").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    ids = written(named.join(written(least, "least-ids"), "root").select("node", "component_id"), "node-components")
-    return (rows.where("node is not null").select("doc_id", "n", "node").join(ids, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-            .unionByName(rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
+    ids = written(named.join(written(least, "least-ids"), "root").select("node", "root", "component_id"), "node-components")
+    some = rows.select("row", "doc_id", "n", "node")
+    return (some.where("node is not null").join(ids, "node").select("row", "doc_id", "n", "root", "component_id")
+            .unionByName(some.where("node is null").select("row", "doc_id", "n", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("component_id"))))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -261,10 +266,8 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without words are linked with nothing and all stay.
     """
-    kept = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("row"), "text"), "near-rows")
-    found = near_components(kept.select(F.col("row").alias("doc_id"), "text"), words, percent)
-    # rows stand in for ids, so that rows with the same doc_id are told apart
-    known = kept.select("row", "_doc", F.col("_doc.doc_id").alias("id")).join(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "row")
-    known = written(known, "near-known")
-    best = known.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row"))
-    return known.join(best.select("row"), "row", "left_semi").select("_doc.*")
+    held = blocks(docs, others(docs))
+    found = written(_components(held, words, percent).where("root is not null").select("row", "doc_id", "root"), "near-rows")
+    best = written(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("best")), "near-best")
+    gone = written(found.join(best, "root").where("row <> best").select("row"), "near-gone")
+    return held.join(small(gone), "row", "left_anti").select(*restored(docs.columns))
