@@ -22,7 +22,8 @@ from .common import GOLDEN, id_and_text, learn_remainder, written
 
 GRAMS = (4, 5, 6)
 BITS = 22
-MOST_LEARNED, MOST_FEATURES, MIN_Z = 8000, 4096, 5.0
+MOST_LEARNED, MOST_FEATURES = 8000, 4096
+MIN_Z, MIN_EFFECT = 5.0, 0.25  # of a feature's share among positives over that among unlabelled rows
 PARTS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 
 _CLEAN = np.full(256, 32, np.uint8)
@@ -50,9 +51,9 @@ MIXER = np.uint64(0xD6E8FEB86659FD93)
 
 
 def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, n_features: int, steps: int = 300, rate: float = 0.1,
-         decay: float = 1e-3) -> tuple[np.ndarray, float]:
+         decay: float = 4e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic classifier that minimises the non-negative risk (Adam, full batches)."""
-    lengths = np.array([len(r) for r in rows])
+    lengths = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), lengths)
     p, u = positive, ~positive
@@ -122,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = PARTS, held_out: int =
     picked = positives.unionByName(unlabelled)
     # at most 2 * most_learned ids are broadcast
     sample = written(id_and_text(docs).join(F.broadcast(picked), "doc_id").repartition(8), "toxic-sample")
-    if not toxic:
+    if not toxic or not sample.where("positive").head(1):
         return Model(np.empty(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
 
     def count(batches):
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = PARTS, held_out: int =
     share = (F.sum("p") + F.sum("u") + 1.0) / (n_p + n_u + 2.0)
     z = (F.sum("p") / n_p - F.sum("u") / n_u) / F.sqrt(share * (1 - share) * (1.0 / n_p + 1.0 / n_u))
     chosen = (sample.mapInArrow(count, "bin long, p long, u long").groupBy("bin").agg(z.alias("z"))
-              .where(F.col("z") > min(MIN_Z, n_p ** 0.5)).orderBy(F.desc("z"), "bin").limit(most_features))  # features that speak for toxicity
+              .where(F.col("z") > max(MIN_Z, MIN_EFFECT * n_p ** 0.5)).orderBy(F.desc("z"), "bin").limit(most_features))  # features that speak for toxicity
     model = Model(np.array(sorted(r.bin for r in chosen.collect()), np.int64), np.empty(0), 0.0)
 
     def design(batches):
