@@ -154,14 +154,13 @@ def drawn_copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL
     flown = written(dealt.groupBy("key", "shard").applyInArrow(fly, schema), "mix-flown")
     # a shard leaves at most landing_docs undecided: they fly again, in fewer shards, until a source's fit in one
     decided_rows, undecided = flown.where("fixed"), flown.where("not fixed")
-    left = (plan.agg(F.max("shards")).first()[0] or 0) * landing_docs
-    while left > shard_docs:
-        shards = -(-left // shard_docs)
+    shards = plan.agg(F.max("shards")).first()[0] or 0
+    while shards > 1 and shards * landing_docs > shard_docs:
+        shards = min(shards - 1, -(-shards * landing_docs // shard_docs))
         again = (undecided.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 2 + shards), "id", "row"), F.lit(shards)))
                  .withColumn("p", F.col("q")).drop("q", "fixed"))
         flown = written(again.groupBy("key", "shard").applyInArrow(fly, schema), "mix-flown")
         decided_rows, undecided = decided_rows.unionByName(flown.where("fixed")), flown.where("not fixed")
-        left = shards * landing_docs
 
     # what the decided documents of a source miss of its words and documents
     wanted = dealt.groupBy("key").agg(F.max("target").alias("wanted"), F.sum(F.col("size") * F.col("base")).alias("base_words"), F.sum("p").alias("p"))
