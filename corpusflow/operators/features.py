@@ -67,16 +67,29 @@ def df_bounds(n_docs: Column, min_df=1, max_df=1.0):
     return lo, hi
 
 
+SALTS = 8
+
+
+def join_by_term(long: DataFrame, per_term: DataFrame, how: str = "inner", keys=("term",), salts: int = SALTS) -> DataFrame:
+    """Join per-term rows back to the long table, each term spread over
+    ``salts`` tasks by its documents: a term that every document holds would
+    otherwise meet its one row in one task, which AQE can't split because
+    that side is an aggregate."""
+    a = long.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    b = per_term.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
 def df_cut(long: DataFrame, n_docs: Column, min_df=1, max_df=1.0) -> DataFrame:
     """Keep terms whose document frequency lies within the bounds.
 
     The per-term count is partial-aggregated before its shuffle, and the
-    semi-join lets AQE split a hot term's partition.
+    semi-join is salted.
     """
     lo, hi = df_bounds(n_docs, min_df, max_df)
     long = reused(long)
     keep = doc_freq(long).where((F.col("df") >= lo) & (F.col("df") <= hi)).select("term")
-    return long.join(keep, "term", "left_semi")
+    return join_by_term(long, keep, "left_semi")
 
 
 def intercept(docs: DataFrame, doc_col: str = "doc_id") -> DataFrame:
@@ -110,11 +123,9 @@ def hashtag_counts(docs: DataFrame, text_col: str = "text", min_df=1,
 def tfidf_log(long: DataFrame, n_docs: Column) -> DataFrame:
     """Count x ln(N / df).  A term in every document scores 0.
 
-    df is a per-term partial aggregate joined back on term, so a term present
-    in every document is split by AQE's skew handling instead of landing in
-    one window task."""
+    df is a per-term partial aggregate joined back on the salted term."""
     long = reused(long)
-    j = long.join(doc_freq(long), "term")
+    j = join_by_term(long, doc_freq(long))
     return j.withColumn("value", F.col("value") * F.log(n_docs / F.col("df"))).drop("df")
 
 
@@ -123,13 +134,13 @@ def tfidf_join(long: DataFrame, n_docs: Column, smooth: bool = True, base=None,
     """Smoothed ``ln((1+N)/(1+df))+1`` (or ``log_base(N/df)``)
     weights, then L2-normalised per document.
 
-    df comes from a per-term partial aggregate joined back on term (AQE
-    splits a hot term's partition); the norm is a per-document window, and a
+    df comes from a per-term partial aggregate joined back on the salted
+    term; the norm is a per-document window, and a
     document is one bounded group.
     """
     long = reused(long)
     dfs = doc_freq(long)
-    j = long.join(dfs, "term")
+    j = join_by_term(long, dfs)
     if smooth:
         idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     else:

@@ -10,11 +10,12 @@ per-partition counts (one row per partition) meet in one task.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import cut_lineage
+
 _POS_BITS = 33
 
 
@@ -25,11 +26,14 @@ def _order(cols):
 def global_rank(df: DataFrame, order_cols, out: str = "rank", start: int = 1) -> DataFrame:
     """Consecutive ranks in the given total order (include a unique key so
     that ties, and therefore recomputation after a lost executor, are
-    deterministic)."""
-    s = (df.orderBy(*_order(order_cols))
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id())
-         .persist(StorageLevel.MEMORY_AND_DISK))
+    deterministic).
+
+    The sorted rows are checkpointed: positions and partition counts are two
+    readings of them, and only a reliable copy makes both see the same
+    partitions, whatever caches are released in between."""
+    s = cut_lineage(df.orderBy(*_order(order_cols))
+                    .withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_mid", F.monotonically_increasing_id()))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a bounded table, ordered in a single task
     offs = counts.withColumn(

@@ -1,9 +1,10 @@
 """Seeded samplers and splits.
 
 Every sampler orders rows by a hash of (id, seed), so results are
-reproducible and independent of partitioning.  ``portable_hash`` is plain
-integer arithmetic that DuckDB evaluates identically (for oracle checks);
-``xxhash64`` is the production default for ids beyond ~10^6.
+reproducible and independent of partitioning.  ``portable_hash`` is an md5
+prefix that DuckDB evaluates identically, so seeds and splits give
+independent orders for any number of rows; ``portable=False`` takes the
+cheaper ``xxhash64``.
 """
 
 from __future__ import annotations
@@ -13,18 +14,12 @@ from pyspark.sql import functions as F
 
 from .ranking import global_rank, group_rank
 
-PRIME = 1000003
 
-
-def portable_hash(*parts: Column | int) -> Column:
-    """((p0 * 7919 + p1 * 104729 + p2 * 1299709) mod 1000003)."""
-    mults = [7919, 104729, 1299709, 15485863]
-    acc = None
-    for m, p in zip(mults, parts):
-        c = p if isinstance(p, Column) else F.lit(p)
-        t = c.cast("long") * F.lit(m)
-        acc = t if acc is None else acc + t
-    return F.pmod(acc, F.lit(PRIME))
+def portable_hash(id_: Column, seed: Column | int, salt: Column | int = 0) -> Column:
+    """First 60 bits of md5('id|seed|salt') as a long."""
+    parts = [c if isinstance(c, Column) else F.lit(c) for c in (id_, seed, salt)]
+    digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in parts]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def sample_key(id_col: str, seed: int, portable: bool = True, salt: int = 0) -> Column:

@@ -175,3 +175,11 @@ def share_per_bin(df: DataFrame, bin_col: str, value_col: str, out: str = "share
     return (df.join(tot, bin_col)
             .withColumn(out, F.try_divide(F.col(value_col).cast("double"), F.col("_tot")))
             .drop("_tot"))
+
+
+def event_markers(bins: DataFrame, markers: DataFrame, start_col: str = "bin_start",
+                  width_days: int = 7) -> DataFrame:
+    """E12 markers: the bins with the markers (marker, date) that fall in them."""
+    cond = (markers["date"] >= bins[start_col]) & \
+           (markers["date"] < F.timestamp_add("DAY", F.lit(width_days), bins[start_col]))
+    return bins.join(markers, cond, "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import aggregate as ag
 from ..sources.tables import table
-from .common import PRED_SQL, predictions, labelled_documents
+from .common import PRED_SQL, key_sql, labelled_documents, predictions
 from .registry import query
 
 W2 = r"'[\p{L}\p{N}_]{2,}'"
@@ -51,7 +51,7 @@ def d05_per_author(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # D06 ---------------------------------------------------------------------------
-_TAGGED = "concat(substr(text, 1, 200), ' #', source, ' #Lang_', lang)"
+_TAGGED = "concat(text, ' #', source, ' #Lang_', lang)"
 
 
 @query("D06", sql=rf"""
@@ -60,7 +60,7 @@ SELECT tag, count(*) AS n FROM t GROUP BY tag ORDER BY n DESC, tag LIMIT 10
 """)
 def d06_top_hashtags(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    tagged = F.concat(F.substring("text", 1, 200), F.lit(" #"), F.col("source"), F.lit(" #Lang_"), F.col("lang"))
+    tagged = F.concat(F.col("text"), F.lit(" #"), F.col("source"), F.lit(" #Lang_"), F.col("lang"))
     t = d.select(F.explode(tx.hashtags(tagged)).alias("tag"))
     c = t.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
     return c.orderBy(F.desc("n"), F.asc("tag")).limit(10)
@@ -249,7 +249,7 @@ def d18_coef_summary(spark: SparkSession, sf: str) -> DataFrame:
 WITH p AS ({PRED_SQL}),
 allp AS (SELECT d.doc_id, CASE WHEN (d.doc_id * 37 % 101) / 101.0 >= 0.5 THEN 'high' ELSE 'low' END AS pred
          FROM documents d),
-g AS (SELECT p.*, row_number() OVER (PARTITION BY gold ORDER BY ((doc_id * 7919 + 104729) % 1000003), doc_id) AS rn FROM p),
+g AS (SELECT p.*, row_number() OVER (PARTITION BY gold ORDER BY {key_sql('doc_id', 1)}, doc_id) AS rn FROM p),
 m AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM p GROUP BY gold)),
 u AS (SELECT 'balanced' AS subset, pred FROM g, m WHERE rn <= m.m
       UNION ALL SELECT 'labelled', pred FROM p

@@ -37,13 +37,9 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic,
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 """
 
-# Portable sampling key, identical in both engines.
-def portable_key(id_col, seed: int):
-    return (F.col(id_col) * F.lit(7919) + F.lit(seed * 104729)) % F.lit(1000003)
-
-
-def portable_key_sql(id_col: str, seed: int) -> str:
-    return f"(({id_col} * 7919 + {seed * 104729}) % 1000003)"
+def key_sql(id_col: str, seed: int | str, salt: int | str = 0) -> str:
+    """DuckDB form of ``operators.sampling.portable_hash``."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {id_col}, {seed}, {salt})), 1, 15) AS BIGINT)"
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:

@@ -195,17 +195,17 @@ def c01_join(spark: SparkSession, sf: str) -> DataFrame:
 
 # C04 ---------------------------------------------------------------------------
 @query("C04", sql="""
-WITH p AS (SELECT d.doc_id, substr(d.text, 1, 60) AS snippet,
+WITH p AS (SELECT d.doc_id, d.text AS document,
                   CASE WHEN l.quality = 1 THEN 'high' ELSE 'low' END AS gold,
                   CASE WHEN (d.doc_id * 37 % 101) / 101.0 >= 0.5 THEN 'high' ELSE 'low' END AS pred
            FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
-SELECT doc_id, gold, pred, snippet FROM p WHERE gold <> pred
+SELECT doc_id, gold, pred, document FROM p WHERE gold <> pred
 """)
 def c04_mispredictions(spark: SparkSession, sf: str) -> DataFrame:
     c = labelled_documents(spark, sf, inner=True)
-    p = c.select("doc_id", F.substring("text", 1, 60).alias("snippet"), F.col("label").alias("gold"),
+    p = c.select("doc_id", F.col("text").alias("document"), F.col("label").alias("gold"),
                  F.when((F.col("doc_id") * 37 % 101) / 101.0 >= 0.5, "high").otherwise("low").alias("pred"))
-    return cp.mispredictions(p, "gold", "pred").select("doc_id", "gold", "pred", "snippet")
+    return cp.mispredictions(p, "gold", "pred").select("doc_id", "gold", "pred", "document")
 
 
 # C07 / D01 ---------------------------------------------------------------------

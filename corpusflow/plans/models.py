@@ -22,7 +22,7 @@ from ..operators.aggregate import histogram, quantiles, log_loss, hmean_row, bin
 from ..operators.features import term_counts
 from ..operators.timeseries import running_stats
 from ..sources.tables import table
-from .common import labelled_documents
+from .common import key_sql, labelled_documents
 from .registry import query
 
 W2 = r"'[\p{L}\p{N}_]{2,}'"
@@ -54,7 +54,7 @@ def _vectors(spark, sf, min_df=2.0, vocab_size=1 << 18):
 WITH c AS ({LAB_SQL}), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM c),
 n AS (SELECT count(*) AS n FROM c),
 dr AS (SELECT rep, j FROM range(0, 20) a(rep), range(0, (SELECT CAST(floor(n * 0.5) AS BIGINT) FROM n)) b(j)),
-h AS (SELECT rep, ((rep * 7919 + j * 104729 + 0 * 1299709) % 1000003) % (SELECT n FROM n) AS idx FROM dr)
+h AS (SELECT rep, {key_sql('rep', 'j', 0)} % (SELECT n FROM n) AS idx FROM dr)
 SELECT CAST(h.rep AS BIGINT) AS replicate, r.doc_id, count(*) AS weight FROM h JOIN r ON h.idx = r.idx GROUP BY 1, 2
 """)
 def i22_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +64,7 @@ def i22_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("I23", sql=f"""
 WITH c AS ({LAB_SQL}),
-g AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY ((doc_id * 7919 + 3 * 104729) % 1000003), doc_id) AS rn FROM c),
+g AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {key_sql('doc_id', 3)}, doc_id) AS rn FROM c),
 m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM c GROUP BY label))
 SELECT doc_id, label FROM g, m WHERE rn <= m.m
 """)
@@ -74,7 +74,7 @@ def i23_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("I24", sql=f"""
 WITH c AS ({LAB_SQL}),
-g AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY ((doc_id * 7919 + 5 * 104729) % 1000003), doc_id) AS rn FROM c)
+g AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {key_sql('doc_id', 5)}, doc_id) AS rn FROM c)
 SELECT doc_id, label FROM g WHERE rn <= 50
 """)
 def i24_fixed_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +83,7 @@ def i24_fixed_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("I25", sql=f"""
 WITH c AS ({LAB_SQL}), s AS (SELECT c.*, CAST(split AS BIGINT) AS split FROM c, range(0, 3) t(split)),
-g AS (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY ((doc_id * 7919 + 7 * 104729 + split * 1299709) % 1000003), doc_id) AS rn,
+g AS (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY {key_sql('doc_id', 7, 'split')}, doc_id) AS rn,
              count(*) OVER (PARTITION BY split, label) AS n FROM s)
 SELECT split, doc_id, label, rn <= ceil(0.25 * n) AS is_test FROM g
 """)
@@ -92,7 +92,7 @@ def i25_stratified(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("split", "doc_id", "label", "is_test")
 
 
-@query("I26", sql="SELECT doc_id, CAST(((doc_id * 7919 + 11 * 104729) % 1000003) % 10 AS INT) AS fold FROM documents")
+@query("I26", sql=f"SELECT doc_id, CAST({key_sql('doc_id', 11)} % 10 AS INT) AS fold FROM documents")
 def i26_kfold(spark: SparkSession, sf: str) -> DataFrame:
     return sp.kfold(table(spark, sf, "documents").select("doc_id"), "doc_id", 10, seed=11)
 
@@ -100,7 +100,7 @@ def i26_kfold(spark: SparkSession, sf: str) -> DataFrame:
 # I20 / I29 (exact, long form) ------------------------------------------------------
 @query("I20", sql=rf"""
 WITH c AS ({LAB_SQL}),
-d AS (SELECT doc_id, label, ((doc_id * 7919 + 0 * 104729) % 1000003) % 10 AS fold FROM c),
+d AS (SELECT doc_id, label, {key_sql('doc_id', 0)} % 10 AS fold FROM c),
 t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {W2})) AS term FROM documents WHERE doc_id IN (SELECT doc_id FROM c)),
 L0 AS (SELECT doc_id, term, count(*) AS value FROM t GROUP BY doc_id, term),
 L AS (SELECT L0.*, d.label, d.fold FROM L0 JOIN d ON L0.doc_id = d.doc_id),
@@ -429,7 +429,7 @@ def i35_hashtag_labels(spark: SparkSession, sf: str) -> DataFrame:
     confusion counts and log loss per fold."""
     from ..operators.ranking import top_k_per_group
     d = table(spark, sf, "documents")
-    txt = F.concat(F.substring("text", 1, 200), F.lit(" #"), F.col("source"))
+    txt = F.concat(F.col("text"), F.lit(" #"), F.col("source"))
     tagged = d.select("doc_id", txt.alias("t")).select("doc_id", "t", F.explode(tx.hashtags("t")).alias("tag"))
     top = tagged.groupBy("tag").count().orderBy(F.desc("count"), "tag").limit(20).select("tag")
     sel = tagged.join(F.broadcast(top), "tag")    # 20 rows

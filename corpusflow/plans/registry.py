@@ -31,4 +31,4 @@ def query(qid: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so that its queries register."""
-    from . import corpus, text, aggregates, timeseries, sampling, links, models, sources, streams  # noqa: F401
+    from . import corpus, text, aggregates, timeseries, links, models, sources, streams  # noqa: F401

@@ -26,7 +26,7 @@ def _run(spark, df, name, mode="append"):
 @query("J01")
 def j01_hashtags(spark: SparkSession, sf: str) -> DataFrame:
     d = _stream(spark, sf, "documents")
-    t = d.select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" #"), F.col("source"),
+    t = d.select("doc_id", F.concat(F.col("text"), F.lit(" #"), F.col("source"),
                                     F.lit(" #Lang_"), F.col("lang")).alias("text"))
     return _run(spark, st.hashtag_stream(t), "J01").select("doc_id", "tag")
 

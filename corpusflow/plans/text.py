@@ -53,7 +53,7 @@ SELECT label, rank, term, score, df FROM rk WHERE rank <= 20
 # ----------------------------------------------------------------------------
 # Shared derived inputs (FIXTURES section 4) and their SQL twins.
 # ----------------------------------------------------------------------------
-TAGGED_SQL = "concat(substr(text, 1, 200), ' #', source, ' #Lang_', lang)"
+TAGGED_SQL = "concat(text, ' #', source, ' #Lang_', lang)"
 EMO_SQL = ("concat(text, CASE WHEN doc_id % 5 = 0 THEN ' :)' ELSE '' END, "
            "CASE WHEN doc_id % 7 = 0 THEN ' :(' ELSE '' END)")
 # Java (?U)\s as an explicit class for RE2
@@ -61,7 +61,7 @@ USPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x
 
 
 def tagged(c=None):
-    return F.concat(F.substring("text", 1, 200), F.lit(" #"), F.col("source"), F.lit(" #Lang_"), F.col("lang"))
+    return F.concat(F.col("text"), F.lit(" #"), F.col("source"), F.lit(" #Lang_"), F.col("lang"))
 
 
 def with_emoticons():

@@ -229,12 +229,6 @@ def e06_argsort(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # E12 -------------------------------------------------------------------------
-# The reference's event markers (name, date).
-NOTABLE_EVENTS = [("Gov. Kasich signs bill", "2011-03-31"),
-                  ("Signatures submitted", "2011-06-29"),
-                  ("Language decided", "2011-08-03"),
-                  ("SB-5 Repealed", "2011-11-08")]
-
 
 @query("E12", sql="""
 WITH lab AS (SELECT d.doc_id, TIMESTAMP '2024-01-01 00:00:00' + d.doc_id * INTERVAL 1 HOUR AS published
@@ -250,17 +244,6 @@ def e12_bounds(spark: SparkSession, sf: str) -> DataFrame:
                    F.count(F.lit(1)).alias("n_labelled"))
 
 
-def event_markers(spark: SparkSession, bins: DataFrame, start_col: str = "bin_start",
-                  width_days: int = 7) -> DataFrame:
-    """E12 markers: attach the fixed event markers to the bins they fall in
-    (a four-row literal table, broadcast)."""
-    ev = spark.createDataFrame(NOTABLE_EVENTS, "marker string, date string") \
-        .withColumn("date", F.to_timestamp("date").cast("timestamp_ntz"))
-    cond = (ev["date"] >= bins[start_col]) & \
-           (ev["date"] < F.timestamp_add("DAY", F.lit(width_days), bins[start_col]))
-    return bins.join(F.broadcast(ev), cond, "left")
-
-
 # E13 -------------------------------------------------------------------------
 @query("E13", sql=f"""
 WITH base AS (

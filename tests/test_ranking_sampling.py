@@ -89,3 +89,36 @@ def test_registered_queries_split_and_merge(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_bootstrap_draws_with_replacement_from_all_rows(spark):
+    from corpusflow.operators.sampling import bootstrap_weights, portable_hash
+
+    w = bootstrap_weights(spark.range(199).withColumnRenamed("id", "doc_id"), "doc_id", n_iter=4)
+    per = [r.n for r in w.groupBy("replicate").agg(F.count("*").alias("n")).collect()]
+    assert w.agg(F.max("weight")).first()[0] > 1 and all(100 < n < 150 for n in per)
+    # indices past any fixed period are drawn, and seeds give other orders
+    drawn = spark.range(20000).select(F.pmod(portable_hash(F.lit(0), F.col("id")), F.lit(5_000_000)).alias("i"))
+    assert drawn.where("i > 1000003").count() > 12000
+
+
+def test_global_rank_survives_cache_release(spark):
+    from corpusflow.operators.ranking import global_rank
+
+    wide = spark.range(60000, numPartitions=7).select("id", F.xxhash64("id").alias("v"), F.lit("x" * 50).alias("text"))
+    r = global_rank(wide, ["v", "id"])
+    spark.catalog.clearCache()
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = r.agg(F.count("*"), F.countDistinct("rank"), F.min("rank"), F.max("rank")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert tuple(got) == (60000, 60000, 1, 60000)
+
+
+def test_event_markers(spark):
+    from corpusflow.operators.timeseries import event_markers
+
+    bins = spark.sql("SELECT timestamp_ntz'2024-01-01' AS bin_start UNION ALL SELECT timestamp_ntz'2024-01-08'")
+    marks = spark.sql("SELECT 'm' AS marker, timestamp_ntz'2024-01-09' AS date")
+    assert [(r.bin_start.day, r.marker) for r in event_markers(bins, marks).orderBy("bin_start").collect()] == [(1, None), (8, "m")]
