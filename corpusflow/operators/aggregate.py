@@ -163,10 +163,8 @@ def histogram(df: DataFrame, value_col: str, bins: int = 10, lo=None, hi=None) -
     last bin is closed; values outside a fixed range are not counted."""
     v = F.col(value_col).cast("double")
     if lo is None or hi is None:
-        b = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-        lo_c, hi_c = b.select("lo").scalar(), b.select("hi").scalar()
-    else:
-        lo_c, hi_c = F.lit(float(lo)), F.lit(float(hi))
+        lo, hi = df.agg(F.min(v), F.max(v)).first()   # two numbers, NULL on an empty table
+    lo_c, hi_c = F.lit(lo).cast("double"), F.lit(hi).cast("double")
     width = (hi_c - lo_c) / F.lit(bins)
     idx = F.when(v == hi_c, F.lit(bins - 1)).otherwise(F.floor((v - lo_c) / width)).cast("long")
     h = df.select(idx.alias("bin")).where((F.col("bin") >= 0) & (F.col("bin") < bins)) \

@@ -177,15 +177,19 @@ def concat_blocks(*blocks: tuple[str, DataFrame]) -> DataFrame:
 def lexicon_matches(tokens_df: DataFrame, lexicon: DataFrame, token_col: str = "token") -> DataFrame:
     """Tokens joined to a lexicon table ``(entry, ...)``.
 
-    Exact entries use an equi-join; entries ending in ``*`` match by prefix.
-    The lexicon is a user-supplied word list (bounded, broadcast)."""
-    exact = lexicon.where(~F.col("entry").endswith("*"))
-    prefix = lexicon.where(F.col("entry").endswith("*")) \
-        .withColumn("stem", F.expr("substring(entry, 1, length(entry) - 1)"))
-    a = tokens_df.join(F.broadcast(exact), tokens_df[token_col] == exact["entry"])
-    b = tokens_df.join(F.broadcast(prefix), tokens_df[token_col].startswith(prefix["stem"])) \
-        .drop("stem")
-    return a.unionByName(b)
+    Entries ending in ``*`` match by prefix.  Each token is exploded into
+    itself and its prefixes of the lengths that such entries have, so all
+    entries meet their tokens in one equi-join on (key, prefix or not)."""
+    lex = lexicon.withColumn("_prefix", F.col("entry").endswith("*")).withColumn(
+        "_key", F.when(F.col("_prefix"), F.expr("substring(entry, 1, length(entry) - 1)")).otherwise(F.col("entry")))
+    # the distinct lengths: at most as many as the longest entry has characters
+    lengths = lex.where("_prefix").agg(F.sort_array(F.collect_set(F.length("_key")))).first()[0]
+    t = F.col(token_col)
+    keys = [F.struct(F.lit(False).alias("p"), t.alias("k"))] + [
+        F.when(F.length(t) >= n, F.struct(F.lit(True).alias("p"), F.substring(t, 1, n).alias("k"))) for n in lengths]
+    found = (tokens_df.withColumn("_at", F.explode(F.array_compact(F.array(*keys))))
+             .withColumns({"_prefix": F.col("_at.p"), "_key": F.col("_at.k")}).drop("_at"))
+    return found.join(lex, ["_key", "_prefix"]).drop("_key", "_prefix")
 
 
 def cooccurrences(docs: DataFrame, text_col: str = "text", min_df=0.01, max_df=0.99,

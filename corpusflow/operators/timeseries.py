@@ -1,7 +1,8 @@
 """Binning, smoothing and running statistics.
 
-Time bins are computed arithmetically from the data's lower bound (a
-one-row scalar subquery), so binning is a narrow projection followed by one
+Time bins are computed arithmetically from the data's bounds, which one small
+aggregate reads beforehand and which enter the plan as two literals, so
+binning is a narrow projection followed by one
 ``groupBy(bin, term)`` with map-side partial aggregation.  Per-term windows
 (smoothing, running statistics) run over the *binned* series, whose length
 is the number of bins, not the number of rows.
@@ -39,12 +40,13 @@ def _months(ts: Column) -> Column:
 
 
 def grid_params(df: DataFrame, ts_col: str, num: int = 1, unit: str = "D",
-                include_tail: bool = False) -> DataFrame:
+                include_tail: bool = True) -> DataFrame:
     """E08 as one row: start, number of edges, number of bins.
 
     start = unit-floor(min); end = unit-floor(max) + step, plus one more step
     when max lies beyond it; edges run from start to end, end excluded.
-    ``include_tail`` adds a covering bin so that no row is dropped."""
+    ``include_tail`` adds an edge where the last one does not lie behind
+    every row, so that the bins cover them all.  An empty table gives NULLs."""
     ts = F.col(ts_col).cast("timestamp_ntz")
     b = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
     start, fmax = _floor(F.col("lo"), unit), _floor(F.col("hi"), unit)
@@ -53,19 +55,25 @@ def grid_params(df: DataFrame, ts_col: str, num: int = 1, unit: str = "D",
         width = step * num
         span = _diff_us(start, fmax) + F.lit(width)
         beyond = _diff_us(fmax, F.col("hi")) > F.lit(width)
-        n_edges = F.ceil(span / F.lit(width)) + F.when(beyond, 1).otherwise(0)
+        last = F.floor(_diff_us(start, F.col("hi")) / F.lit(width))
     else:
-        mult = 12 if unit == "Y" else 1
-        width = num * mult
+        width = num * (12 if unit == "Y" else 1)
         span = _months(fmax) + F.lit(width) - _months(start)
-        end_ts = F.add_months(fmax, width).cast("timestamp_ntz")
-        beyond = F.col("hi") > end_ts
-        n_edges = F.ceil(span / F.lit(width)) + F.when(beyond, 1).otherwise(0)
-    n_edges = n_edges.cast("long")
-    n_bins = F.greatest(n_edges - 1, F.lit(0))
+        beyond = F.col("hi") > F.add_months(fmax, width).cast("timestamp_ntz")
+        last = F.floor((_months(F.col("hi")) - _months(start)) / F.lit(width))
+    n_edges = (F.ceil(span / F.lit(width)) + F.when(beyond, 1).otherwise(0)).cast("long")
     if include_tail:
-        n_bins = n_edges
-    return b.select(start.alias("start"), n_edges.alias("n_edges"), n_bins.alias("n_bins"))
+        n_edges = F.greatest(n_edges, last.cast("long") + 2)
+    return b.select(start.alias("start"), n_edges.alias("n_edges"),
+                    F.greatest(n_edges - 1, F.lit(0)).alias("n_bins"))
+
+
+def grid(df: DataFrame, ts_col: str, num: int = 1, unit: str = "D",
+         include_tail: bool = True) -> tuple[Column, Column]:
+    """Start and number of edges as literals, read by one aggregate: scalar
+    subqueries would be repeated in every expression that uses them."""
+    p = grid_params(df, ts_col, num, unit, include_tail).select(F.col("start").cast("string"), "n_edges").first()
+    return F.lit(p["start"]).cast("timestamp_ntz"), F.lit(p["n_edges"]).cast("long")
 
 
 def bin_index(ts: Column, start: Column, n_edges: Column, num: int, unit: str) -> Column:
@@ -97,7 +105,7 @@ def edge_at(start: Column, idx: Column, num: int, unit: str) -> Column:
 
 def datespace(df: DataFrame, ts_col: str, num: int = 1, unit: str = "D") -> DataFrame:
     """The edge grid as rows (edge_idx, edge)."""
-    p = grid_params(df, ts_col, num, unit)
+    p = grid_params(df, ts_col, num, unit, include_tail=False)
     return (p.select("start", F.explode(F.sequence(F.lit(0).cast("long"),
                                                     F.col("n_edges") - 1)).alias("edge_idx"))
             .select("edge_idx", edge_at(F.col("start"), F.col("edge_idx"), num, unit).alias("edge")))
@@ -113,16 +121,14 @@ _STATS = {
 
 def binned_statistic(df: DataFrame, ts_col: str, term_col: str | None, value_col: str | None,
                      num: int = 1, unit: str = "D", stats=("mean",),
-                     include_tail: bool = False, dense: bool = True) -> DataFrame:
+                     include_tail: bool = True, dense: bool = True) -> DataFrame:
     """Statistic per (bin, term) over bins of ``num`` x ``unit``.
 
     Returns (bin_idx, bin_start, term, <stat>...).  With ``dense`` every
     (bin, term) pair appears; empty bins give sum 0, count 0 and NULL
-    mean/median.  Bins are anchored at the unit-floor of the minimum."""
-    p = grid_params(df, ts_col, num, unit, include_tail)
-    start, n_edges = p.select("start").scalar(), p.select("n_edges").scalar()
-    if include_tail:
-        n_edges = n_edges + 1
+    mean/median.  Bins are anchored at the unit-floor of the minimum and cover
+    every row; ``include_tail=False`` drops rows behind the last edge of E08."""
+    start, n_edges = grid(df, ts_col, num, unit, include_tail)
     ts = F.col(ts_col).cast("timestamp_ntz")
     term = F.col(term_col) if term_col else F.lit("*")
     val = F.col(value_col).cast("double") if value_col else F.lit(1.0)
@@ -132,12 +138,12 @@ def binned_statistic(df: DataFrame, ts_col: str, term_col: str | None, value_col
             for s in stats]
     g = rows.groupBy("bin_idx", "term").agg(*aggs)
     if dense:
-        # grid = distinct terms x bin indices, generated by explode (bins are
+        # distinct terms x bin indices, generated by explode (bins are
         # bounded by the time span, not by the data volume)
         terms = rows.select("term").distinct()
-        grid = terms.select("term", F.explode(F.sequence(
+        cells = terms.select("term", F.explode(F.sequence(
             F.lit(0).cast("long"), (n_edges - 2).cast("long"))).alias("bin_idx"))
-        g = grid.join(g, ["bin_idx", "term"], "left")
+        g = cells.join(g, ["bin_idx", "term"], "left")
         for s in stats:
             if s in ("sum", "count"):
                 g = g.withColumn(s, F.coalesce(F.col(s), F.lit(0)))

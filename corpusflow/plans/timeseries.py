@@ -25,15 +25,18 @@ def _r(c, n=6):
 
 
 # Oracle fragment: bin parameters and bin index for fixed-width bins.
-def _grid_sql(src: str, tscol: str, width_us: int, trunc: str = "day") -> str:
+def grid_sql(src: str, tscol: str, width_us: int, trunc: str = "day", tail: bool = True) -> str:
+    edges = (f"CAST(ceil((epoch_us(date_trunc('{trunc}', max({tscol}))) + {width_us}"
+             f" - epoch_us(date_trunc('{trunc}', min({tscol})))) / {width_us}.0) AS BIGINT)")
+    if tail:
+        edges = (f"greatest({edges}, CAST(floor((epoch_us(max({tscol}))"
+                 f" - epoch_us(date_trunc('{trunc}', min({tscol})))) / {width_us}.0) AS BIGINT) + 2)")
     return f"""
-p AS (SELECT date_trunc('{trunc}', min({tscol})) AS start,
-             CAST(ceil((epoch_us(date_trunc('{trunc}', max({tscol}))) + {width_us}
-                        - epoch_us(date_trunc('{trunc}', min({tscol})))) / {width_us}.0) AS BIGINT) AS n_edges
+p AS (SELECT date_trunc('{trunc}', min({tscol})) AS start, {edges} AS n_edges
       FROM {src})"""
 
 
-def _bin_sql(tscol: str, width_us: int) -> str:
+def bin_sql(tscol: str, width_us: int) -> str:
     pos = f"(epoch_us({tscol}) - epoch_us(p.start))"
     return (f"CASE WHEN {pos} = (p.n_edges - 1) * {width_us} THEN p.n_edges - 2 "
             f"WHEN floor({pos} / {width_us}.0) <= p.n_edges - 2 "
@@ -42,7 +45,7 @@ def _bin_sql(tscol: str, width_us: int) -> str:
 
 # E08 -------------------------------------------------------------------------
 @query("E08", sql=f"""
-WITH {_grid_sql('events', 'ts', DAY_US)}
+WITH {grid_sql('events', 'ts', DAY_US, tail=False)}
 SELECT CAST(i AS BIGINT) AS edge_idx,
        strftime(p.start + i * INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS edge
 FROM p, range(0, p.n_edges) t(i)
@@ -55,8 +58,8 @@ def e08_datespace(spark: SparkSession, sf: str) -> DataFrame:
 
 # E07 -------------------------------------------------------------------------
 @query("E07", sql=f"""
-WITH {_grid_sql('events', 'ts', WEEK_US)},
-r AS (SELECT {_bin_sql('e.ts', WEEK_US)} AS bin_idx, e.event_type AS term, e.value AS v
+WITH {grid_sql('events', 'ts', WEEK_US)},
+r AS (SELECT {bin_sql('e.ts', WEEK_US)} AS bin_idx, e.event_type AS term, e.value AS v
       FROM events e, p),
 g AS (SELECT bin_idx, term, count(v) AS n, sum(v) AS s, avg(v) AS m
       FROM r WHERE bin_idx IS NOT NULL GROUP BY bin_idx, term),
@@ -84,8 +87,8 @@ def _daily_counts(spark, sf):
 
 
 _DAILY_SQL = f"""
-{_grid_sql('events', 'ts', DAY_US)},
-r AS (SELECT {_bin_sql('e.ts', DAY_US)} AS bin_idx, e.event_type AS term FROM events e, p),
+{grid_sql('events', 'ts', DAY_US)},
+r AS (SELECT {bin_sql('e.ts', DAY_US)} AS bin_idx, e.event_type AS term FROM events e, p),
 g AS (SELECT bin_idx, term, count(*) AS n FROM r WHERE bin_idx IS NOT NULL GROUP BY bin_idx, term),
 grid AS (SELECT t.term, CAST(i AS BIGINT) AS bin_idx
          FROM (SELECT DISTINCT term FROM r WHERE bin_idx IS NOT NULL) t, p, range(0, p.n_edges - 1) s(i)),
@@ -166,8 +169,8 @@ toks AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + d.doc_id * INTERVAL 1 HOUR AS
 WITH {_DOC_TOKENS_SQL},
 tot AS (SELECT term, count(*) AS n FROM toks GROUP BY term),
 sel AS (SELECT term FROM tot ORDER BY n DESC, term LIMIT 10 OFFSET 5),
-{_grid_sql('toks', 'published', WEEK_US)},
-r AS (SELECT {_bin_sql('t.published', WEEK_US)} AS bin_idx, t.term FROM toks t JOIN sel ON t.term = sel.term, p),
+{grid_sql('toks', 'published', WEEK_US)},
+r AS (SELECT {bin_sql('t.published', WEEK_US)} AS bin_idx, t.term FROM toks t JOIN sel ON t.term = sel.term, p),
 g AS (SELECT bin_idx, term, count(*) AS n FROM r WHERE bin_idx IS NOT NULL GROUP BY bin_idx, term),
 grid AS (SELECT t.term, CAST(i AS BIGINT) AS bin_idx
          FROM (SELECT DISTINCT term FROM r WHERE bin_idx IS NOT NULL) t, p, range(0, p.n_edges - 1) s(i)),
@@ -182,8 +185,7 @@ def e11_volume_share(spark: SparkSession, sf: str) -> DataFrame:
     the text is tokenized once."""
     from pyspark import StorageLevel
     docs = timed_documents(spark, sf)
-    p = ts.grid_params(docs, "published", 7, "D")
-    start, n_edges = p.select("start").scalar(), p.select("n_edges").scalar()
+    start, n_edges = ts.grid(docs, "published", 7, "D")
     rows = docs.select(ts.bin_index(F.col("published"), start, n_edges, 7, "D").alias("bin_idx"),
                        F.explode(tx.regex_tokens(F.lower("text"), "word2")).alias("term"))
     agg = rows.groupBy("bin_idx", "term").agg(F.count(F.lit(1)).alias("n")) \
@@ -253,8 +255,8 @@ WITH base AS (
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 k AS (SELECT published, 'labelled:' || label AS term FROM base WHERE label IS NOT NULL
       UNION ALL SELECT published, 'predicted:' || pred FROM base),
-{_grid_sql('k', 'published', WEEK_US)},
-r AS (SELECT {_bin_sql('k.published', WEEK_US)} AS bin_idx, k.term FROM k, p)
+{grid_sql('k', 'published', WEEK_US)},
+r AS (SELECT {bin_sql('k.published', WEEK_US)} AS bin_idx, k.term FROM k, p)
 SELECT bin_idx, term, count(*) AS count FROM r WHERE bin_idx IS NOT NULL GROUP BY bin_idx, term
 """)
 def e13_weekly_classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -284,8 +286,8 @@ def d02_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 # D21 -------------------------------------------------------------------------
 @query("D21", sql=f"""
-WITH {_grid_sql('events', 'ts', WEEK_US)},
-r AS (SELECT {_bin_sql('e.ts', WEEK_US)} AS bin_idx, e.event_type AS term, e.value AS v FROM events e, p),
+WITH {grid_sql('events', 'ts', WEEK_US)},
+r AS (SELECT {bin_sql('e.ts', WEEK_US)} AS bin_idx, e.event_type AS term, e.value AS v FROM events e, p),
 g AS (SELECT bin_idx, term, avg(v) AS m FROM r WHERE bin_idx IS NOT NULL GROUP BY bin_idx, term)
 SELECT term, round(var_pop(m), 6) AS bin_variance, count(m) AS n_bins FROM g GROUP BY term
 """)

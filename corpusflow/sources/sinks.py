@@ -24,7 +24,7 @@ def landing_dir(spark: SparkSession, name: str, fresh: bool = True) -> str:
     return f"{base}/landing/{name}/{uuid.uuid4().hex}" if fresh else f"{base}/landing/{name}"
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -37,10 +37,9 @@ def register_documents(docs: DataFrame, root: str, source: str, source_col: str
     overwrite keeps a retried job idempotent."""
     spark = docs.sparkSession
     target = f"{root.rstrip('/')}/{source_col}={source}"
-    if _path_exists(spark, target):
+    if path_exists(spark, target):
         raise ValueError(f"source {source!r} is already registered")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (docs.withColumn(source_col, F.lit(source)).write.mode("overwrite")
+    (docs.withColumn(source_col, F.lit(source)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(source_col).parquet(root))
     return target
 
@@ -77,7 +76,7 @@ def cached(spark: SparkSession, name: str, compute, **params) -> DataFrame:
     """Read the stored result for these parameters if present, else
     compute it, store it as parquet in the shared folder, and read it back."""
     path = landing_dir(spark, "cache", fresh=False) + "/" + cache_key(name, **params)
-    if not _path_exists(spark, path + "/_SUCCESS"):
+    if not path_exists(spark, path + "/_SUCCESS"):
         compute(**params).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import links as lk
+from ..sources.sinks import path_exists
 
 
 def stream_table(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -89,11 +90,8 @@ def frontier_batches(pages_stream: DataFrame, known_path: str, out_path: str, ch
     def step(batch: DataFrame, epoch: int) -> None:
         cand = lk.discovered_links(batch)
         known = spark.read.parquet(known_path).select("url")
-        try:
-            seen = spark.read.parquet(out_path).select("url")
-            known = known.unionByName(seen)
-        except Exception:  # noqa: BLE001 - first batch: no frontier yet
-            pass
+        if path_exists(spark, f"{out_path}/_SUCCESS"):     # not before the first batch
+            known = known.unionByName(spark.read.parquet(out_path).select("url"))
         new = cand.groupBy("url").agg(F.min("page_id").alias("parent_id")) \
             .join(known, "url", "left_anti").withColumn("batch", F.lit(epoch))
         new.write.mode("append").parquet(out_path)

@@ -41,17 +41,35 @@ def test_datespace_edges_and_lost_rows(spark):
     total = ev.count()
     expect = {(1, "D"): (29, 329), (1, "h"): (719, 14), (7, "D"): (5, 0), (1, "M"): (0, total)}
     for (num, unit), (bins, lost) in expect.items():
-        p = ts.grid_params(ev, "ts", num, unit).first()
+        p = ts.grid_params(ev, "ts", num, unit, include_tail=False).first()
         assert p["n_bins"] == bins
-        b = ts.binned_statistic(ev, "ts", None, None, num, unit, stats=("count",), dense=False)
+        b = ts.binned_statistic(ev, "ts", None, None, num, unit, stats=("count",), include_tail=False, dense=False)
         kept = b.agg(F.sum("count")).first()[0] or 0
         assert total - kept == lost
 
 
-def test_include_tail_keeps_every_row(spark):
+def test_default_bins_keep_every_row(spark):
     ev = spark.read.parquet(f"{SF01}/events.parquet")
-    b = ts.binned_statistic(ev, "ts", None, None, 1, "D", stats=("count",), include_tail=True)
-    assert b.agg(F.sum("count")).first()[0] == ev.count()
+    for num, unit in ((1, "D"), (1, "h"), (7, "D"), (1, "M"), (1, "Y")):
+        b = ts.binned_statistic(ev, "ts", None, None, num, unit, stats=("count",))
+        assert b.agg(F.sum("count")).first()[0] == ev.count()
+
+
+def test_row_on_the_last_edge_and_empty_table(spark):
+    df = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-02 00:00:00",)], "t string") \
+        .select(F.col("t").cast("timestamp_ntz").alias("ts"))
+    b = ts.binned_statistic(df, "ts", None, None, 1, "D", stats=("count",))
+    assert [(r["bin_idx"], r["count"]) for r in b.orderBy("bin_idx").collect()] == [(0, 1), (1, 1)]
+    b = ts.binned_statistic(df, "ts", None, None, 1, "D", stats=("count",), include_tail=False)
+    assert [(r["bin_idx"], r["count"]) for r in b.collect()] == [(0, 2)]     # closed right end
+    assert ts.binned_statistic(df.where("false"), "ts", None, None, 1, "D", stats=("count",)).collect() == []
+
+
+def test_bounds_are_read_once(spark):
+    ev = spark.read.parquet(f"{SF01}/events.parquet")
+    b = ts.binned_statistic(ev, "ts", "event_type", "value", 7, "D", stats=("count", "sum", "mean"))
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 2 and "scalar-subquery" not in plan
 
 
 def test_running_variance_property(spark):
