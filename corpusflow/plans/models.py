@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import time
 
-from pyspark import StorageLevel
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,8 @@ from ..functions import text as tx
 from ..operators import models as md
 from ..operators import sampling as sp
 from ..operators.aggregate import histogram, quantiles, log_loss, hmean_row, binned_accuracy
-from ..operators.features import term_counts
+from ..operators.features import join_by_term, ngram_array, term_counts, tfidf_join, tfidf_log
+from ..operators.links import ENGLISH_STOPWORDS
 from ..operators.timeseries import running_stats
 from ..sources.tables import table
 from .common import key_sql, labelled_documents
@@ -42,11 +41,9 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
                     tx.regex_tokens(F.lower("text"), "word2").alias("tokens"), "source")
 
 
-def _vectors(spark, sf, min_df=2.0, vocab_size=1 << 18):
-    c = corpus(spark, sf)
-    v, m = md.count_vectors(c, "tokens", vocab_size=vocab_size, min_df=min_df)
-    # every fit iterates over the vectors: keep them (recomputable) in memory/disk
-    return v.persist(StorageLevel.MEMORY_AND_DISK), m
+def _vectors(spark, sf, min_df=2, ngram_max=2):
+    """Vectors of the labelled documents' 1-2-grams and their vocabulary."""
+    return md.term_vectors(corpus(spark, sf), "tokens", min_df=min_df, ngram_max=ngram_max)
 
 
 # Sampling -------------------------------------------------------------------------
@@ -208,7 +205,7 @@ def i19_linear_svc_folds(spark: SparkSession, sf: str) -> DataFrame:
     (hinge loss, linear) over 10 shuffled folds."""
     from pyspark.ml.classification import LinearSVC
     v, _ = _vectors(spark, sf)
-    v = sp.kfold(v, "doc_id", 10, seed=4).persist()
+    v = sp.kfold(v, "doc_id", 10, seed=4)
     rows = []
     for f in range(10):
         tr, te = v.where(F.col("fold") != f), v.where(F.col("fold") == f)
@@ -216,7 +213,6 @@ def i19_linear_svc_folds(spark: SparkSession, sf: str) -> DataFrame:
         acc = m.transform(te).select(md.accuracy(te)).first()[0]
         coefs = m.coefficients.toArray()
         rows.append((f, float(acc or 0.0), float(sum(1 for x in coefs if x == 0) / max(len(coefs), 1))))
-    v.unpersist()
     return spark.createDataFrame(rows, "fold int, accuracy double, sparsity double")
 
 
@@ -230,7 +226,7 @@ def _bootstrap(spark, sf, n_iter=10, proportion=0.5, penalty="l2"):
 def i21_bootstrap_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     v, m, coefs = _bootstrap(spark, sf)
     c = corpus(spark, sf)
-    long = md.long_with_ids(term_counts(c.select("doc_id", "tokens"), F.col("tokens")), m.vocabulary)
+    long = join_by_term(term_counts(c, ngram_array(F.col("tokens"), 2)), m.select("term", "term_id"))
     p = md.predict_mean_coef(long, coefs)
     return p.join(c.select("doc_id", "label"), "doc_id").select(
         "doc_id", "label", "p0", "p1", F.when(F.col("p1") >= 0.5, "high").otherwise("low").alias("pred"))
@@ -240,8 +236,9 @@ def i21_bootstrap_ensemble(spark: SparkSession, sf: str) -> DataFrame:
 def e09_convergence(spark: SparkSession, sf: str) -> DataFrame:
     v, m, coefs = _bootstrap(spark, sf)
     mean = coefs.groupBy("term_id").agg(F.avg("coef").alias("m"))
-    top = mean.orderBy(F.desc("m")).limit(25).unionByName(mean.orderBy("m").limit(25)).select("term_id")
-    sel = coefs.join(F.broadcast(top), "term_id")   # 50 terms
+    top = (mean.orderBy(F.desc("m"), "term_id").limit(25)
+           .unionByName(mean.orderBy("m", "term_id").limit(25)).select("term_id").distinct())
+    sel = coefs.join(F.broadcast(top), "term_id")   # at most 50 terms
     return running_stats(sel, "coef", "replicate", ["term_id"]).select(
         "term_id", "replicate", "running_mean", "running_var")
 
@@ -301,7 +298,7 @@ def i30_self_train(spark: SparkSession, sf: str) -> DataFrame:
     c = labelled_documents(spark, sf).select(
         "doc_id", "label", (F.col("label") == "high").cast("double").alias("label_id"),
         tx.regex_tokens(F.lower("text"), "word2").alias("tokens"))
-    v, cvm = md.count_vectors(c, "tokens", min_df=2.0)
+    v, _ = md.term_vectors(c, "tokens", min_df=2, ngram_max=2)
     lab, unl = v.where(F.col("label").isNotNull()), v.where(F.col("label").isNull())
     m1 = md.logistic("l2", 1.0, lab.count()).fit(lab)
     pseudo = m1.transform(unl).select("doc_id", "features", F.col("prediction").alias("label_id"))
@@ -316,7 +313,6 @@ def i30_self_train(spark: SparkSession, sf: str) -> DataFrame:
 def i27_learning_curve(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.classification import NaiveBayes
     v, _ = _vectors(spark, sf)
-    v = v.persist()
     rows = []
     for train_n in (100, 200):
         for s in range(2):
@@ -329,7 +325,6 @@ def i27_learning_curve(spark: SparkSession, sf: str) -> DataFrame:
                 t0 = time.time()
                 acc = te.transform(lambda d: est.fit(tr).transform(d)).select(md.accuracy(te)).first()[0]
                 rows.append((name, train_n, s, float(acc), round(time.time() - t0, 3)))
-    v.unpersist()
     r = spark.createDataFrame(rows, "model string, train long, split int, accuracy double, elapsed double")
     base = corpus(spark, sf).groupBy("label").count().select((F.max("count") / F.sum("count"))).scalar()
     return r.groupBy("model", "train").agg(F.avg("accuracy").alias("accuracy"), F.avg("elapsed").alias("elapsed")) \
@@ -341,55 +336,55 @@ def i27_learning_curve(spark: SparkSession, sf: str) -> DataFrame:
 def d26_holdout(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.classification import NaiveBayes
     v, _ = _vectors(spark, sf)
-    split = sp.stratified_split(v, "label", "doc_id", test_size=0.1, n_iter=3, seed=30)
+    split = sp.stratified_split(v, "label", "doc_id", test_size=0.1, n_iter=10, seed=30)
     accs = []
-    for s in range(3):
+    for s in range(10):
         vv = v.join(split.where(F.col("split") == s).select("doc_id", "is_test"), "doc_id")
         tr, te = vv.where(~F.col("is_test")), vv.where(F.col("is_test"))
         m = NaiveBayes(featuresCol="features", labelCol="label_id", smoothing=1.0).fit(tr)
         accs.append(m.transform(te).select(md.accuracy(te)).first()[0])
-    return spark.createDataFrame([(3, float(sum(accs) / len(accs)))], "n_iter long, mean_accuracy double")
+    return spark.createDataFrame([(10, float(sum(accs) / len(accs)))], "n_iter long, mean_accuracy double")
 
 
 # Topic models ----------------------------------------------------------------------
-def _topic_vectors(spark, sf, family="alpha", extra_stop=True, tfidf=True, vocab_size=5000):
-    d = table(spark, sf, "documents")
-    toks = tx.regex_tokens("text", family, lower=True, min_len=2 if family == "alpha" else None,
-                           max_len=15 if family == "alpha" else None)
-    if extra_stop:
-        toks = tx.drop_stopwords(toks, tx.TOPIC_EXTRA_STOPWORDS)
-    c = d.select("doc_id", "source", toks.alias("tokens"))
-    v, m = md.count_vectors(c, "tokens", vocab_size=vocab_size, min_df=2.0, out="tf")
-    if tfidf:
-        from pyspark.ml.feature import IDF
-        v = IDF(inputCol="tf", outputCol="features").fit(v).transform(v)
-    else:
-        v = v.withColumnRenamed("tf", "features")
-    return v, m
+def _log_weights(long: DataFrame, n: int) -> DataFrame:
+    return tfidf_log(long, F.lit(n))
+
+
+def _topic_vectors(spark, sf):
+    toks = tx.regex_tokens("text", "alpha", lower=True, min_len=2, max_len=15)
+    c = table(spark, sf, "documents").select("doc_id", tx.drop_stopwords(toks, tx.TOPIC_EXTRA_STOPWORDS).alias("tokens"))
+    return md.term_vectors(c, "tokens", weight=_log_weights)
 
 
 @query("I12")
 def i12_lda(spark: SparkSession, sf: str) -> DataFrame:
-    v, m = _topic_vectors(spark, sf)
-    _, topics = md.lda_topics(v, m.vocabulary, k=5, max_iter=20)
+    v, vocab = _topic_vectors(spark, sf)
+    _, topics = md.lda_topics(v, vocab, k=5, max_iter=20)
     return topics
 
 
 @query("I13")
 def i13_lda_hashwords(spark: SparkSession, sf: str) -> DataFrame:
-    v, m = _topic_vectors(spark, sf, family="hashword", tfidf=False)
-    _, topics = md.lda_topics(v, m.vocabulary, k=4, max_iter=20, optimize_doc_concentration=True)
-    return topics
+    """Topic keys (kind topic: topic, rank, term, weight) and the top topic of
+    every document (kind document: doc_id, topic, weight)."""
+    stop = [*ENGLISH_STOPWORDS, *tx.TOPIC_EXTRA_STOPWORDS]
+    c = table(spark, sf, "documents").select("doc_id", tx.drop_stopwords(
+        tx.regex_tokens("text", "hashword", lower=True), stop).alias("tokens"))
+    v, vocab = md.term_vectors(c, "tokens")
+    model, topics = md.lda_topics(v, vocab, k=4, max_iter=20, optimize_doc_concentration=True)
+    docs = md.document_topics(model, v).select(F.lit("document").alias("kind"), "doc_id", F.col("top_topic").cast("int").alias("topic"),
+                                               F.col("top_weight").alias("weight"))
+    return topics.withColumn("kind", F.lit("topic")).unionByName(docs, allowMissingColumns=True)
 
 
 @query("I14")
 def i14_lda_per_label(spark: SparkSession, sf: str) -> DataFrame:
     c = corpus(spark, sf)
     out = None
-    for lab in ("high", "low"):
-        sub = c.where(F.col("label") == lab)
-        v, m = md.count_vectors(sub, "tokens", vocab_size=5000, min_df=1.0)
-        _, t = md.lda_topics(v, m.vocabulary, k=5, max_iter=20)
+    for lab in sorted(r[0] for r in c.select("label").distinct().collect()):     # class names: bounded
+        v, vocab = md.term_vectors(c.where(F.col("label") == lab), "tokens", weight=_log_weights)
+        _, t = md.lda_topics(v, vocab, k=5, max_iter=20)
         t = t.withColumn("label", F.lit(lab))
         out = t if out is None else out.unionByName(t)
     return out
@@ -397,86 +392,77 @@ def i14_lda_per_label(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("I16")
 def i16_doc_topics(spark: SparkSession, sf: str) -> DataFrame:
-    v, m = _topic_vectors(spark, sf)
-    model, _ = md.lda_topics(v, m.vocabulary, k=5, max_iter=20)
-    t = model.transform(v).select("doc_id", md.vector_to_array("topicDistribution").alias("d"))
-    return t.select("doc_id", (F.array_position("d", F.array_max("d")) - 1).alias("top_topic"),
-                    F.array_max("d").alias("top_weight"))
+    v, vocab = _topic_vectors(spark, sf)
+    model, _ = md.lda_topics(v, vocab, k=5, max_iter=20)
+    return md.document_topics(model, v)
 
 
 @query("I15")
 def i15_pca(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.ml.feature import IDF, Normalizer, PCA
+    """Two components of the smoothed, normalised weights.  The fit keeps the
+    terms x terms covariance on the driver and refuses more than 65,535 terms."""
+    from pyspark.ml.feature import PCA
     from ..operators.links import boilerplate_free
-    pages = table(spark, sf, "pages")
-    content = boilerplate_free(pages)
-    c = content.select("page_id", tx.regex_tokens("content", "word2", lower=True).alias("tokens"))
-    # PCA builds a d x d covariance on the driver: the vocabulary is capped
-    # to the 2000 most frequent terms (the reference's input had 2,118)
-    v, m = md.count_vectors(c, "tokens", vocab_size=2000, min_df=1.0, out="tf")
-    v = IDF(inputCol="tf", outputCol="idf").fit(v).transform(v)
-    v = Normalizer(inputCol="idf", outputCol="features", p=2.0).transform(v)
+    c = boilerplate_free(table(spark, sf, "pages")).select(
+        F.col("page_id").alias("doc_id"), tx.regex_tokens("content", "word2", lower=True).alias("tokens"))
+    v, _ = md.term_vectors(c, "tokens", min_df=2, max_df=0.95, weight=lambda long, n: tfidf_join(long, F.lit(n)))
     p = PCA(k=2, inputCol="features", outputCol="pc").fit(v).transform(v)
     arr = md.vector_to_array("pc")
-    return p.select("page_id", arr[0].alias("pc1"), arr[1].alias("pc2"))
+    return p.select(F.col("doc_id").alias("page_id"), arr[0].alias("pc1"), arr[1].alias("pc2"))
 
 
 # Hashtags as labels / out-of-corpus errors ---------------------------------------------
 @query("I35")
 def i35_hashtag_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Top-20 source tags as labels, at most 1000 texts per tag in arrival
-    order, the tag removed from its text, 10 folds of L2 logistic fits;
-    confusion counts and log loss per fold."""
+    order, the tag removed from its text, 10 folds of L2 logistic fits.
+    Confusion counts (label, predicted, n) per fold beside the fold's
+    accuracy and log loss."""
+    from pyspark.ml.feature import StringIndexer
     from ..operators.ranking import top_k_per_group
     d = table(spark, sf, "documents")
     txt = F.concat(F.col("text"), F.lit(" #"), F.col("source"))
-    tagged = d.select("doc_id", txt.alias("t")).select("doc_id", "t", F.explode(tx.hashtags("t")).alias("tag"))
+    tagged = d.select("doc_id", txt.alias("t")).select("doc_id", "t", F.explode(F.array_distinct(tx.hashtags("t"))).alias("tag"))
     top = tagged.groupBy("tag").count().orderBy(F.desc("count"), "tag").limit(20).select("tag")
     sel = tagged.join(F.broadcast(top), "tag")    # 20 rows
     sel = top_k_per_group(sel, ["tag"], ["doc_id"], 1000, out="rn")
-    sel = sel.select("doc_id", "tag", tx.remove_tag("t", "tag").alias("t"))
-    from pyspark.ml.feature import StringIndexer
-    sel = StringIndexer(inputCol="tag", outputCol="label_id").fit(sel).transform(sel)
-    sel = sel.withColumn("tokens", tx.regex_tokens(F.lower("t"), "word2"))
-    v, _ = md.count_vectors(sel, "tokens", min_df=1.0)
-    v = sp.kfold(v, "doc_id", 10, seed=6).persist()
-    rows = []
+    # a document stands once under each of its tags
+    sel = sel.select(F.concat_ws("|", "doc_id", "tag").alias("doc_id"), "tag", F.regexp_extract_all(
+        F.lower(tx.remove_tag("t", "tag")), F.lit(r"(?U)\b\S+\b"), 0).alias("tokens"))
+    index = StringIndexer(inputCol="tag", outputCol="label_id").fit(sel)
+    v, _ = md.term_vectors(index.transform(sel), "tokens", min_df=2, max_df=0.99)
+    v = sp.kfold(v, "doc_id", 10, seed=6)
+    names = F.array(*[F.lit(x) for x in index.labels])
+    out = None
     for f in range(10):
         tr, te = v.where(F.col("fold") != f), v.where(F.col("fold") == f)
-        m = md.logistic("l2", 1.0, tr.count(), max_iter=20).fit(tr)
-        pr = m.transform(te)
+        pr = md.logistic("l2", 1.0, tr.count(), max_iter=20).fit(tr).transform(te)
         p_true = F.get(md.vector_to_array("probability"), F.col("label_id").cast("int"))
-        r = pr.agg(md.accuracy(pr).alias("acc"), log_loss(p_true).alias("ll")).first()
-        rows.append((f, float(r["acc"]), float(r["ll"])))
-    v.unpersist()
-    return spark.createDataFrame(rows, "fold int, accuracy double, log_loss double")
+        total = pr.agg(md.accuracy(pr).alias("accuracy"), log_loss(p_true).alias("log_loss"))    # one row
+        cells = pr.groupBy(F.lit(f).alias("fold"), F.col("tag").alias("label"), F.get(names, F.col("prediction").cast("int")).alias("predicted")) \
+            .agg(F.count(F.lit(1)).alias("n"))
+        cells = cells.crossJoin(F.broadcast(total))
+        out = cells if out is None else out.unionByName(cells)
+    return out
 
 
 @query("I36")
 def i36_out_of_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The wrongly classified held-out documents of two sources: text, class
+    probabilities and the ascending contributions of their terms."""
     from ..operators.models import feature_contributions
     d = table(spark, sf, "documents")
     u = d.where(F.col("source").isin("src0", "src1")).select(
         "doc_id", "text", F.col("source").alias("label"),
         (F.col("source") == "src1").cast("double").alias("label_id"),
         tx.regex_tokens(F.lower("text"), "word2").alias("tokens"))
-    v, cvm = md.count_vectors(u, "tokens", min_df=1.0)
+    v, vocab = md.term_vectors(u, "tokens", min_df=2, ngram_max=2)
     split = sp.stratified_split(v, "label", "doc_id", test_size=0.3, seed=8).select("doc_id", "is_test")
     v = v.join(split, "doc_id")
     tr, te = v.where(~F.col("is_test")), v.where(F.col("is_test"))
     m = md.logistic("l2", 1.0, tr.count()).fit(tr)
-    wrong = m.transform(te).where(F.col("prediction") != F.col("label_id")).select("doc_id", "label", "prediction")
-    coefs = spark.createDataFrame([(t, float(c)) for t, c in zip(cvm.vocabulary, m.coefficients.toArray())],
-                                  "term string, coef double")
-    long = term_counts(u.select("doc_id", "tokens"), F.col("tokens"))
-    contrib = feature_contributions(long.join(wrong.select("doc_id"), "doc_id", "left_semi"), coefs)
-    return wrong.join(contrib, "doc_id").select("doc_id", "label", "prediction", "total", "n_terms")
-
-
-@query("I34")
-def i34_greedy_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Balanced sample of 50 per class (the reference uses 500), 5 rounds."""
-    c = corpus(spark, sf)
-    s = sp.balance(c, "label", "doc_id", seed=13, per_class=50)
-    long = term_counts(s.select("doc_id", "tokens"), F.col("tokens"))
-    return md.greedy_selection(long, s.select("doc_id", "label_id"), rounds=5)
+    wrong = m.transform(te).where(F.col("prediction") != F.col("label_id")).select(
+        "doc_id", "label", "prediction", "text", md.vector_to_array("probability").alias("probabilities"))
+    coefs = vocab.join(md.coefficients(spark, m), "term_id").select("term", "coef")
+    long = term_counts(u.join(wrong.select("doc_id"), "doc_id", "left_semi"), ngram_array(F.col("tokens"), 2))
+    return wrong.join(feature_contributions(long, coefs), "doc_id")

@@ -118,20 +118,34 @@ def test_query_matches_oracle(spark, duck, qid):
     assert a == b
 
 
-def test_kernel_logreg_accuracy():
-    rng = np.random.default_rng(0)
-    X = np.vstack([rng.normal(2, 0.3, (10, 3)), rng.normal(-2, 0.3, (10, 3))])
-    y = np.array([1.0] * 10 + [0.0] * 10)
-    G = X @ X.T
-    assert md._kernel_logreg_accuracy(G, y, np.array([0, 1, 2])) == 0.0      # one class
-    assert md._kernel_logreg_accuracy(G, y, np.array([0, 15])) == 1.0        # separable
-
-
-def test_greedy_selection_rounds(spark):
-    long = spark.createDataFrame([(0, "aa", 2), (1, "aa", 1), (2, "bb", 2), (3, "bb", 1), (3, "aa", 1)],
-                                 "doc_id long, term string, value long")
-    labels = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 0.0), (3, 0.0)], "doc_id long, label_id double")
-    out = md.greedy_selection(long, labels, rounds=2).orderBy("round").collect()
-    # round 0: every single-row fit has one class (accuracy 0), the first row wins
-    assert out[0]["doc_id"] == 0 and out[0]["accuracy"] == 0.0
-    assert out[1]["accuracy"] >= 0.75
+def test_term_vectors_match_numpy(spark):
+    c = spark.createDataFrame([(d, l, t) for d, l, t in DOCS] + [(8, "a", []), (9, "b", None)], "doc_id long, label string, tokens array<string>")
+    v, vocab = md.term_vectors(c, min_df=2, max_df=0.9, ngram_max=2)
+    grams = {d: t + [f"{a} {b}" for a, b in zip(t, t[1:])] for d, _, t in DOCS}
+    df = {}
+    for g in grams.values():
+        for t in set(g):
+            df[t] = df.get(t, 0) + 1
+    kept = sorted(t for t, n in df.items() if 2 <= n <= 0.9 * 10)
+    assert [(r["term_id"], r["term"], r["df"]) for r in vocab.orderBy("term_id").collect()] == [(i, t, df[t]) for i, t in enumerate(kept)]
+    got = {r["doc_id"]: r["features"].toArray().tolist() for r in v.collect()}
+    assert got == {**{d: [float(g.count(t)) for t in kept] for d, g in grams.items()}, 8: [0.0] * len(kept), 9: [0.0] * len(kept)}
+    assert v.columns == ["doc_id", "label", "features"]
+
+
+def test_vocabulary_has_no_cap(spark):
+    c = spark.range(3000).select(F.col("id").alias("doc_id"), F.transform(
+        F.sequence(F.col("id") * 100, F.col("id") * 100 + 99), lambda x: F.concat(F.lit("t"), x.cast("string"))).alias("tokens"))
+    v, vocab = md.term_vectors(c)
+    assert vocab.count() == 300_000 and vocab.select("term_id").distinct().count() == 300_000
+    r = v.where("doc_id = 17").first()["features"]
+    assert r.size == 300_000 and len(r.indices) == 100 and set(r.values) == {1.0}
+
+
+def test_bootstrap_coefs_of_every_replicate(spark):
+    c = spark.createDataFrame([(d, float(l == "a"), t) for d, l, t in DOCS], "doc_id long, label_id double, tokens array<string>")
+    v, vocab = md.term_vectors(c)
+    coefs = md.bootstrap_coefs(v, n_iter=3, proportion=1.0)
+    assert {(r["replicate"], r["n"]) for r in coefs.groupBy("replicate").agg(F.count("*").alias("n")).collect()} == {(i, vocab.count()) for i in range(3)}
+    mean = {r["term"]: r["c"] for r in coefs.join(vocab, "term_id").groupBy("term").agg(F.avg("coef").alias("c")).collect()}
+    assert mean["x"] > 0 > mean["w"]
