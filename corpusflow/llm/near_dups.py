@@ -214,7 +214,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def _components(held: DataFrame, words: int, percent: int, most_broadcast: int = 0) -> DataFrame:
     """(row, doc_id, n, root, component_id) of each row of the blocks; rows without words have no root.
 
-    The texts of bucket members are fetched by a shuffle, or by a broadcast of up to ``most_broadcast`` row numbers."""
+    The texts of bucket members are fetched by a shuffle at every size, or by a broadcast of up to ``most_broadcast`` row numbers."""
     rows = written(sketched(held, words), "sketches")
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.max("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -233,7 +233,9 @@ def _components(held: DataFrame, words: int, percent: int, most_broadcast: int =
     inside = fellows.select("node")
     # one text for each node that is in a bucket with others
     wanted = nodes.select("node", "row").join(inside, "node", "left_semi")
-    texts = written(held.select("row", "text").join(small(written(wanted, "wanted"), most_broadcast), "row").select("node", "text"), "candidate-texts")
+    wanted = written(wanted, "wanted")
+    wanted = small(wanted, most_broadcast) if most_broadcast else wanted.hint("merge")
+    texts = written(held.select("row", "text").join(wanted, "row").select("node", "text"), "candidate-texts")
     links = written(verified(first, texts, words, percent), "links-1")
     roots = components(links)
 
