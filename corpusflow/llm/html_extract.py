@@ -1,7 +1,7 @@
 """HTML extraction by consensus host paths.
 
-Pass 1 scores the containers of every page and names the page's best one by its generalised path: tags with their
-classes, digits replaced.  The paths are voted on per host in Spark.  Pass 2 extracts every page again, from the
+Pass 1 names each page's best container, the innermost one that leaves no text of the article outside, by its generalised
+path: tags with their classes, digits replaced.  The paths are voted on per host in Spark.  Pass 2 extracts every page again, from the
 elements on the best-voted path that the page has, and from its own best container where it has none of them.
 """
 
@@ -29,6 +29,8 @@ NOISE_TAGS = frozenset("nav footer aside form button select option label fieldse
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong "
                    "sub sup time tt u var wbr ruby rb rt rp data".split())
 CONTAINERS = frozenset("body main article section div td center".split())
+LAYOUT = CONTAINERS | frozenset("table tbody tr".split())  # what may stand around an article; paragraphs, lists and the like are its parts
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark what isn't the article.
 NOISE_WORDS = frozenset("nav navbar navigation menu menubar sidebar aside footer header masthead topbar breadcrumb breadcrumbs cookie cookies "
                         "consent gdpr notice notices alert banner ad ads advert adverts advertisement advertising sponsor sponsored "
@@ -42,23 +44,24 @@ CLOSES = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("t
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "parent", "chars", "linked", "children", "blocks", "number")
+    __slots__ = ("tag", "path", "noise", "marked", "parent", "chars", "linked", "children", "blocks")
 
-    def __init__(self, tag, path, noise, parent):
-        self.tag, self.path, self.noise, self.parent = tag, path, noise, parent
+    def __init__(self, tag, path, noise, marked, parent):
+        self.tag, self.path, self.noise, self.marked, self.parent = tag, path, noise, marked, parent
         self.chars = self.linked = 0
         self.children: list[Element] = []
         self.blocks = [0, 0]  # the range of the page's blocks inside
 
 
-def _describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """(generalised name, whether what is inside is no part of an article)."""
-    noise, classes = tag in NOISE_TAGS, []
+def _describe(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """(generalised name, whether what is inside is no part of an article, whether a class, id or role names it the article)."""
+    noise, marked, classes = tag in NOISE_TAGS, False, []
     if attributes.strip():
         for m in _ATTR.finditer(attributes):
             name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id", "role"):
                 words = set(re.split(r"[^a-z]+", value))
+                marked |= bool(words & TEXT_WORDS)
                 noise |= bool(words & NOISE_WORDS) and not (words & TEXT_WORDS and tag in ("article", "main", "body"))
                 if name == "class":
                     classes += sorted(_DIGITS.sub("0", c) for c in value.split())
@@ -66,12 +69,12 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool]:
                 noise = True
     if tag in ("body", "html"):
         noise = False
-    return ".".join([tag, *classes]), noise
+    return ".".join([tag, *classes]), noise, marked
 
 
 def parse(page: str) -> tuple[Element, list[str]]:
     """(root, blocks): the element tree with the text sizes of its containers, and the page's blocks outside of noise."""
-    root = Element("html", "", False, None)
+    root = Element("html", "", False, False, None)
     node, stack, blocks, run = root, [root], [], []  # run: pieces of text of the block being read
     links = 0
 
@@ -152,8 +155,8 @@ def parse(page: str) -> tuple[Element, list[str]]:
                     pop()
         if node.tag == "p":
             pop()
-        name, noise = _describe(tag, m[3])
-        child = Element(tag, f"{node.path}/{name}", noise or node.noise, node)
+        name, noise, marked = _describe(tag, m[3])
+        child = Element(tag, f"{node.path}/{name}", noise or node.noise, marked, node)
         child.blocks = [len(blocks), len(blocks)]
         node.children.append(child)
         stack.append(child)
@@ -165,20 +168,43 @@ def parse(page: str) -> tuple[Element, list[str]]:
     return root, blocks
 
 
-def weight(e: Element) -> float:
-    """What speaks for a container: its text outside of links, more in an article or main element."""
-    return max(0, e.chars - 2 * e.linked) * {"article": 1.5, "main": 1.3}.get(e.tag, 1.0)
+def mostly_links(chars: int, linked: int) -> bool:
+    return chars <= 1.25 * linked
+
+
+def inside(e: Element, tags: frozenset, unlinked: bool = False) -> bool:
+    """Whether the element is or holds one of ``tags`` with text (outside of links)."""
+    stack = [e]
+    while stack:
+        x = stack.pop()
+        if x.tag in tags and x.chars > (x.linked if unlinked else 0):
+            return True
+        stack += x.children
+    return False
+
+
+def left_out(e: Element, inner: Element) -> bool:
+    """Whether the article loses nothing if ``inner`` is kept without its sibling ``e``: noise, a list of links, a page header."""
+    if not e.chars:
+        return True
+    if mostly_links(e.chars, e.linked):  # a linked headline is no list
+        return not inside(e, HEADINGS) or e.blocks[1] - e.blocks[0] > 2 and not inside(e, frozenset(["h1"]))
+    return (e.tag == "header" and not (e.marked or e.parent.marked or e.parent.tag == "section")
+            and (not inside(e, frozenset(["h1"]), True) or inside(inner, frozenset(["h1"]))))
 
 
 def best(root: Element) -> Element:
-    """The innermost container that still holds most of the page's text."""
+    """The innermost container outside of which the page has only noise, link lists and its header; an article or main is not entered."""
     node = root
-    while True:
-        inner = [c for c in node.children if not c.noise and (c.tag in CONTAINERS or c.children)]
-        child = max(inner, key=weight, default=None)
-        if child is None or not weight(child) or weight(child) < 0.6 * max(1, node.chars - 2 * node.linked):
+    while node.tag not in ("article", "main"):
+        child = max((c for c in node.children if c.tag in LAYOUT), key=lambda c: c.chars - c.linked, default=None)
+        if child is None or child.chars <= child.linked:
+            return node
+        own, own_linked = (getattr(node, k) - sum(getattr(c, k) for c in node.children) for k in ("chars", "linked"))
+        if not mostly_links(own, own_linked) or not all(c is child or left_out(c, child) for c in node.children):
             return node
         node = child
+    return node
 
 
 def elements(root: Element, path: str) -> list[Element]:

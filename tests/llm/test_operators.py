@@ -450,3 +450,21 @@ def test_hosts_agree(spark):
     odd_page = (PAGE % 7).replace("Side</div>", "Side</div><div class='extra'>" + "long text of a teaser that nobody wants " * 20 + "</div>")
     df = spark.createDataFrame([*((i, "http://h/", PAGE % i) for i in range(3)), (7, "http://h/", odd_page)], "page_id long, url string, html string")
     assert {r.text for r in html_extract.extract_pages(df).collect()} == {TEXT}
+
+
+BODY = "<p>" + "the text of the body goes on and on " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    "<article><h1>Head</h1><p>Lead</p><div class='body'>%s</div><p>End</p></article>",
+    "<div class='post'><h1>Head</h1><p>Lead</p><div class='a'><div class='b'>%s</div></div><p>End</p></div>",
+    "<div><h1><a href='/x'>Head</a></h1><p>Lead</p><section><div>%s</div></section>End</div>",
+    "<article><h1>Head</h1><p>Lead</p><ul><li>%s</li></ul><p>End</p></article>",
+    "<div id='content'><h1>Head</h1><p>Lead</p><blockquote>%s</blockquote><p>End</p></div>",
+    "<div><header><h1>Head</h1></header><p>Lead</p><table><tr><td>%s</td></tr></table><p>End</p></div>"])
+def test_text_around_a_nested_body_stays(page):
+    frame = "<body><header><a href='/'>Site</a> of many pages</header><nav><a>One</a></nav>%s<ul><li><a>More</a><li><a>Still more</a></ul></body>"
+    root, blocks = html_extract.parse(frame % (page % BODY))
+    found = html_extract.best(root)
+    assert blocks[slice(*found.blocks)] == ["Head", "Lead", BODY[3:-4].strip(), "End"]
+    assert html_extract.extract(frame % (page % BODY), [found.path]) == "\n".join(["Head", "Lead", BODY[3:-4].strip(), "End"])
