@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,63 +38,127 @@ NOISE_WORDS = frozenset("nav navbar navigation menu menubar sidebar aside footer
                         "promo promotion social share sharing related recommended comment comments commentlist disqus reply replies respond "
                         "newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar "
                         "complementary contentinfo search searchbox skip copyright".split())
+#: Those of them that name a place on the page, as the classes of wrappers around everything often do.
+PLACE_WORDS = frozenset("nav navbar navigation menu menubar sidebar aside footer header masthead topbar banner notice notices alert widget "
+                        "widgets toolbar search overlay".split())
 #: A container of one of these words is the article, whatever else its class says.
-TEXT_WORDS = frozenset("article articlebody content entry post story main body".split())
+TEXT_WORDS = frozenset("article articlebody content entry post hentry story main body".split())
+#: What follows one of these words in a class says how the element looks, not what it is: with-sidebar, no-comments.
+MODIFIERS = frozenset("with without no not non has have".split())
+PLAIN, NOISE, PLACE, GONE = range(4)  # GONE: noise by its tag or hidden, PLACE: by words for places only
 #: Start tags that end an open element of the listed tags.
 CLOSES = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "marked", "parent", "chars", "linked", "children", "blocks")
+    __slots__ = ("tag", "path", "level", "marked", "noise", "parent", "chars", "linked", "children", "blocks")
 
-    def __init__(self, tag, path, noise, marked, parent):
-        self.tag, self.path, self.noise, self.marked, self.parent = tag, path, noise, marked, parent
+    def __init__(self, tag, path, level, marked, parent):
+        self.tag, self.path, self.level, self.marked, self.parent = tag, path, level, marked, parent
+        self.noise = False  # whether its text is left out; known when the page is read
         self.chars = self.linked = 0
         self.children: list[Element] = []
         self.blocks = [0, 0]  # the range of the page's blocks inside
 
 
-def _describe(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(generalised name, whether what is inside is no part of an article, whether a class, id or role names it the article)."""
-    noise, marked, classes = tag in NOISE_TAGS, False, []
+@lru_cache(1 << 14)
+def _meaning(token: str) -> tuple[bool, bool, frozenset]:
+    """(whether a class, id or role names the article, whether a word of it does, its noise words unless it names the article).
+
+    The last word decides: post-comments are comments, sidebar-content is content; an entry-header belongs to the entry.
+    """
+    words = [w for w in re.split(r"[^a-z]+", token) if w]
+    words = words[:next((i for i, w in enumerate(words) if w in MODIFIERS), None)]
+    said = [w for w in words if w in NOISE_WORDS or w in TEXT_WORDS]
+    text = any(w in TEXT_WORDS for w in said)
+    own = text and (said[-1] in TEXT_WORDS or said[-1] == "header")
+    return own, text, frozenset() if own else NOISE_WORDS.intersection(said)
+
+
+def _describe(tag: str, attributes: str) -> tuple[str, int, bool]:
+    """(generalised name, how far what is inside is no part of an article, whether a class, id or role names the article)."""
+    gone, marked, text, words, classes = tag in NOISE_TAGS, False, False, set(), []
     if attributes.strip():
         for m in _ATTR.finditer(attributes):
             name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id", "role"):
-                words = set(re.split(r"[^a-z]+", value))
-                marked |= bool(words & TEXT_WORDS)
-                noise |= bool(words & NOISE_WORDS) and not (words & TEXT_WORDS and tag in ("article", "main", "body"))
+                for token in value.split():
+                    own, some, noise = _meaning(token)
+                    marked, text, words = marked or own, text or some, words | noise
                 if name == "class":
                     classes += sorted(_DIGITS.sub("0", c) for c in value.split())
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                noise = True
+                gone = True
+    if tag in HEADINGS:
+        words.discard("header")
     if tag in ("body", "html"):
-        noise = False
-    return ".".join([tag, *classes]), noise, marked
+        level = PLAIN
+    elif gone:
+        level = GONE
+    elif not words or marked and (tag in CONTAINERS or tag == "header") or text and tag in ("article", "main"):
+        level = PLAIN
+    else:
+        level = PLACE if words <= PLACE_WORDS else NOISE
+    return ".".join([tag, *classes]), level, marked
+
+
+def _settle(order: list[Element], found: list[tuple[Element, str, int]]) -> list[str]:
+    """Decide which elements are noise, count the text of the others and return their blocks.
+
+    A container that is noise by its words alone is kept if it holds most of the page's text outside of links; where its
+    words say more than its place, only if the page's named articles hold little beside it.
+    """
+    weights = dict.fromkeys(order, 0)
+    for e, text, linked in found:
+        weights[e] += len(text) - linked
+    own = dict(weights)
+    for e in reversed(order):
+        if e.parent is not None:
+            weights[e.parent] += weights[e]
+    total, named = weights[order[0]], 0
+    big = {e for e in order if e.level in (NOISE, PLACE) and (e.tag in LAYOUT or e.tag == "header") and 2 * weights[e] > total}
+    if big:
+        article = {}  # whether a kept element is or lies in a named article; None: not kept
+        for e in order:
+            above = article[e.parent] if e.parent is not None else False
+            kept = above is not None and (e.level == PLAIN or e.level == PLACE and e in big)
+            article[e] = (above or e.marked or e.tag in ("article", "main")) if kept else None
+            named += own[e] if article[e] else 0
+    for e in order:
+        kept = e.level == PLAIN or e in big and (e.level == PLACE or 10 * named < weights[e])
+        e.noise = not kept or e.parent is not None and e.parent.noise
+    blocks, before = [], [0]
+    for e, text, linked in found:
+        if not e.noise:
+            blocks.append(text)
+            e.chars += len(text)
+            e.linked += linked
+        before.append(len(blocks))
+    for e in reversed(order):
+        e.blocks = [before[e.blocks[0]], before[e.blocks[1]]]
+        if e.parent is not None:
+            e.parent.chars += e.chars
+            e.parent.linked += e.linked
+    return blocks
 
 
 def parse(page: str) -> tuple[Element, list[str]]:
     """(root, blocks): the element tree with the text sizes of its containers, and the page's blocks outside of noise."""
-    root = Element("html", "", False, False, None)
-    node, stack, blocks, run = root, [root], [], []  # run: pieces of text of the block being read
+    root = Element("html", "", PLAIN, False, None)
+    node, stack, order, found, run = root, [root], [root], [], []  # run: pieces of text of the block being read
     links = 0
 
     def close_block():
         if run:
             text = _SPACE.sub(" ", html.unescape("".join(x for x, _ in run))).strip()
             if text:
-                blocks.append(text)
-                own = len(text)
-                linked = min(own, sum(len(x) for x, in_link in run if in_link))
-                for e in stack:
-                    e.chars += own
-                    e.linked += linked
+                found.append((node, text, min(len(text), sum(len(x) for x, in_link in run if in_link))))
             run.clear()
 
     def pop():
         nonlocal node
         close_block()
-        stack.pop().blocks[1] = len(blocks)
+        stack.pop().blocks[1] = len(found)
         node = stack[-1]
 
     at, end = 0, len(page)
@@ -101,7 +166,7 @@ def parse(page: str) -> tuple[Element, list[str]]:
     while at < end:
         m = _TOKEN.search(page, at)
         upto = m.start() if m else end
-        if upto > at and not node.noise:
+        if upto > at and node.level != GONE:
             run.append((page[at:upto], links > 0))
         if not m:
             break
@@ -137,7 +202,7 @@ def parse(page: str) -> tuple[Element, list[str]]:
             links = 1
             continue
         if tag in INLINE:
-            if m[3] and "=" in m[3] and not node.noise and _describe(tag, m[3])[1] and (skip := re.compile(rf"</{tag}\s*>", re.I).search(page, at)):
+            if m[3] and "=" in m[3] and node.level != GONE and _describe(tag, m[3])[1] and (skip := re.compile(rf"</{tag}\s*>", re.I).search(page, at)):
                 at = skip.end()  # an inline advert or hidden span
             continue
         if tag in VOID or m[3].endswith("/"):
@@ -146,7 +211,7 @@ def parse(page: str) -> tuple[Element, list[str]]:
         if tag == "html":
             continue
         close_block()
-        if not node.noise or tag in CLOSES:  # a block ends an open paragraph; list items and cells end their own kind
+        if node.level != GONE or tag in CLOSES:  # a block ends an open paragraph; list items and cells end their own kind
             ends = CLOSES.get(tag, ())
             scope = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ("ul", "ol", "table", "dl", "body", "select")), 0)
             first = next((i for i in range(scope + 1, len(stack)) if stack[i].tag in ends), None) if ends else None
@@ -155,17 +220,18 @@ def parse(page: str) -> tuple[Element, list[str]]:
                     pop()
         if node.tag == "p":
             pop()
-        name, noise, marked = _describe(tag, m[3])
-        child = Element(tag, f"{node.path}/{name}", noise or node.noise, marked, node)
-        child.blocks = [len(blocks), len(blocks)]
+        name, level, marked = _describe(tag, m[3])
+        child = Element(tag, f"{node.path}/{name}", GONE if node.level == GONE else level, marked, node)
+        child.blocks = [len(found), len(found)]
         node.children.append(child)
+        order.append(child)
         stack.append(child)
         node = child
     while len(stack) > 1:
         pop()
     close_block()
-    root.blocks[1] = len(blocks)
-    return root, blocks
+    root.blocks[1] = len(found)
+    return root, _settle(order, found)
 
 
 def mostly_links(chars: int, linked: int) -> bool:

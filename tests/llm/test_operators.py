@@ -468,3 +468,19 @@ def test_text_around_a_nested_body_stays(page):
     found = html_extract.best(root)
     assert blocks[slice(*found.blocks)] == ["Head", "Lead", BODY[3:-4].strip(), "End"]
     assert html_extract.extract(frame % (page % BODY), [found.path]) == "\n".join(["Head", "Lead", BODY[3:-4].strip(), "End"])
+
+
+@pytest.mark.parametrize("wrap", [
+    "<div id='content' class='content with-sidebar'>%s</div>", "<div class='site header-fixed'>%s</div>", "<section class='entry no-comments'>%s</section>",
+    "<article class='hentry sidebar-left'>%s</article>", "<div class='header-fixed'><div class='modal-open'>%s</div></div>", "<div id='sidebar-main'>%s</div>",
+    "<div class='cookie-theme'><div class='content-sidebar-wrap'><article>%s</article></div></div>"])
+def test_classes_of_wrappers_lose_no_article(wrap):
+    frame = "<body><nav>Menu of pages</nav>%s<div class='sidebar'>Side</div><div class='post-comments'>I think so</div><footer>Foot</footer></body>"
+    inner = "<header class='entry-header'><h1 class='header'>Head</h1></header>" + BODY + "<div class='related'>Read on</div>"
+    assert html_extract.extract(frame % (wrap % inner), None) == "Head\n" + BODY[3:-4].strip()
+
+
+def test_long_noise_beside_an_article_stays_out():
+    page = "<body><div class='ad'>%s</div><article><h1>Head</h1><p>%s</p></article><div class='comments'>%s</div></body>"
+    assert html_extract.extract(page % ("buy this " * 9, "short text " * 9, "I think so " * 50), None) == "Head\n" + ("short text " * 9).strip()
+    assert html_extract.extract("<body><h1>Forum</h1><div class='comments'>%s</div></body>" % ("I think so " * 50), None).startswith("Forum\nI think")
