@@ -377,6 +377,20 @@ def test_toxicity_held_out(spark):
     assert found[got.toxic == 1].mean() > 0.85 and found[got.toxic == 0].mean() < 0.02
 
 
+def test_toxic_vocabulary_of_rare_words(spark):
+    """Two hundred words, each in 1.5 % of 3000 toxic documents; three in each of them and no other marker."""
+    r = np.random.default_rng(5)
+    words = np.array(["".join(chr(97 + c) for c in r.integers(0, 26, 8)) for _ in range(2200)])
+    data = []
+    for i in range(30_000):
+        text = list(words[200:][r.integers(0, 2000, 12)]) + (list(words[:200][r.integers(0, 200, 3)]) if i % 10 == 0 else [])
+        data.append((i, " ".join(r.permutation(text)), int(i % 10 == 0)))
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    got = toxicity.scores(df, toxicity.fit(df, df)).join(df.select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
+    found = got.score >= toxicity.THRESHOLD
+    assert found[got.toxic == 1].mean() > 0.9 and found[got.toxic == 0].mean() < 0.02
+
+
 def test_risk_stays_above_zero():
     rows_ = [np.array([0])] * 5 + [np.array([1])] * 40 + [np.array([0])] * 5
     w, b = toxicity.nnpu(rows_, np.array([True] * 5 + [False] * 45), 0.1, 2)
