@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
+MOST_SOURCES = 1 << 18  # names up to which they are broadcast
+
+
 def landing_dir(spark: SparkSession, name: str, fresh: bool = True) -> str:
     """A folder below the shared checkpoint folder; a new one per call
     unless ``fresh`` is False."""
@@ -44,6 +47,27 @@ def register_documents(docs: DataFrame, root: str, source: str, source_col: str
     return target
 
 
+def register_sources(docs: DataFrame, root: str, source_col: str = "source") -> DataFrame:
+    """A14 for every source of ``docs`` at once, null included: the documents of all sources
+    that are not registered yet are written by one job, partitioned by source.  Returns
+    (source, registered); False where the source was there before and nothing was written.
+    Partition folders have no empty names: an empty source counts as null."""
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    docs = docs.withColumn(source_col, F.when(F.col(source_col) != "", F.col(source_col)))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != source_col], source_col)
+    known = (spark.read.schema(docs.schema).parquet(root) if path_exists(spark, root) else docs.where("false")).select(F.col(source_col).alias("_known")).distinct()
+    found = docs.select(source_col).distinct()
+    match = F.col(source_col).eqNullSafe(F.col("_known"))
+    new = found.join(known, match, "left_anti").withColumn("registered", F.lit(True))
+    status = new.unionByName(found.join(known, match, "left_semi").withColumn("registered", F.lit(False))).checkpoint()  # as it was before the write
+    chosen = status.where("registered").select(F.col(source_col).alias("_new"))
+    chosen = F.broadcast(chosen) if chosen.count() <= MOST_SOURCES else chosen  # the texts need no shuffle then
+    (docs.join(chosen, F.col(source_col).eqNullSafe(F.col("_new")), "left_semi")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(source_col).parquet(root))
+    return status
+
+
 def write_delimited(rows: list[DataFrame], path: str, sep: str = "\t") -> DataFrame:
     """Stack result rows whose columns may grow (missing -> empty), then
     write one delimited file set with a header; returns the stacked frame."""
