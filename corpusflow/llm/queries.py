@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat_format, exact_dedup, fingerprints, html_extract, lattice_lm, line_dedup, mixing, near_dups, packing, toxicity
+from . import chat_format, exact_dedup, fingerprints, hard_negatives, html_extract, lattice_lm, line_dedup, mixing, near_dups, packing, toxicity
 
 
 def op1_cube_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,13 +69,22 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+def relabelled(embeddings: DataFrame) -> DataFrame:
+    """The label mistakes that op13 plants: a row whose vec_id is divisible by 7 has the next label."""
+    return embeddings.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return hard_negatives.mine(relabelled(table(spark, sf, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_cube_mix, op2_near_dups, op3_toxicity, op4_html, op5_line_dedup, op6_lattice_lm, op7_fingerprints,
-                            op8_exact_dedup, op9_chat_format, op10_packing, pipeline)}
+                            op8_exact_dedup, op9_chat_format, op10_packing, op13_hard_negatives, pipeline)}
 
 _STRIP = r"[\x20\x09-\x0D]"
 
@@ -103,6 +112,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (trains), '')) AS loss_sha256,
        CAST(sum(upto) FILTER (trains OR i = n) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor = s.anchor AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor, positive_id ORDER BY s.score DESC, s.vec_id NULLS LAST)
+QUALIFY row_number() OVER w <= 10""",
     "op8_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
