@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat_format, exact_dedup, fingerprints, hard_negatives, html_extract, lattice_lm, line_dedup, mixing, near_dups, packing, toxicity
+from . import chat_format, exact_dedup, fingerprints, hard_negatives, html_extract, lattice_lm, line_dedup, mixing, near_dups, packing, pii, toxicity
 
 
 def op1_cube_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,6 +69,13 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+def op12_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select("doc_id", *[pii.n_base(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS[:4]],
+                        F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def relabelled(embeddings: DataFrame) -> DataFrame:
     """The label mistakes that op13 plants: a row whose vec_id is divisible by 7 has the next label."""
     return embeddings.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -84,7 +91,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_cube_mix, op2_near_dups, op3_toxicity, op4_html, op5_line_dedup, op6_lattice_lm, op7_fingerprints,
-                            op8_exact_dedup, op9_chat_format, op10_packing, op13_hard_negatives, pipeline)}
+                            op8_exact_dedup, op9_chat_format, op10_packing, op12_pii, op13_hard_negatives, pipeline)}
 
 _STRIP = r"[\x20\x09-\x0D]"
 

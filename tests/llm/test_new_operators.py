@@ -1,14 +1,16 @@
 """Hard negatives, personal data and conversation repair against brute-force versions."""
 
+import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.llm import hard_negatives, queries
+from corpusflow.llm import hard_negatives, pii, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +78,90 @@ def test_intervals_hold(d):
     # one code leaves about 0.6 of a vector's length, three about a third of it
     widths = [hard_negatives.encode(rows[3:], turn, n)[3].mean() for n in (1, 2, 3)]
     assert d == 1 or 0.65 > widths[0] > widths[1] > widths[2] and widths[2] < 0.4
+
+
+# personal data
+
+def luhn_holds(digits):
+    return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def brute_base(text):
+    """The contract's patterns and checks, with Python's own matcher."""
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+                          ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if (kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 16 <= len(digits) <= 19 and luhn_holds(digits)
+                    or kind == "phone" and 8 <= len(digits) <= 15):
+                out.append((kind, *m.span()))
+    return out
+
+
+def searched(df):
+    return [(r.doc_id, [(pii.KINDS[s.kind], s.start, s.end) for s in r.spans if s.base], [(pii.KINDS[s.kind], s.start, s.end) for s in r.spans])
+            for r in pii.find_spans(df).collect()]
+
+
+def with_text(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+CARD = "4111111111111111"
+
+
+def test_base_spans(spark, odd, clashing, none):
+    random.seed(2)
+    pieces = [CARD, "4111 1111 1111 1111", "4111-1111-1111-1111-0000", "12345678901234567", "+1 (555) 123-4567", "+49.30 1234 5678", "+1 2", "+12345678901234567890", "1.2.3.4",
+              "001.02.3.0255", "1.2.3.256", "1.2.3.4.5.6.7.8", "a@b.c", "a.b_c%+-@x-y.z1.de", "a@b.c_x@d.e", "@x.y", "a@b", "a@b.c..d@e.f", "é", "😀", " ", " ", "-", ".", "+", "9", "\n", ",", "word"]
+    texts = ["".join(random.choices(pieces, k=random.randint(0, 12))) for _ in range(1500)] + ["", None, CARD * 2, "a" * 200_000, "1" * 200_000, "1 " * 100_000, "1." * 3000, "+1" + " 2" * 50_000,
+             "a@" + "b." * 100_000 + "c", "a@b.c " * 3000 + CARD, ("12 " + CARD + ", ") * 3000, "-" * 200_000, "(" * 100_000 + "+" * 3000]
+    got = {i: base for i, base, _ in searched(with_text(spark, texts))}
+    for i, t in enumerate(texts):
+        want = [] if t is None or len(t) == 200_000 and "a" in t or t in ("1" * 200_000, "-" * 200_000) else brute_base(t)
+        assert got[i] == want, t[:200]
+    for df in (odd, clashing):
+        assert sorted(map(str, searched(df))) == sorted(str((r.doc_id, brute_base(r.text or ""), brute_base(r.text or ""))) for r in odd.collect())
+    assert searched(none) == []
+
+
+def test_added_spans(spark):
+    cases = {
+        f"12 {CARD} is a card": [("card", 3, 19)],                       # beside another number
+        f"call +1 (366) 555-9807 {CARD}": [("card", 23, 39), ("phone", 5, 22)],
+        "pay with amex 3782 822463 10005 now": [("card", 14, 31)],
+        "IBAN DE89 3704 0044 0532 0130 00.": [("iban", 5, 32)],
+        "IBAN DE88 3704 0044 0532 0130 00.": [],                          # the check digits are wrong
+        "Her SSN is 123-45-6789.": [("ssn", 11, 22)],
+        "part 123-45-6789 is sold": [], "SSN 000-45-6789": [],             # nothing near speaks of it; no such number
+        "phone: (555) 123-4567": [("phone", 7, 21)], "number (555) 123-4567": [],
+        "id 4111111111111112": [], "order 1234567890123 of 2020-01-02 10:00": [],
+    }
+    got = {i: spans for i, base, spans in searched(with_text(spark, list(cases)))}
+    for i, (t, want) in enumerate(cases.items()):
+        assert got[i] == want, t
+
+
+def test_check_digits(spark):
+    random.seed(4)
+    numbers = ["".join(random.choices("0123456789", k=random.randint(1, 19))) for _ in range(300)]
+    for r in spark.createDataFrame([(x,) for x in numbers], "x string").select("x", pii.luhn(F.col("x")).alias("ok")).collect():
+        assert r.ok == luhn_holds(r.x)
+    ibans = ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "FR1420041010050500013M02606", "FR1420041010050500013M02607", "NO9386011117947"]
+    got = [r.ok for r in spark.createDataFrame([(x,) for x in ibans], "x string").select(pii.mod97(F.col("x")).alias("ok")).collect()]
+    plain = [b.replace(" ", "") for b in ibans]
+    assert got == [int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1 for x in plain] == [True, True, True, False, True]
+
+
+def test_pii_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    df = queries.op12_pii(spark, SF)
+    assert "Python" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "Arrow" not in plan and "Exchange" not in plan
+    got = df.collect()
+    assert {r.doc_id for r in got} == set(docs)
+    for r in got:
+        base = brute_base(docs[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, *_ in base) for kind in pii.KINDS[:4]]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(",")) | {""}
