@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 from collections.abc import Callable
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat_format, exact_dedup, fingerprints, hard_negatives, html_extract, lattice_lm, line_dedup, mixing, near_dups, packing, pii, toxicity
+from . import chat_format, exact_dedup, fingerprints, hard_negatives, html_extract, lattice_lm, line_dedup, mixing, near_dups, packing, pii, repair, toxicity
 
 
 def op1_cube_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,6 +72,41 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The damage that op11 repairs, by crc32 of conv_id:turn; nulls count as one space."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat_ws(":", text["conv_id"], text["turn"]).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", text["role"].alias("role"), text["text"].alias("text"), kind.alias("kind"))
+    times = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, F.lit("user")).otherwise(F.col("role")).alias("role"),
+                       F.when(F.col("kind") == 1, F.lit("")).when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+                       F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).drop("_copy")
+
+
+def op11_repair(spark: SparkSession, sf: str) -> DataFrame:
+    talks = table(spark, sf, "conversations")
+    report, turns = repair.repair(damaged(talks))
+
+    def digest(batches):
+        """One pass over the turns of each conversation, which come in order."""
+        def out():
+            for conv, said in groupby(repair.rows_of(batches, "conv_id", "role", "text"), lambda x: x[0]):
+                sha, mark = hashlib.sha256(), ""
+                for _, role, text in said:
+                    sha.update(f"{mark}{role}:{text}".encode())
+                    mark = "\n"
+                yield conv, sha.hexdigest()
+
+        return repair.batches_of(out(), arrow_schema)
+
+    of, arrow_schema = repair.schemas([("id", turns.schema["conv_id"].dataType.simpleString()), ("repaired_sha256", "string")])
+    digests = turns.repartition("conv_id").sortWithinPartitions("conv_id", "pos", "seq").select("conv_id", "role", "text").mapInArrow(digest, of)
+    every = talks.select(F.col("conv_id").alias("of")).distinct()
+    found = every.join(report, F.col("of").eqNullSafe(F.col("conv_id")), "left").join(digests, F.col("of").eqNullSafe(F.col("id")), "left")
+    return found.select(F.col("of").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+                        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op12_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -91,7 +129,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_cube_mix, op2_near_dups, op3_toxicity, op4_html, op5_line_dedup, op6_lattice_lm, op7_fingerprints,
-                            op8_exact_dedup, op9_chat_format, op10_packing, op12_pii, op13_hard_negatives, pipeline)}
+                            op8_exact_dedup, op9_chat_format, op10_packing, op11_repair, op12_pii, op13_hard_negatives, pipeline)}
 
 _STRIP = r"[\x20\x09-\x0D]"
 
@@ -119,6 +157,45 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (trains), '')) AS loss_sha256,
        CAST(sum(upto) FILTER (trains OR i = n) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op11_repair": """
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+        lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+          lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+        regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said FROM d),
+w AS (SELECT *, said = '' AS blank, said <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+        lead(role) OVER (PARTITION BY conv_id ORDER BY i) AS next FROM o),
+r AS (SELECT *, NOT blank AND NOT duplicate AND right(said, 1) NOT IN ('.', '!', '?') AS truncated,
+        next IS NOT NULL AND left(role, 1) || left(next, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM w),
+goes(p, role, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+ins AS (SELECT unnest(range(4)) AS p, p AS q, 0 AS c, '' AS a, CAST([] AS VARCHAR[]) AS turns
+  UNION ALL SELECT p, q, 5, 'I', [CASE role WHEN 'u' THEN 'user:' ELSE 'assistant:' END] FROM goes WHERE role <> 's'
+  UNION ALL SELECT x.p, y.q, 10, 'II', [CASE x.role WHEN 'u' THEN 'user:' ELSE 'assistant:' END, CASE y.role WHEN 'u' THEN 'user:' ELSE 'assistant:' END]
+    FROM goes x JOIN goes y ON x.q = y.p WHERE x.role <> 's' AND y.role <> 's'),
+e AS (SELECT conv_id, i, p, p AS q, 2 AS c, 'D' AS a, CAST([] AS VARCHAR[]) AS turns FROM r, range(4) s(p)
+  UNION ALL SELECT conv_id, i, p, q, CASE WHEN truncated THEN 5 ELSE 0 END, 'K', [r.role || ':' || text]
+    FROM r JOIN goes ON left(r.role, 1) = goes.role WHERE NOT blank AND NOT duplicate
+  UNION ALL SELECT conv_id, i, p, q, CASE WHEN truncated THEN 6 ELSE 1 END, 'R', [CASE goes.role WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text]
+    FROM r JOIN goes ON goes.role <> 's' WHERE NOT blank AND NOT duplicate),
+s AS (SELECT e.conv_id, e.i, ins.p, e.q, ins.c + e.c AS c, ins.a || e.a AS a, list_concat(ins.turns, e.turns) AS turns FROM ins JOIN e ON ins.q = e.p),
+best AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS p, {'c': 0, 'a': '', 'turns': CAST([] AS VARCHAR[])} AS b FROM r
+  UNION ALL
+  SELECT s.conv_id, s.i, s.q, min({'c': b.c + s.c, 'a': b.a || s.a, 'turns': list_concat(b.turns, s.turns)})
+  FROM best JOIN s ON s.conv_id IS NOT DISTINCT FROM best.conv_id AND s.i = best.i + 1 AND s.p = best.p GROUP BY s.conv_id, s.i, s.q),
+n AS (SELECT conv_id, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank,
+        count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal FROM r GROUP BY conv_id),
+f AS (SELECT best.conv_id, min({'c': b.c + ins.c, 'a': b.a || ins.a, 'turns': list_concat(b.turns, ins.turns)}) AS b
+  FROM best JOIN n ON best.conv_id IS NOT DISTINCT FROM n.conv_id AND best.i = n.n JOIN ins ON ins.p = best.p AND ins.q IN (0, 3) GROUP BY best.conv_id)
+SELECT t.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) t LEFT JOIN n ON t.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN f ON t.conv_id IS NOT DISTINCT FROM f.conv_id""",
     "op13_hard_negatives": """
 WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v

@@ -4,13 +4,15 @@ import hashlib
 import math
 import random
 import re
+import zlib
+from itertools import product
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.llm import hard_negatives, pii, queries
+from corpusflow.llm import hard_negatives, pii, queries, repair
 
 SF = "/root/testdata/sf0.001"
 
@@ -165,3 +167,160 @@ def test_pii_query(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, *_ in base) for kind in pii.KINDS[:4]]
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(",")) | {""}
+
+
+# conversation repair
+
+TALKS = "conv_id long, turn long, role string, text string"
+BLANK = " \t\n\x0b\f\r"
+
+
+def plain_faults(rows):
+    """(blank, duplicate, truncated) of each (role, text), with the first fault alone set."""
+    seen, out = set(), []
+    for role, text in rows:
+        said = text.strip(BLANK)
+        blank, twice = not said, (role, text) in seen
+        seen.add((role, text))
+        out.append((blank, not blank and twice, not blank and not twice and said[-1] not in ".!?"))
+    return out
+
+
+def cheapest(rows, faults):
+    """(cost, audit, repaired) by the plain shortest path over rows and states, all inserted turns tried at every place."""
+    goes = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
+    name = {"u": "user", "a": "assistant"}
+
+    def inserted(best):
+        for _ in range(4):
+            for (p, (c, a, out)), r in product(list(best.items()), "ua"):
+                if (p, r) in goes:
+                    q, e = goes[p, r], (c + 5, a + "I", out + [(name[r], "")])
+                    best[q] = min(best.get(q, e), e)
+        return best
+
+    best = inserted({0: (0, "", [])})
+    for (role, text), (blank, twice, cut) in zip(rows, faults):
+        after = {}
+
+        def offer(q, e):
+            after[q] = min(after.get(q, e), e)
+
+        for p, (c, a, out) in best.items():
+            offer(p, (c + 2, a + "D", out))
+            if not blank and not twice:
+                if (p, role[:1]) in goes:
+                    offer(goes[p, role[:1]], (c + 5 * cut, a + "K", out + [(role, text)]))
+                for r in "ua":
+                    if (p, r) in goes:
+                        offer(goes[p, r], (c + 1 + 5 * cut, a + "R", out + [(name[r], text)]))
+        best = inserted(after)
+    return min(best[q] for q in (0, 3) if q in best)
+
+
+def plain_repair(rows):
+    """The report and the repaired turns of one conversation's (turn, role, text)."""
+    rows = sorted(((t, r or "", x or "") for t, r, x in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+    said = [(r, x) for _, r, x in rows]
+    faults = plain_faults(said)
+    turns = {t for t, *_ in rows} - {None}
+    initials = [r[:1] for r, _ in said]
+    cost, audit, out = cheapest(said, faults)
+    return (max(turns) - min(turns) + 1 - len(turns) if turns else 0, *[sum(f[i] for f in faults) for i in range(3)],
+            sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])), cost, audit), out
+
+
+def by_conversation(rows):
+    out = {}
+    for conv, *row in rows:
+        out.setdefault(conv, []).append(tuple(row))
+    return out
+
+
+def repaired(df):
+    report, turns = repair.repair(df)
+    said = by_conversation(sorted(((r.conv_id, r.pos, r.seq, r.role, r.text) for r in turns.collect()), key=lambda r: (r[0] is None, *r[1:3])))
+    return {r.conv_id: ((r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit), [x[2:] for x in said.get(r.conv_id, [])]) for r in report.collect()}
+
+
+def test_table_equals_all_splits_and_scripts():
+    """The cells of one split of each span against those of all splits, and against every script of edits on short conversations."""
+    random.seed(5)
+    for n in (1, 2, 3, 4, 7, 12):
+        for _ in range(12):
+            cells = [repair.row_cell(chr(97 + random.randrange(12))) for _ in range(n)]
+            full = {(i, i + 1): c for i, c in enumerate(cells)}
+            for length in range(2, n + 1):
+                for i in range(n - length + 1):
+                    every = [repair.combine(full[i, k], full[k, i + length])[0] for k in range(i + 1, i + length)]
+                    full[i, i + length] = {pq: min(c[pq] for c in every) for pq in every[0]}
+                    assert all(c == full[i, i + length] for c in every)
+            top, levels = repair.table(cells)
+            assert top == full[0, n]
+            for (p, q), (cost, audit) in top.items():
+                spans = repair.derived(levels, p, q)
+                assert "".join(c[s][1] for c, s in zip(cells, spans)) == audit and sum(c[s][0] for c, s in zip(cells, spans)) == cost
+    for _ in range(60):  # every script with up to two insertions at each place
+        rows = [(random.choice(["user", "assistant", "system", "tool"]), random.choice(["a.", "b", ""])) for _ in range(random.randint(1, 3))]
+        faults = plain_faults(rows)
+        found = []
+        for edits in product("KRD", repeat=len(rows)):
+            for gaps in product(["", "I", "II"], repeat=len(rows) + 1):
+                audit = "".join(g + e for g, e in zip(gaps, [*edits, ""]))
+                state, i, cost, ok = 0, 0, 0, True
+                for letter in audit:
+                    if letter == "I" or letter == "R":
+                        initial, cost = "a" if state == 2 else "u", cost + (5 if letter == "I" else 1)
+                    elif letter == "K":
+                        initial = rows[i][0][:1]
+                    if letter in "RK":
+                        ok &= not faults[i][0] and not faults[i][1]
+                        cost += 5 * faults[i][2]
+                    if letter == "D":
+                        cost += 2
+                    else:
+                        ok &= (state, initial) in repair.GOES
+                        state = repair.GOES.get((state, initial), 0)
+                    i += letter != "I"
+                if ok and state in (0, 3):
+                    found.append((cost, audit))
+        assert min(found) == cheapest(rows, faults)[:2]
+
+
+def test_repair(spark, monkeypatch):
+    random.seed(6)
+    roles, texts = ["user", "assistant", "system", "tool", "", None, "u2"], ["Yes.", "No!", "what", "", None, " \t\n", "é…", "a. \n", "x" * 400, "x" * 400 + "."]
+    rows = [(c, None if random.random() < 0.05 else random.randint(0, 9), random.choice(roles[:3 if c % 2 else 7]), random.choice(texts) if c % 3 else f"{random.random()}.")
+            for c in range(120) for _ in range(random.randint(1, 9))]
+    rows += [(None, i % 700, random.choice(["user", "assistant"]), f"t{i}" + random.choice(["", ".", "?"])) for i in range(900)]  # a long conversation without an id
+    rows += [(500, None, None, None)] * 40 + [(501, 5, "user", "same.")] * 40 + [(502, 3, "system", "alone.")] + [(503, 1, "assistant", "y" * 300_000 + ".")]
+    want = {c: plain_repair(x) for c, x in by_conversation(rows).items()}
+    df = spark.createDataFrame(rows, TALKS).repartition(3)
+    assert repaired(df) == want
+    clashing = df.repartition(7).withColumns({n: F.lit("x") for n in ("pos", "seq", "key", "first", "chunk", "at", "n", "blank", "_start", "_spread", "new_role", "pieces")})
+    monkeypatch.setattr(repair, "CHUNK", 16)  # many pieces for each conversation
+    assert repaired(clashing) == want
+    assert repaired(spark.createDataFrame([], TALKS)) == {}
+
+
+def test_repair_query(spark, tmp_path):
+    def damage(rows):
+        for c, t, role, text in rows:
+            key = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+            role, text = " " if role is None else role, " " if text is None else text
+            text = "" if key == 1 else re.sub("[.!?]", "", text) if key == 2 else text
+            for _ in range(0 if key == 0 else 2 if key == 3 else 1):
+                yield c, t, "user" if key == 4 else role, text
+
+    random.seed(7)
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(c, t, random.choice(["user", "assistant", None]), random.choice(["Ok.", None, f"n{t}."])) for c in (None, -5, 7000, 7001) for t in (None, 0, 1, 2, 2, 4)]
+    rows += [(i, 0, "user", "Only.") for i in range(8000, 8060)]  # some lose all rows
+    spark.createDataFrame(rows, TALKS).write.parquet(f"{tmp_path}/conversations.parquet")
+    left = by_conversation(damage(rows))
+    assert len(left) < len({r[0] for r in rows})
+    got = {r.conv_id: tuple(r)[1:] for r in queries.op11_repair(spark, str(tmp_path)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for c in got:
+        report, turns = plain_repair(left[c]) if c in left else ((0, 0, 0, 0, 0, 0, ""), [])
+        assert got[c] == (*report, hashlib.sha256("\n".join(f"{r}:{x}" for r, x in turns).encode()).hexdigest())

@@ -47,6 +47,6 @@ def test_registered(spark):
 
     found = entry.queries()
     assert set(queries.QUERIES) <= set(found) and set(queries.ORACLE) <= set(entry.oracle_sql())
-    assert len([k for k in found if k.startswith("op")]) == 10
+    assert len([k for k in found if k.startswith("op")]) == 13
     r = found["op6_lattice_lm"](spark, "/root/testdata/sf0.1").where("held_out").toPandas()
     assert np.mean(r.score / r.n_tokens) > np.mean(r.base_score / r.n_tokens)
