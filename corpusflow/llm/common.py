@@ -88,11 +88,6 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def small(df: DataFrame, most: int = 1 << 18) -> DataFrame:
-    """A narrow, written table as the side of a join: broadcast if it has at most ``most`` rows (a few ten MB), else as it is."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def others(docs: DataFrame):
     """All columns of ``docs`` but the text, and whether that is null, as one struct; see ``restored``."""
     return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"], F.col("text").isNull().alias("no_text"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-from .common import small, written
+from .common import written
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE, MOST = 1.5, 2.0
@@ -99,23 +99,53 @@ def landing(p: np.ndarray, size: np.ndarray, want_size: float, want_docs: float)
     return outcomes[np.lexsort((np.arange(1 << n), docs, words))[0]]
 
 
+def _narrow(docs: DataFrame) -> list:
+    """id, source, size and a hash of all columns: rows equal in these are equal, and any of them may be taken for another."""
+    kinds = dict(docs.dtypes)
+    columns = [F.col(f"`{c}`") for c in docs.columns if "map<" not in kinds[c]]
+    return [F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
+            F.xxhash64(*columns, *[c.isNull() for c in columns]).alias("hash")]
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    """(id, source, size, hash, nth) of rows: equal rows are numbered by their count alone, whatever task they come from."""
+    equal = rows.groupBy("id", "source", "size", "hash").agg(F.count("*").alias("n"))
+    return written(equal.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n"), "mix-units")
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST, seed: int = 17,
         shard_docs: int = SHARD_DOCS, landing_docs: int = LANDING) -> DataFrame:
-    """The columns of ``docs`` in a struct ``_doc``, and size, source_size, target, copies: how often the mix takes the row.
+    """id, source, size, source_size, target, copies (how often the mix takes the row) of each row of ``docs``.
 
-    Rows with the same doc_id are drawn one by one.  A document without words is taken floor(ratio) times.  An
-    empty table gives an empty result.  The same rows give the same mix: draws come from hashes of doc_id and seed.
+    Rows with the same doc_id are drawn one by one.  A document without words is taken floor(ratio) times.  A null
+    source is a source of its own; a null doc_id is an id like any other.  An empty table gives an empty result.  The same rows
+    give the same mix, however they are split into files and tasks: draws come from hashes of the rows and the seed.
     """
-    kept = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("id"),
-                               F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
-                               F.monotonically_increasing_id().alias("row")), "mix")
-    drawn = drawn_copies(kept.select("row", "id", "source", "size"), weights, share, most, seed, shard_docs, landing_docs)
-    return (kept.select("_doc", "row").join(small(written(drawn, "mix-drawn")), "row").select("_doc", "size", "source_size", "target", "copies"))
+    return drawn_copies(_units(docs.select(*_narrow(docs))), weights, share, most, seed, shard_docs, landing_docs).select(
+        "id", "source", "size", "source_size", "target", "copies")
+
+
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken; ``how``: the parameters of ``mix``.
+
+    Equal rows can't be told apart: the first of them stands for all copies that they are taken.  Nulls, repeated rows and
+    empty tables are as in ``mix``; other columns keep their names and values.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = written(docs.select(row.alias("_doc"), F.monotonically_increasing_id().alias("row"), *_narrow(docs)), "mix")
+    key = ["id", "source", "size", "hash"]
+    taken = drawn_copies(_units(kept.select(*key)), **how).groupBy(*key).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    first = kept.groupBy(*key).agg(F.min("row").alias("row"))
+    same = [first[c].eqNullSafe(taken[c]) for c in ("id", "source")] + [first[c] == taken[c] for c in ("size", "hash")]
+    chosen = written(first.join(taken, same).select("row", taken["copies"]), "mix-taken")
+    # one plan at every size: the rows are matched by a shuffle
+    full = kept.select("_doc", "row").join(chosen.hint("merge"), "row")
+    return full.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("_doc.*")
 
 
 def drawn_copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST, seed: int = 17,
                  shard_docs: int = SHARD_DOCS, landing_docs: int = LANDING) -> DataFrame:
-    """(row, id, size, source_size, target, copies) of (row, id, source, size); ``row`` is unique."""
+    """``rows`` (id, source, size, hash, nth, unique) with source_size, target and copies."""
     per_source = written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sources")
     want = written(targets(per_source.select("source", "source_size"), weights, share, most), "mix-targets").alias("t")
     plan = (want.join(per_source.select("source", "n"), want["source"].eqNullSafe(per_source["source"]))
@@ -123,18 +153,20 @@ def drawn_copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL
                     F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("ratio"),
                     F.ceil(F.col("n") / shard_docs).cast("int").alias("shards")))
     plan = written(plan, "mix-plan")  # one row a source
-    u = F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.lit(1 << 40)) / float(1 << 40)
+    u = F.pmod(F.xxhash64(F.lit(seed), "id", "hash", "nth"), F.lit(1 << 40)) / float(1 << 40)
     p = F.col("ratio") - F.floor("ratio")
     dealt = (rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
              .join(plan.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("key"), "source_size", "target", "ratio", "shards"), "key")
-             .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "row"), F.col("shards").cast("long")))
-             .select("row", "id", "key", "size", "source_size", "target", F.floor("ratio").cast("int").alias("base"), p.alias("p"), u.alias("u"), "shard"))
+             .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "hash", "nth"), F.col("shards").cast("long")))
+             .select("id", "hash", "nth", "source", "key", "size", "source_size", "target", F.floor("ratio").cast("int").alias("base"), p.alias("p"), u.alias("u"), "shard"))
 
     keep = max(2, landing_docs - 2)
+    order = [(c, "ascending") for c in ("u", "id", "hash", "nth")]
+    unit = ["id", "hash", "nth", "source"]
 
     def fly(key, table):
         """One shard: the flight, with a few documents of spread sizes held back."""
-        table = table.sort_by([("u", "ascending"), ("id", "ascending"), ("row", "ascending")])
+        table = table.sort_by(order)
         size, p, u = (table.column(c).to_numpy() for c in ("size", "p", "u"))
         moving = np.ones(len(p), bool)
         some = np.flatnonzero((p > 0) & (size > 0))
@@ -146,24 +178,24 @@ def drawn_copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL
         out = p.copy()
         out[moving] = flight(p[moving], size[moving].astype(float), u[moving])
         fixed = moving & ((out <= 0) | (out >= 1))
-        return (table.select(["row", "id", "key", "size", "source_size", "target", "base"])
+        return (table.select([*unit, "key", "size", "source_size", "target", "base"])
                 .append_column("p", pa.array(p)).append_column("u", pa.array(u)).append_column("q", pa.array(out))
                 .append_column("fixed", pa.array(fixed)))
 
-    schema = "row long, id long, key string, size long, source_size long, target double, base int, p double, u double, q double, fixed boolean"
+    schema = "id long, hash long, nth long, source string, key string, size long, source_size long, target double, base int, p double, u double, q double, fixed boolean"
     flown = written(dealt.groupBy("key", "shard").applyInArrow(fly, schema), "mix-flown")
     # a shard leaves at most landing_docs undecided: they fly again, in fewer shards, until a source's fit in one
     decided_rows, undecided = flown.where("fixed"), flown.where("not fixed")
     shards = plan.agg(F.max("shards")).first()[0] or 0
     while shards > 1 and shards * landing_docs > shard_docs:
         shards = min(shards - 1, -(-shards * landing_docs // shard_docs))
-        again = (undecided.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 2 + shards), "id", "row"), F.lit(shards)))
+        again = (undecided.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 2 + shards), "id", "hash", "nth"), F.lit(shards)))
                  .withColumn("p", F.col("q")).drop("q", "fixed"))
         flown = written(again.groupBy("key", "shard").applyInArrow(fly, schema), "mix-flown")
         decided_rows, undecided = decided_rows.unionByName(flown.where("fixed")), flown.where("not fixed")
 
     # what the decided documents of a source miss of its words and documents
-    wanted = dealt.groupBy("key").agg(F.max("target").alias("wanted"), F.sum(F.col("size") * F.col("base")).alias("base_words"), F.sum("p").alias("p"))
+    wanted = dealt.groupBy("key").agg(F.max("target").alias("wanted"), F.sum(F.col("size") * F.col("base")).alias("base_words"), (F.count("*") * F.max("p")).alias("p"))
     done = decided_rows.groupBy("key").agg(F.sum(F.col("q") * F.col("size")).alias("words"), F.sum("q").alias("docs"))
     decided = (wanted.join(done, "key", "left")
                .select("key", "wanted", (F.col("base_words") + F.coalesce("words", F.lit(0.0))).alias("words"),
@@ -172,7 +204,7 @@ def drawn_copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL
 
     def land(key, table):
         """The undecided documents of one source: at most ``landing_docs`` of each of its shards."""
-        table = table.sort_by([("u", "ascending"), ("id", "ascending"), ("row", "ascending")])
+        table = table.sort_by(order)
         size, q, u = (table.column(c).to_numpy() for c in ("size", "q", "u"))
         out, open_ = q.copy(), np.arange(len(q))
         if len(q) > most_open:  # a last flight over all but the landing set
@@ -188,14 +220,10 @@ def drawn_copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = TOTAL
             out[open_] = landing(q[open_], size[open_].astype(float),
                                  table.column("wanted")[0].as_py() - table.column("words")[0].as_py() - float(out[done] @ size[done]),
                                  table.column("docs")[0].as_py() - float(out[done].sum()))
-        return table.select(["row", "id", "size", "source_size", "target", "base"]).append_column("q", pa.array(out))
+        return table.select([*unit, "size", "source_size", "target", "base"]).append_column("q", pa.array(out))
 
     landed = (undecided.join(decided, "key").groupBy("key")
-              .applyInArrow(land, "row long, id long, size long, source_size long, target double, base int, q double"))
-    every = decided_rows.select("row", "id", "size", "source_size", "target", "base", "q").unionByName(landed)
-    return every.select("row", "id", "size", "source_size", "target", (F.col("base") + F.round("q").cast("int")).alias("copies"))
-
+              .applyInArrow(land, "id long, hash long, nth long, source string, size long, source_size long, target double, base int, q double"))
+    every = decided_rows.select(*unit, "size", "source_size", "target", "base", "q").unionByName(landed)
+    return every.select("id", "source", "size", "hash", "nth", "source_size", "target", (F.col("base") + F.round("q").cast("int")).alias("copies"))
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``mix()`` as often as it is taken, with the columns of its documents."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select("_doc.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX_A, MIX_B, batches_of, blocks, hashed_words, mix64, others, restored, small, text_chunks, written
+from .common import GOLDEN, MIX_A, MIX_B, batches_of, blocks, hashed_words, mix64, others, restored, text_chunks, written
 
 BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
@@ -211,10 +211,10 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return _components(blocks(docs), words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _components(held: DataFrame, words: int, percent: int, most_broadcast: int = 0) -> DataFrame:
+def _components(held: DataFrame, words: int, percent: int) -> DataFrame:
     """(row, doc_id, n, root, component_id) of each row of the blocks; rows without words have no root.
 
-    The texts of bucket members are fetched by a shuffle at every size, or by a broadcast of up to ``most_broadcast`` row numbers."""
+    The texts of bucket members are fetched by a shuffle at every size."""
     rows = written(sketched(held, words), "sketches")
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.max("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -233,8 +233,7 @@ def _components(held: DataFrame, words: int, percent: int, most_broadcast: int =
     inside = fellows.select("node")
     # one text for each node that is in a bucket with others
     wanted = nodes.select("node", "row").join(inside, "node", "left_semi")
-    wanted = written(wanted, "wanted")
-    wanted = small(wanted, most_broadcast) if most_broadcast else wanted.hint("merge")
+    wanted = written(wanted, "wanted").hint("merge")
     texts = written(held.select("row", "text").join(wanted, "row").select("node", "text"), "candidate-texts")
     links = written(verified(first, texts, words, percent), "links-1")
     roots = components(links)
@@ -271,7 +270,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Rows without words are linked with nothing and all stay.
     """
     held = blocks(docs, others(docs))
-    found = written(_components(held, words, percent, 1 << 18).where("root is not null").select("row", "doc_id", "root"), "near-rows")
+    found = written(_components(held, words, percent).where("root is not null").select("row", "doc_id", "root"), "near-rows")
     best = written(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("best")), "near-best")
     gone = written(found.join(best, "root").where("row <> best").select("row"), "near-gone")
-    return held.join(small(gone), "row", "left_anti").select(*restored(docs.columns))
+    return held.join(gone.hint("merge"), "row", "left_anti").select(*restored(docs.columns))

@@ -17,7 +17,7 @@ from . import chat_format, exact_dedup, fingerprints, hard_negatives, html_extra
 
 def op1_cube_mix(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents").select("doc_id", "source", "text"))
-    return mixed.select(F.col("_doc.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op2_near_dups(spark: SparkSession, sf: str) -> DataFrame:

@@ -215,20 +215,31 @@ def test_mix(odd, clashing, none, spark):
     for i, t, lang, source, n in rows():
         sizes[source] += len(split(t))
     want = brute_targets(sizes)
+    mixes = []
     for docs in (odd, clashing):
         got = mixing.mix(docs).collect()
         assert len(got) == len(rows())
         for r in got:
-            assert r.source_size == sizes[r._doc.source] and r.target == pytest.approx(want[r._doc.source]) and 0 <= r.copies <= 2
-    assert mixing.mix(none).collect() == []
-    assert mixing.repeated(mixing.mix(clashing)).columns == clashing.columns
+            assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.copies <= 2
+        taken = Counter()
+        for r in got:
+            taken[r.id, r.source, r.size] += r.copies
+        out = mixing.repeated(docs)
+        assert out.columns == docs.columns
+        copies = Counter((r.doc_id, r.source, len(split(r.text))) for r in out.collect())
+        assert copies == +taken
+        mixes.append(Counter(map(str, mixing.repeated(docs.repartition(5)).select(*odd.columns).collect())) == Counter(map(str, out.select(*odd.columns).collect())))
+    assert all(mixes)
+    assert mixing.mix(none).collect() == [] and mixing.repeated(none).collect() == []
 
 
 @pytest.mark.parametrize("shard_docs", [2048, 14])
 def test_mix_comes_near(spark, shard_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    runs = [mixing.mix(d, shard_docs=shard_docs).select("_doc.source", "_doc.doc_id", "size", "target", "copies").toPandas() for d in (docs, docs)]
-    assert runs[0].sort_values("doc_id").copies.tolist() == runs[1].sort_values("doc_id").copies.tolist()
+    docs = docs.union(docs.where("doc_id < 30")).union(docs.where("doc_id < 10"))  # some rows more than once
+    runs = [mixing.mix(d, shard_docs=shard_docs).toPandas().sort_values(["id", "copies"]) for d in (docs, docs.repartition(7), docs.repartition(2, "lang").sortWithinPartitions("text"))]
+    for other in runs[1:]:
+        assert runs[0].id.tolist() == other.id.tolist() and runs[0].copies.tolist() == other.copies.tolist()
     r = runs[0].assign(taken=runs[0]["size"] * runs[0].copies).groupby("source").agg(t=("target", "first"), taken=("taken", "sum"))
     assert (abs(r.taken - r.t) <= 0.01 * r.t + 1).all()
 
