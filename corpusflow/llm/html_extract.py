@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 from .common import batches_of, rows_of, written
 
 TOP_PATHS = 3
+MOST_SOFT = 64  # open inline elements followed at once
 MOST_HOSTS = 10_000  # hosts up to which their paths (TOP_PATHS strings each) are broadcast
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>]|$)""", re.I)
-_SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
+_SPACE, _DIGITS, _CAMEL = re.compile(r"\s+"), re.compile(r"\d+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 RAW = frozenset("script style textarea title template noscript iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,6 +34,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i
 CONTAINERS = frozenset("body main article section div td center".split())
 LAYOUT = CONTAINERS | frozenset("table tbody tr".split())  # what may stand around an article; paragraphs, lists and the like are its parts
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ADVERTS = frozenset("p figure blockquote".split())  # besides containers
 #: Words of class, id and role that mark what isn't the article.
 NOISE_WORDS = frozenset("nav navbar navigation menu menubar sidebar aside footer header masthead topbar breadcrumb breadcrumbs cookie cookies "
                         "consent gdpr notice notices alert banner ad ads advert adverts advertisement advertising sponsor sponsored "
@@ -41,50 +44,77 @@ NOISE_WORDS = frozenset("nav navbar navigation menu menubar sidebar aside footer
 #: Those of them that name a place on the page, as the classes of wrappers around everything often do.
 PLACE_WORDS = frozenset("nav navbar navigation menu menubar sidebar aside footer header masthead topbar banner notice notices alert widget "
                         "widgets toolbar search overlay".split())
-#: A container of one of these words is the article, whatever else its class says.
-TEXT_WORDS = frozenset("article articlebody content entry post hentry story main body".split())
+#: What names the article, unless a noise word stands beside it: a related post is no post.
+TEXT_HEADS = frozenset("article articlebody entry post hentry story".split())
+#: Words of layout: the word before them says what the element is.  Alone, those of TEXT_PLACES name the article.
+TEXT_PLACES = frozenset("content main body text".split())
+LAYOUT_WORDS = TEXT_PLACES | frozenset("box block list wrapper wrap container area section panel inner outer item items bar links link group row col column "
+                                       "left right top bottom fixed sticky slot unit zone title label form info".split())
+#: What lists beside an article hold.
+LISTED = frozenset("articles posts stories entries news videos products topics reading reads".split())
+#: Adverts, which may stand between the paragraphs of an article.
+AD_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+#: What cancels the word before it.
+CANCELS = frozenset("free less".split())
 #: What follows one of these words in a class says how the element looks, not what it is: with-sidebar, no-comments.
 MODIFIERS = frozenset("with without no not non has have".split())
-PLAIN, NOISE, PLACE, GONE = range(4)  # GONE: noise by its tag or hidden, PLACE: by words for places only
+#: GONE: noise by its tag or hidden, NOISE: by its words, PLACE: by words for places only, DOUBT: a noise word beside words that say something else.
+PLAIN, NOISE, PLACE, DOUBT, GONE = range(5)
 #: Start tags that end an open element of the listed tags.
 CLOSES = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 
 
 class Element:
-    __slots__ = ("tag", "path", "level", "marked", "noise", "parent", "chars", "linked", "children", "blocks")
+    __slots__ = ("tag", "name", "level", "marked", "advert", "noise", "parent", "chars", "linked", "children", "blocks")
 
-    def __init__(self, tag, path, level, marked, parent):
-        self.tag, self.path, self.level, self.marked, self.parent = tag, path, level, marked, parent
+    def __init__(self, tag, name, level, marked, advert, parent):
+        self.tag, self.name, self.level, self.marked, self.advert, self.parent = tag, name, level, marked, advert, parent
         self.noise = False  # whether its text is left out; known when the page is read
         self.chars = self.linked = 0
         self.children: list[Element] = []
         self.blocks = [0, 0]  # the range of the page's blocks inside
 
+    @property
+    def path(self) -> str:
+        """The generalised names from the page's root down."""
+        names, e = [], self
+        while e.parent is not None:
+            names.append(e.name)
+            e = e.parent
+        return "/".join(["", *reversed(names)])
+
 
 @lru_cache(1 << 14)
-def _meaning(token: str) -> tuple[bool, bool, frozenset]:
-    """(whether a class, id or role names the article, whether a word of it does, its noise words unless it names the article).
+def _meaning(token: str) -> tuple[int, bool, frozenset]:
+    """(PLAIN, NOISE or DOUBT, whether a class, id or role names the article, its noise words).
 
-    The last word decides: post-comments are comments, sidebar-content is content; an entry-header belongs to the entry.
+    Its last word that isn't one of layout decides: post-comments and comment-body are comments, a recommended-dose is
+    a dose.  A noise word beside a word for the article is noise, but an entry-header belongs to the entry.
     """
     words = [w for w in re.split(r"[^a-z]+", token) if w]
     words = words[:next((i for i, w in enumerate(words) if w in MODIFIERS), None)]
-    said = [w for w in words if w in NOISE_WORDS or w in TEXT_WORDS]
-    text = any(w in TEXT_WORDS for w in said)
-    own = text and (said[-1] in TEXT_WORDS or said[-1] == "header")
-    return own, text, frozenset() if own else NOISE_WORDS.intersection(said)
-
-
-def _describe(tag: str, attributes: str) -> tuple[str, int, bool]:
-    """(generalised name, how far what is inside is no part of an article, whether a class, id or role names the article)."""
-    gone, marked, text, words, classes = tag in NOISE_TAGS, False, False, set(), []
+    words = [w for i, w in enumerate(words) if w not in CANCELS and (i + 1 == len(words) or words[i + 1] not in CANCELS)]
+    noise = NOISE_WORDS.intersection(words)
+    named = any(w in TEXT_HEADS or w in TEXT_PLACES for w in words)
+    if not noise or named and words[-1] == "header" and noise == {"header"}:
+        return PLAIN, named, frozenset()
+    heads = [w for w in words if w not in LAYOUT_WORDS]
+    return NOISE if heads[-1] in noise or heads[-1] in TEXT_HEADS or heads[-1] in LISTED else DOUBT, False, noise
+
+
+def _describe(tag: str, attributes: str) -> tuple[str, int, bool, bool]:
+    """(generalised name, how far what is inside is no part of an article, whether it names the article, whether it names an advert)."""
+    gone, marked, doubt, words, classes = tag in NOISE_TAGS, False, False, set(), []
     if attributes.strip():
         for m in _ATTR.finditer(attributes):
-            name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
+            name, said = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+            value = said.lower()
             if name in ("class", "id", "role"):
-                for token in value.split():
-                    own, some, noise = _meaning(token)
-                    marked, text, words = marked or own, text or some, words | noise
+                for token in said.split():
+                    level, own, noise = _meaning(_CAMEL.sub("-", token).lower())
+                    marked, doubt = marked or own, doubt or level == DOUBT
+                    if level == NOISE:
+                        words |= noise
                 if name == "class":
                     classes += sorted(_DIGITS.sub("0", c) for c in value.split())
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
@@ -95,38 +125,56 @@ def _describe(tag: str, attributes: str) -> tuple[str, int, bool]:
         level = PLAIN
     elif gone:
         level = GONE
-    elif not words or marked and (tag in CONTAINERS or tag == "header") or text and tag in ("article", "main"):
+    elif marked and (tag in CONTAINERS or tag == "header") or not words and not doubt:
         level = PLAIN
     else:
-        level = PLACE if words <= PLACE_WORDS else NOISE
-    return ".".join([tag, *classes]), level, marked
+        level = DOUBT if not words else PLACE if words <= PLACE_WORDS else NOISE
+    return ".".join([tag, *classes]).replace("/", "|"), level, marked, bool(words & AD_WORDS)
 
 
 def _settle(order: list[Element], found: list[tuple[Element, str, int]]) -> list[str]:
     """Decide which elements are noise, count the text of the others and return their blocks.
 
-    A container that is noise by its words alone is kept if it holds most of the page's text outside of links; where its
-    words say more than its place, only if the page's named articles hold little beside it.
+    Words are one vote, structure the other.  A container that is noise by its words is kept if it holds most of the page's text
+    outside of links; where its words say more than its place, only if the page's named articles hold little beside it.
+    Paragraphs, headings, lists and the like inside of an article are left out only if they are mostly links, or a
+    small advert.  A doubtful element is left out only if it is mostly links.
     """
-    weights = dict.fromkeys(order, 0)
+    chars, links = dict.fromkeys(order, 0), dict.fromkeys(order, 0)
     for e, text, linked in found:
-        weights[e] += len(text) - linked
-    own = dict(weights)
+        chars[e] += len(text)
+        links[e] += linked
+    own = {e: chars[e] - links[e] for e in order}
     for e in reversed(order):
         if e.parent is not None:
-            weights[e.parent] += weights[e]
+            chars[e.parent] += chars[e]
+            links[e.parent] += links[e]
+    weights = {e: chars[e] - links[e] for e in order}
     total, named = weights[order[0]], 0
     big = {e for e in order if e.level in (NOISE, PLACE) and (e.tag in LAYOUT or e.tag == "header") and 2 * weights[e] > total}
-    if big:
-        article = {}  # whether a kept element is or lies in a named article; None: not kept
+    article: dict[Element, Element | None] = {}  # the named article that an element is or lies in
+
+    def kept(e: Element) -> bool:
+        if e.parent is not None and e.parent.noise or e.level == GONE:
+            return False
+        if e.level == PLAIN:
+            return True
+        if e in big:
+            return e.level == PLACE or 10 * named < weights[e]
+        if e.level == DOUBT:
+            return not links[e] or not mostly_links(chars[e], links[e])
+        inside = article.get(e.parent)
+        if inside is None or e.tag in LAYOUT or e.tag == "header":
+            return False
+        return not (links[e] and mostly_links(chars[e], links[e])) and not (e.advert and e.tag in ADVERTS and 5 * chars[e] < chars[inside])
+
+    for final in (False, True) if big else (True,):  # first: how much text the named articles hold
         for e in order:
-            above = article[e.parent] if e.parent is not None else False
-            kept = above is not None and (e.level == PLAIN or e.level == PLACE and e in big)
-            article[e] = (above or e.marked or e.tag in ("article", "main")) if kept else None
-            named += own[e] if article[e] else 0
-    for e in order:
-        kept = e.level == PLAIN or e in big and (e.level == PLACE or 10 * named < weights[e])
-        e.noise = not kept or e.parent is not None and e.parent.noise
+            e.noise = not kept(e) if final or e not in big else e.level != PLACE
+            above = article.get(e.parent)
+            article[e] = None if e.noise else above if above is not None else e if e.marked or e.tag in ("article", "main") else None
+            if not final and article[e] is not None:
+                named += own[e]
     blocks, before = [], [0]
     for e, text, linked in found:
         if not e.noise:
@@ -142,32 +190,42 @@ def _settle(order: list[Element], found: list[tuple[Element, str, int]]) -> list
     return blocks
 
 
+HIDDEN, ADVERT = "hidden", "advert"
+
+
 def parse(page: str) -> tuple[Element, list[str]]:
-    """(root, blocks): the element tree with the text sizes of its containers, and the page's blocks outside of noise."""
-    root = Element("html", "", PLAIN, False, None)
+    """(root, blocks): the element tree with the text sizes of its containers, and the page's blocks outside of noise.
+
+    Inline elements are a part of their sentence whatever their class says; the text of hidden ones is left out, and a
+    block that holds nothing but inline adverts.
+    """
+    root = Element("html", "", PLAIN, False, False, None)
     node, stack, order, found, run = root, [root], [root], [], []  # run: pieces of text of the block being read
-    links = 0
+    links, opened, soft = 0, Counter(), []  # soft: open inline elements that are hidden or adverts, or lie in one, with the depth they stand at
 
     def close_block():
         if run:
-            text = _SPACE.sub(" ", html.unescape("".join(x for x, _ in run))).strip()
-            if text:
-                found.append((node, text, min(len(text), sum(len(x) for x, in_link in run if in_link))))
+            text = _SPACE.sub(" ", html.unescape("".join(x for x, _, _ in run))).strip()
+            if text and not all(advert for x, _, advert in run if x.strip()):
+                found.append((node, text, min(len(text), sum(len(x) for x, in_link, _ in run if in_link))))
             run.clear()
 
     def pop():
         nonlocal node
         close_block()
-        stack.pop().blocks[1] = len(found)
+        e = stack.pop()
+        e.blocks[1] = len(found)
+        opened[e.tag] -= 1
         node = stack[-1]
+        while soft and soft[-1][2] > len(stack):
+            soft.pop()
 
     at, end = 0, len(page)
-    lower = None
     while at < end:
         m = _TOKEN.search(page, at)
         upto = m.start() if m else end
-        if upto > at and node.level != GONE:
-            run.append((page[at:upto], links > 0))
+        if upto > at and node.level != GONE and not any(kind == HIDDEN for _, kind, _ in soft):
+            run.append((page[at:upto], links > 0, any(kind == ADVERT for _, kind, _ in soft)))
         if not m:
             break
         at = m.end()
@@ -178,9 +236,11 @@ def parse(page: str) -> tuple[Element, list[str]]:
         if m[1]:  # an end tag
             if tag == "a":
                 links = 0
-            elif tag in INLINE or tag in VOID:
-                pass
-            elif any(e.tag == tag for e in stack[1:]):
+            if tag in INLINE or tag in VOID:
+                inner = next((i for i in range(len(soft) - 1, -1, -1) if soft[i][0] == tag), None)
+                if inner is not None:
+                    del soft[inner:]
+            elif opened[tag]:
                 while stack[-1].tag != tag:
                     pop()
                 pop()
@@ -189,21 +249,23 @@ def parse(page: str) -> tuple[Element, list[str]]:
                 close_block()
             continue
         if tag in RAW and not m[3].endswith("/"):
-            lower = lower or page.lower()
-            close = lower.find(f"</{tag}", at)
-            stop = page.find(">", close) if close >= 0 else -1
+            close = re.compile(f"</{tag}", re.I | re.A).search(page, at)
+            stop = page.find(">", close.end()) if close else -1
             at = stop + 1 if stop >= 0 else end
             continue
         if tag == "br":
             if run:
-                run.append((" ", False))
-            continue
-        if tag == "a":
-            links = 1
+                run.append((" ", False, False))
             continue
         if tag in INLINE:
-            if m[3] and "=" in m[3] and node.level != GONE and _describe(tag, m[3])[1] and (skip := re.compile(rf"</{tag}\s*>", re.I).search(page, at)):
-                at = skip.end()  # an inline advert or hidden span
+            if tag == "a":
+                links = 1
+            if tag in VOID or m[3].endswith("/"):
+                continue
+            _, level, _, advert = _describe(tag, m[3]) if "=" in m[3] or "hidden" in m[3].lower() else ("", PLAIN, False, False)
+            kind = HIDDEN if level == GONE else ADVERT if advert else None
+            if (kind or any(t == tag for t, _, _ in soft)) and len(soft) < MOST_SOFT:
+                soft.append((tag, kind, len(stack)))
             continue
         if tag in VOID or m[3].endswith("/"):
             close_block()
@@ -211,21 +273,22 @@ def parse(page: str) -> tuple[Element, list[str]]:
         if tag == "html":
             continue
         close_block()
-        if node.level != GONE or tag in CLOSES:  # a block ends an open paragraph; list items and cells end their own kind
-            ends = CLOSES.get(tag, ())
+        ends = CLOSES.get(tag)
+        if ends:  # list items and cells end their own kind
             scope = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ("ul", "ol", "table", "dl", "body", "select")), 0)
-            first = next((i for i in range(scope + 1, len(stack)) if stack[i].tag in ends), None) if ends else None
+            first = next((i for i in range(scope + 1, len(stack)) if stack[i].tag in ends), None)
             if first is not None:
                 while len(stack) > first:
                     pop()
-        if node.tag == "p":
+        if node.tag == "p":  # a block ends an open paragraph
             pop()
-        name, level, marked = _describe(tag, m[3])
-        child = Element(tag, f"{node.path}/{name}", GONE if node.level == GONE else level, marked, node)
+        name, level, marked, advert = _describe(tag, m[3])
+        child = Element(tag, name, GONE if node.level == GONE else level, marked, advert, node)
         child.blocks = [len(found), len(found)]
         node.children.append(child)
         order.append(child)
         stack.append(child)
+        opened[tag] += 1
         node = child
     while len(stack) > 1:
         pop()
@@ -275,13 +338,14 @@ def best(root: Element) -> Element:
 
 def elements(root: Element, path: str) -> list[Element]:
     """The outermost elements on a generalised path, in page order."""
-    found, stack = [], [root]
+    names, found, stack = path.split("/")[1:], [], [(root, 0)]
     while stack:
-        e = stack.pop()
-        if e.path == path and not e.noise:
-            found.append(e)
-        elif path.startswith(e.path + "/"):
-            stack.extend(reversed(e.children))
+        e, depth = stack.pop()
+        if depth == len(names):
+            if not e.noise:
+                found.append(e)
+        else:
+            stack.extend((c, depth + 1) for c in reversed(e.children) if c.name == names[depth])
     return found
 
 
@@ -302,7 +366,7 @@ def page_votes(pages: DataFrame) -> DataFrame:
             for host, page in rows_of(batches, "host", "html"):
                 root, _ = parse(page)
                 found = best(root)
-                if found.path and found.chars:
+                if found.parent is not None and found.chars:
                     yield host, found.path, found.chars
 
         return batches_of(out(), pa.schema([("host", pa.string()), ("path", pa.string()), ("chars", pa.int64())]))

@@ -509,3 +509,56 @@ def test_long_noise_beside_an_article_stays_out():
     page = "<body><div class='ad'>%s</div><article><h1>Head</h1><p>%s</p></article><div class='comments'>%s</div></body>"
     assert html_extract.extract(page % ("buy this " * 9, "short text " * 9, "I think so " * 50), None) == "Head\n" + ("short text " * 9).strip()
     assert html_extract.extract("<body><h1>Forum</h1><div class='comments'>%s</div></body>" % ("I think so " * 50), None).startswith("Forum\nI think")
+
+
+def extracted(page):
+    return html_extract.extract(page, None).split("\n")
+
+
+LONG = "Sentences of the article that go on for a while, so that most of the page is here. " * 8
+
+
+def test_inline_words_stay():
+    page = ("<body><nav><a>Menu</a></nav><article><h1>Keys</h1><p>Press the <span class='menu'>File</span> key and <b class='alert'>never</b> the "
+            "<code class='search'>grep</code> one, <a class='related' href='x'>see</a> <span class=comment>this</span>.</p><p>%s</p>"
+            "<p>Seen <span hidden>not <span>this</span> either</span><i aria-hidden='true'>nor this</i>here<b style='display: none'>!</b>.</p>"
+            "<span class='ad'><span>x</span> buy now</span><p>A <span class='ad'>word</span> in a sentence.</p><p><span class='advert'>All of it</span></p></article></body>") % LONG
+    assert extracted(page) == ["Keys", "Press the File key and never the grep one, see this.", LONG.strip(), "Seen here.", "A word in a sentence."]
+
+
+def test_positions_survive_lower_case():
+    for tag in ("script", "SCRIPT", "Style", "noscript"):
+        page = f"<article><p>First.</p><p>{'İ' * 300}</p><{tag}>var a = '<p>no</p>';</{tag.swapcase()} ><p>{LONG}</p><{tag}>unclosed <p>no</p>"
+        assert extracted(page) == ["First.", "İ" * 300, LONG.strip()]
+
+
+NOISES = ["sponsored-content", "related-content", "comment-body", "comment-content", "modal-body", "cookie-content", "newsletter-body", "sidebar-content", "comments-main",
+          "related-posts", "post-comments", "site-header", "ad-slot", "article-footer", "cookie-notice", "widget_area", "commentArea", "social-links"]
+
+
+@pytest.mark.parametrize("word", NOISES)
+def test_noise_content_stays_out(word):
+    noise = f"<div class='{word}'><p>Some text of no concern, of a sentence or two.</p></div>"
+    for page in (f"<body><article><h1>Head</h1><p>{LONG}</p>{noise}</article></body>", f"<body>{noise}<article><h1>Head</h1><p>{LONG}</p></article></body>",
+                 f"<body><div class='post'><h1>Head</h1><p>{LONG}</p></div>{noise}</body>"):
+        assert extracted(page) == ["Head", LONG.strip()]
+
+
+@pytest.mark.parametrize("part", ["<ul class='menu-items'><li>Soup of the day</li></ul>", "<p class='search-result'>Soup of the day</p>", "<h2 class='social-history'>Soup of the day</h2>",
+                                  "<ul><li class='sharing'>Soup of the day</li></ul>", "<div class='recommended-dose'>Soup of the day</div>", "<figure class='figure-ad-free'>Soup of the day</figure>",
+                                  "<blockquote class='comment'>Soup of the day</blockquote>", "<div class='ad-free'>Soup of the day</div>", "<p class='notice'>Soup of the day</p>", "<pre class='search'>Soup of the day</pre>"])
+def test_parts_of_an_article_stay(part):
+    assert extracted(f"<body><nav>Menu</nav><article><h1>Head</h1><p>{LONG}</p>{part}<p>End.</p></article></body>") == ["Head", LONG.strip(), "Soup of the day", "End."]
+
+
+def test_links_and_adverts_in_an_article_go():
+    page = f"<body><article><h1>Head</h1><p>{LONG}</p><ul class='share-links'><li><a href=x>Here</a><li><a href=y>There</a></ul><p class='ad'>Buy now.</p><aside>Aside</aside></article></body>"
+    assert extracted(page) == ["Head", LONG.strip()]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+    for page in ("<div>" * 50_000 + "<p>Deep text</p>", "<div><span>" * 50_000 + "text", "<b>" * 50_000 + "<p>x</b>" * 1000, "<ul><li>" * 20_000 + "text", "</section>" * 50_000 + "<p>x"):
+        t = time.time()
+        html_extract.extract(page, ["/body/article", html_extract.best(html_extract.parse(page)[0]).path])
+        assert time.time() - t < 5
