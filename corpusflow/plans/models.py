@@ -17,9 +17,12 @@ from ..functions import text as tx
 from ..operators import models as md
 from ..operators import sampling as sp
 from ..operators.aggregate import histogram, quantiles, log_loss, hmean_row, binned_accuracy
-from ..operators.features import join_by_term, ngram_array, term_counts, tfidf_join, tfidf_log
+from ..operators.components import principal_components
+from ..operators.features import df_cut, join_by_term, ngram_array, term_counts, tfidf_join, tfidf_log
+from ..operators.linkage import cut_tree, single_linkage
 from ..operators.links import ENGLISH_STOPWORDS
 from ..operators.timeseries import running_stats
+from ..session import cut_lineage
 from ..sources.tables import table
 from .common import key_sql, labelled_documents
 from .registry import query
@@ -66,7 +69,7 @@ m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM c GROUP BY label))
 SELECT doc_id, label FROM g, m WHERE rn <= m.m
 """)
 def i23_balance(spark: SparkSession, sf: str) -> DataFrame:
-    return sp.balance(corpus(spark, sf), "label", "doc_id", seed=3).select("doc_id", "label")
+    return sp.balance(corpus(spark, sf).select("doc_id", "label"), "label", "doc_id", seed=3).select("doc_id", "label")
 
 
 @query("I24", sql=f"""
@@ -75,7 +78,7 @@ g AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {key_
 SELECT doc_id, label FROM g WHERE rn <= 50
 """)
 def i24_fixed_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return sp.balance(corpus(spark, sf), "label", "doc_id", seed=5, per_class=50).select("doc_id", "label")
+    return sp.balance(corpus(spark, sf).select("doc_id", "label"), "label", "doc_id", seed=5, per_class=50).select("doc_id", "label")
 
 
 @query("I25", sql=f"""
@@ -85,7 +88,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY {key_sql('
 SELECT split, doc_id, label, rn <= ceil(0.25 * n) AS is_test FROM g
 """)
 def i25_stratified(spark: SparkSession, sf: str) -> DataFrame:
-    s = sp.stratified_split(corpus(spark, sf), "label", "doc_id", test_size=0.25, n_iter=3, seed=7)
+    s = sp.stratified_split(corpus(spark, sf).select("doc_id", "label"), "label", "doc_id", test_size=0.25, n_iter=3, seed=7)
     return s.select("split", "doc_id", "label", "is_test")
 
 
@@ -399,16 +402,15 @@ def i16_doc_topics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("I15")
 def i15_pca(spark: SparkSession, sf: str) -> DataFrame:
-    """Two components of the smoothed, normalised weights.  The fit keeps the
-    terms x terms covariance on the driver and refuses more than 65,535 terms."""
-    from pyspark.ml.feature import PCA
+    """The centred scores of two components of the smoothed, normalised weights."""
     from ..operators.links import boilerplate_free
     c = boilerplate_free(table(spark, sf, "pages")).select(
         F.col("page_id").alias("doc_id"), tx.regex_tokens("content", "word2", lower=True).alias("tokens"))
-    v, _ = md.term_vectors(c, "tokens", min_df=2, max_df=0.95, weight=lambda long, n: tfidf_join(long, F.lit(n)))
-    p = PCA(k=2, inputCol="features", outputCol="pc").fit(v).transform(v)
-    arr = md.vector_to_array("pc")
-    return p.select(F.col("doc_id").alias("page_id"), arr[0].alias("pc1"), arr[1].alias("pc2"))
+    long = cut_lineage(term_counts(c, F.col("tokens")))
+    docs = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"))
+    n = F.lit(docs.count())
+    scores, _, _ = principal_components(tfidf_join(df_cut(long, n, 2, 0.95), n), docs)
+    return scores.select(F.col("doc_id").alias("page_id"), F.get("pc", F.lit(0)).alias("pc1"), F.get("pc", F.lit(1)).alias("pc2"))
 
 
 # Hashtags as labels / out-of-corpus errors ---------------------------------------------
@@ -466,3 +468,40 @@ def i36_out_of_corpus(spark: SparkSession, sf: str) -> DataFrame:
     coefs = vocab.join(md.coefficients(spark, m), "term_id").select("term", "coef")
     long = term_counts(u.join(wrong.select("doc_id"), "doc_id", "left_semi"), ngram_array(F.col("tokens"), 2))
     return wrong.join(feature_contributions(long, coefs), "doc_id")
+
+
+# Single linkage -----------------------------------------------------------------------
+_CORR_SQL = """
+x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL),
+c AS (SELECT vec_id, list_transform(x, lambda v: v - list_avg(x)) AS c FROM x),
+n AS (SELECT vec_id, list_transform(c, lambda v: v / sqrt(list_inner_product(c, c))) AS u FROM c WHERE list_inner_product(c, c) > 0),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, greatest(0, 1 - list_inner_product(a.u, b.u)) AS h FROM n a JOIN n b ON a.vec_id <> b.vec_id)"""
+
+
+@query("I38", sql=f"""
+WITH RECURSIVE {_CORR_SQL},
+t AS (SELECT 0 AS step, b AS v, h, a AS up FROM p WHERE a = (SELECT min(vec_id) FROM n)
+  UNION ALL
+  SELECT t.step + 1, t.v, least({{'h': t.h, 'a': least(t.v, t.up), 'b': greatest(t.v, t.up)}}, {{'h': p.h, 'a': least(p.a, p.b), 'b': greatest(p.a, p.b)}}).h,
+         CASE WHEN {{'h': t.h, 'a': least(t.v, t.up), 'b': greatest(t.v, t.up)}} <= {{'h': p.h, 'a': least(p.a, p.b), 'b': greatest(p.a, p.b)}} THEN t.up ELSE p.a END
+  FROM t, (SELECT arg_min(v, {{'h': h, 'a': least(v, up), 'b': greatest(v, up)}}) AS m FROM t) m, p WHERE p.a = m.m AND p.b = t.v AND t.v <> m.m),
+e AS (SELECT step, min({{'h': h, 'a': least(v, up), 'b': greatest(v, up)}}) AS e FROM t GROUP BY step)
+SELECT e.a AS a, e.b AS b, round(e.h, 6) AS height FROM e
+""")
+def i38_single_linkage(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges of the single-linkage tree of all embeddings by correlation distance."""
+    tree, _ = single_linkage(table(spark, sf, "embeddings"))
+    return tree.select("a", "b", _r(F.col("height")).alias("height"))
+
+
+@query("I38_cut", sql=f"""
+WITH RECURSIVE {_CORR_SQL},
+k AS (SELECT a, b FROM p WHERE h <= 0.55),
+r AS (SELECT vec_id AS id, vec_id AS at FROM embeddings UNION SELECT r.id, k.b FROM r JOIN k ON r.at = k.a)
+SELECT id, min(at) AS cluster FROM r GROUP BY id
+""")
+def i38_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The clusters of the tree cut at a height of 0.55, each named by its smallest id."""
+    e = table(spark, sf, "embeddings")
+    tree, _ = single_linkage(e)
+    return cut_tree(tree, e.select(F.col("vec_id").alias("id")), 0.55)
