@@ -14,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..sources.sinks import landed
 from .features import vocabulary_ids
 
 COLUMNS, ROUNDS, TOLERANCE = 24, 40, 1e-7
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    return landed(df, "components")
+
+
 def _sums(value, arrays: str, width: int):
     return [F.sum(value * F.get(arrays, F.lit(i))).alias(f"s{i}") for i in range(width)]
 
@@ -62,14 +66,14 @@ def principal_components(long: DataFrame, docs: DataFrame, k: int = 2, columns:
     every row of ``docs``, term and its loadings, and the variance (n - 1) of
     each component, largest first.  The loading of largest size (ties: the
     first term) is positive.  Fewer than k components where the rank is less."""
-    vocab = cut_lineage(vocabulary_ids(long).select("term", "term_id"))
-    x = cut_lineage(long.join(vocab, "term").groupBy("doc_id", "term_id").agg(F.sum(F.col("value").cast("double")).alias("value")))
+    vocab = _kept(vocabulary_ids(long).select("term", "term_id"))
+    x = _kept(long.join(vocab, "term").groupBy("doc_id", "term_id").agg(F.sum(F.col("value").cast("double")).alias("value")))
     ids = docs.select("doc_id")
     n = ids.count()
 
     def scored(q: DataFrame, width: int) -> DataFrame:
         """doc_id and the centred scores of the rows that have terms, and the mean."""
-        raw = cut_lineage(x.join(q, "term_id").groupBy("doc_id").agg(*_sums(F.col("value"), "q", width)))
+        raw = _kept(x.join(q, "term_id").groupBy("doc_id").agg(*_sums(F.col("value"), "q", width)))
         mean = raw.agg(*[F.sum(f"s{i}") for i in range(width)]).first()
         mean = np.array([float(m or 0.0) for m in mean]) / max(n, 1)
         return raw, mean
@@ -78,11 +82,11 @@ def principal_components(long: DataFrame, docs: DataFrame, k: int = 2, columns:
         values, vectors = np.linalg.eigh(gram)
         keep = values > max(values.max(initial=0.0), 0.0) * 1e-13
         by = vectors[:, keep] / np.sqrt(values[keep])
-        return cut_lineage(_times(z, "term_id", "z", by, "q")), int(keep.sum())
+        return _kept(_times(z, "term_id", "z", by, "q")), int(keep.sum())
 
     start = vocab.select("term_id", F.array(*[F.randn(seed + i) for i in range(columns)]).alias("z"))
     # random numbers are drawn once: the copy is what both readings see
-    z = cut_lineage(start)
+    z = _kept(start)
     if n < 2 or not z.head(1):
         return ids.select("doc_id", F.array().cast("array<double>").alias("pc")), vocab.select("term", F.array().cast("array<double>").alias("loadings")), []
     q, width = orthonormal(z, _products(z, ["z"]))
@@ -90,7 +94,7 @@ def principal_components(long: DataFrame, docs: DataFrame, k: int = 2, columns:
         raw, mean = scored(q, width)
         s = raw.select("doc_id", _array(width, mean).alias("s"))
         z = x.join(s, "doc_id").groupBy("term_id").agg(*_sums(F.col("value"), "s", width)).select("term_id", _array(width).alias("z"))
-        both = cut_lineage(q.join(z, "term_id"))
+        both = _kept(q.join(z, "term_id"))
         gram = _products(both, ["q", "z"])
         inner, square = gram[:width, width:], gram[width:, width:]
         values, vectors = np.linalg.eigh((inner + inner.T) / 2)
@@ -103,11 +107,11 @@ def principal_components(long: DataFrame, docs: DataFrame, k: int = 2, columns:
         q, width = orthonormal(both.select("term_id", "z"), square)
     real = values > values.max(initial=0.0) * 1e-12
     values, vectors = values[real], vectors[:, real]
-    loadings = cut_lineage(_times(q, "term_id", "q", vectors, "v"))
+    loadings = _kept(_times(q, "term_id", "q", vectors, "v"))
     k = len(values)
     first = loadings.agg(*[F.max_by(F.get("v", F.lit(i)), F.struct(F.abs(F.get("v", F.lit(i))), -F.col("term_id"))) for i in range(k)]).first() if k else []
     sign = np.diag([1.0 if v >= 0 else -1.0 for v in first]) if k else np.zeros((0, 0))
-    loadings = cut_lineage(_times(loadings, "term_id", "v", sign, "q"))
+    loadings = _kept(_times(loadings, "term_id", "v", sign, "q"))
     raw, mean = scored(loadings, k) if k else (x.select("doc_id").distinct(), np.zeros(0))
     scores = ids.join(raw, "doc_id", "left").select("doc_id", _array(k, mean).cast("array<double>").alias("pc"))
     return scores, loadings.join(vocab, "term_id").select("term", F.col("q").alias("loadings")), [float(v) / (n - 1) for v in values]

@@ -27,6 +27,15 @@ def landing_dir(spark: SparkSession, name: str, fresh: bool = True) -> str:
     return f"{base}/landing/{name}/{uuid.uuid4().hex}" if fresh else f"{base}/landing/{name}"
 
 
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read back: its lineage
+    ends there, and all its readings see the same rows, also after an executor
+    is lost."""
+    path = landing_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
