@@ -15,8 +15,10 @@ probability of 1.  Arcs are counted for each of a few latent classes of document
 arcs of all documents below them; a text's probability is the sum over the classes.  Within a text, a word that has
 occurred gains weight (Polya urn), which again keeps the sum over all words at 1.
 
-The classes alone are fitted on a bounded sample (``most_fitted`` training documents, as bags of hashed words); every
-count is over all training documents.
+The classes are fitted to all training documents, as bags of hashed words, by rounds of expectation and maximisation: a
+pass over the blocks each, of which classes x 2^13 sums come back.  A bounded sample (``most_fitted`` documents) gives their
+start alone; in each of the first rounds the document of all that they explain worst starts one more class, so a language
+that the sample has missed gets its own.  Every count is over all training documents, too.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from .common import GOLDEN, batches_of, blocks, by_block, hashed_words, learn_re
 PARTS, HELD_OUT = 5, 1
 FITS = 3  # rounds of expected counts
 CLASSES, MOST_FITTED, BAG_BITS = 8, 1000, 13
+MORE_CLASSES, ROUNDS = 2, 4  # classes added on the way, passes over all training documents
+LEAST_WORDS = 20  # of a document that starts a class
 BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20  # of the corpus for one bucket of words
 URN = 2000.0  # words that a text's own words are weighed against
@@ -233,8 +237,9 @@ def fit_classes(bags: np.ndarray, classes: int, rounds: int = 25) -> np.ndarray:
     return words.astype(np.float64)
 
 
-def document_classes(held: DataFrame, parts: int, held_out: int, classes: int = CLASSES, most_fitted: int = MOST_FITTED) -> np.ndarray:
-    """fit_classes of at most ``most_fitted`` training documents, chosen by a hash."""
+def document_classes(held: DataFrame, parts: int, held_out: int, classes: int = CLASSES, most_fitted: int = MOST_FITTED,
+                     more: int = MORE_CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of hashed words, a row a class: fitted to all training documents, from a start on a sample chosen by a hash."""
     known = held.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts != held_out)
     some = known.select("row").orderBy(F.xxhash64("row"), "row").limit(most_fitted)
 
@@ -253,7 +258,59 @@ def document_classes(held: DataFrame, parts: int, held_out: int, classes: int =
     x = np.zeros((len(found), 1 << BAG_BITS), np.float32)
     for i, r in enumerate(sorted(found, key=lambda r: r.row)):
         x[i, r.at] = r.n
-    return fit_classes(x, classes)
+    words = fit_classes(x, classes)
+    share = np.full(len(words), 1 / len(words))
+    for i in range(rounds if len(found) else 0):
+        words, share = fitted_round(known, words, share, i < more)
+    return words
+
+
+def fitted_round(known: DataFrame, words: np.ndarray, share: np.ndarray, grow: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(words, share) after one round over all documents; with ``grow`` the one explained worst, a word, starts another class."""
+    kinds, width = words.shape
+
+    def run(batches):
+        sums, docs, worst = np.zeros((kinds, width)), np.zeros(kinds), (0.0, -1, None)
+        for rows, texts in ((b.column("row").to_pylist(), b.column("text").to_pylist()) for b in batches):
+            for row, text in zip(rows, texts):
+                n = bag(text)
+                at = np.flatnonzero(n)
+                fit = words[:, at] @ n[at]
+                size = int(n.sum())
+                if size >= LEAST_WORDS:
+                    worst = min(worst, (float(fit.max()) / size, row, (at, n[at])), key=lambda x: x[:2])
+                p = np.log(share + 1e-9) + fit
+                p = np.exp(p - p.max())
+                p /= p.sum()
+                docs += p
+                big = np.flatnonzero(p > 1e-6)
+                sums[np.ix_(big, at)] += p[big, None] * n[at]
+        cells = np.flatnonzero(sums.ravel())
+        at, n = worst[2] if worst[2] is not None else ([], [])
+        # cells beyond the sums: the classes' documents
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, kinds * width + np.arange(kinds))), pa.array(np.append(sums.ravel()[cells], docs)),
+                                          *(pa.nulls(len(cells) + kinds, t) for t in (pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], schema=_ROUND)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0.0]), pa.array([worst[0]]), pa.array([worst[1]]), pa.array([list(at)], pa.list_(pa.int64())),
+                                              pa.array([[int(v) for v in n]], pa.list_(pa.int64()))], schema=_ROUND)
+
+    found = (known.select("row", "text").mapInArrow(run, "cell long, n double, fit double, row long, at array<long>, times array<long>")
+             .groupBy("cell").agg(F.sum("n").alias("n"), F.min(F.struct("fit", "row", "at", "times")).alias("worst"))
+             .toArrow())  # a row a cell, classes x 2^BAG_BITS at most
+    cells, n = found.column("cell").to_numpy(), found.column("n").to_numpy()
+    total = np.zeros(kinds * width + kinds)
+    total[cells[cells >= 0]] = n[cells >= 0]
+    sums, docs = total[:kinds * width].reshape(kinds, width), total[kinds * width:]
+    if grow and (cells < 0).any():
+        worst = found.column("worst")[int(np.flatnonzero(cells < 0)[0])].as_py()
+        more = np.zeros(width)
+        more[worst["at"]] = worst["times"]
+        sums, docs = np.vstack([sums, more]), np.append(docs, 1.0)
+    sums = sums + 0.1
+    return np.log(sums / sums.sum(1, keepdims=True)), docs / max(docs.sum(), 1e-9)
+
+
+_ROUND = pa.schema([("cell", pa.int64()), ("n", pa.float64()), ("fit", pa.float64()), ("row", pa.int64()), ("at", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
 
 def counted_words(held: DataFrame, classes: np.ndarray, parts: int, held_out: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -346,20 +403,26 @@ def log_probability(at: np.ndarray, logp: np.ndarray, prior: np.ndarray, urn: fl
     own = logp[at].astype(np.float64)
     plain = prior + own.sum(0)
     rank = earlier(at)
-    again = np.flatnonzero(rank)
-    # classes whose share of the plain sum is below exp(-60) can't show in the result
-    some = np.flatnonzero(plain > plain.max() - 60)
-    z = plain[some] + np.log1p(rank[again, None] / urn * np.exp(-own[again][:, some])).sum(0)
+    again, first = np.flatnonzero(rank), rank == 0
+    r = rank[again] / urn
+
+    def full(some):
+        return plain[some] + np.log1p(r[:, None] * np.exp(-own[again][:, some])).sum(0)
+
+    # a class can't have more than this, whatever it gives the repeated words; what stays below exp(-60) can't show in the result
+    most = prior + own[first].sum(0) + np.log(np.exp(own[again].max(1, initial=-np.inf)) + r).sum()
+    z = full(np.array([most.argmax()]))
+    z = full(np.flatnonzero(most >= z[0] - 60))
     return float(z.max() + np.log(np.exp(z - z.max()).sum()) - np.log1p(np.arange(len(at)) / urn).sum())
 
 
 def score_documents(docs: DataFrame, vocabulary_path: str | None = None, parts: int = PARTS, held_out: int = HELD_OUT, fits: int = FITS,
                     classes: int = CLASSES, most_fitted: int = MOST_FITTED) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score of every row of ``docs``.
 
     Learns from rows whose crc32(doc_id as text) mod ``parts`` is not ``held_out``.  Tokens are the words, A-Z lower-cased,
     and one end a document.  ``base_score``: log10 probability by word counts, half a count added; ``score``: by the
-    lattices.  A null text is empty: its end alone.  Rows with the same doc_id are documents of their own; a null id
+    lattices with their arcs over whole words, classes and urn; ``lattice_score``: by the lattices of pieces alone.  A null text is empty: its end alone.  Rows with the same doc_id are documents of their own; a null id
     counts as the empty text.  An empty table gives an empty result; other columns are not read.
     """
     held = blocks(docs, block_bytes=BLOCK_BYTES, block_rows=8192)
@@ -406,10 +469,10 @@ def score_documents(docs: DataFrame, vocabulary_path: str | None = None, parts:
         for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
             at = np.array([index[w] for w in split_words(text)] + [index[END]], np.int64)
             out.append((doc_id, learn_remainder(doc_id, parts) == held_out, len(at), int((c[at] > 0).sum()), int(total), float(base[at].sum()),
-                        log_probability(at, logp, prior) / math.log(10)))
-        return pa.table([list(x) for x in zip(*out)] or [[]] * 7, schema=pa.schema(
+                        log_probability(at, logp, prior) / math.log(10), float(spelt[at].sum()) / math.log(10)))
+        return pa.table([list(x) for x in zip(*out)] or [[]] * 8, schema=pa.schema(
             [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
-             ("base_score", pa.float64()), ("score", pa.float64())]))
+             ("base_score", pa.float64()), ("score", pa.float64()), ("lattice_score", pa.float64())]))
 
     return (held.select("block", "doc_id", "text").groupBy("block").cogroup(values.groupBy("block"))
-            .applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+            .applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"))

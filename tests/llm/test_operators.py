@@ -562,3 +562,27 @@ def test_deep_pages_take_linear_time():
         t = time.time()
         html_extract.extract(page, ["/body/article", html_extract.best(html_extract.parse(page)[0]).path])
         assert time.time() - t < 5
+
+
+def test_rare_language_gets_a_class(spark):
+    """0.5 % of the documents have words of their own; the sample that starts the classes holds none of them."""
+    random.seed(8)
+    common = [[f"{c}{i}" for i in range(300)] for c in "abc"]
+    texts = [" ".join(random.choices(common[i % 3], k=60)) for i in range(1990)] + [" ".join(random.choices([f"zz{i}" for i in range(200)], k=60)) for _ in range(10)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    held = lattice_lm.blocks(docs)
+    train = [i for i in range(1990, 2000) if lattice_lm.learn_remainder(i, 5) != 1]
+    assert len(train) > 3
+    words = lattice_lm.document_classes(held, 5, 1, classes=3, most_fitted=40)
+    best = [int((words @ lattice_lm.bag(texts[i].encode())).argmax()) for i in range(2000)]
+    assert len({best[i] for i in train}) == 1 and best[train[0]] not in {best[i] for i in range(1990)}
+
+
+def test_urn_counts_every_class():
+    """A class that gives the text's repeated word nearly nothing, and would be cut by its plain sum, has the largest part in the end."""
+    logp = np.log(np.array([[1e-3, 1e-30], [1e-9, 1e-2]]))
+    at = np.array([0] * 40 + [1])
+    prior = np.log([0.5, 0.5])
+    z = [math.log(0.5) + sum(math.log((lattice_lm.URN * math.exp(logp[w, k]) + (i if w == 0 else 0)) / (lattice_lm.URN + i)) for i, w in enumerate(at)) for k in (0, 1)]
+    assert z[1] - z[0] > -60
+    assert lattice_lm.log_probability(at, logp, prior) == pytest.approx(np.logaddexp(*z), rel=1e-9)
