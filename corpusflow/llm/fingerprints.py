@@ -5,13 +5,15 @@ vectors, lane by lane, modulo powers of two.  The sum knows no order, and a para
 adding or subtracting its vector, without reading the others.
 
 The vector has two parts: EXACT lanes of 64 bits from the paragraph's BLAKE2b digest, for equality, and NEAR lanes of
-16 bits, in which each pair of neighbouring words of the paragraph adds +1 or -1 to one lane.  Products of the NEAR
-parts estimate how many word pairs two documents share.
+32 bits, in which each pair of neighbouring words of the paragraph adds +1 or -1 to one lane.  So does each run of GRAM code
+points of a word of LONG bytes and more, as scripts without blanks have them.  Products of the NEAR parts estimate how
+many of these features two documents share.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,26 +23,40 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, batches_of, hashed_words, id_and_text, mix64, rows_of
 
 EXACT, NEAR = 4, 128
+GRAM, LONG = 3, 25
+_LONG_WORD = re.compile(rb"[^\x20\x09-\x0d]{%d,}" % LONG)
 BUCKET_ROWS, MOST_BUCKETS = 2048, 20_000
 NO_ID = -(1 << 63)
 
 
 def fingerprint(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(EXACT uint64 lanes, NEAR uint16 lanes) of all paragraphs of a text."""
+    """(EXACT uint64 lanes, NEAR uint32 lanes) of all paragraphs of a text."""
     lines = text.split(b"\n")
     digests = b"".join(hashlib.blake2b(x, digest_size=8 * EXACT).digest() for x in lines)
     exact = np.frombuffer(digests, "<u8").reshape(-1, EXACT).sum(0, dtype=np.uint64)
     ends = np.cumsum([0] + [len(x) for x in lines])
     words, counts, _ = hashed_words(np.frombuffer(b"".join(lines), np.uint8), ends, lower=False)
     if not len(words):
-        return exact, np.zeros(NEAR, np.uint16)
+        return exact, np.zeros(NEAR, np.uint32)
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[(np.cumsum(counts) - counts)[counts > 0]] = 0  # a paragraph's first word has no word before it
     pairs = mix64(words + before * GOLDEN)
+    grams = [code_grams(m[0]) for m in _LONG_WORD.finditer(text)]
+    if grams:
+        pairs = np.concatenate([pairs, *grams])
     signs = 1.0 - 2.0 * (pairs & np.uint64(1)).astype(float)
     lanes = np.bincount((pairs >> np.uint64(57)).astype(np.int64), weights=signs, minlength=NEAR)
-    return exact, lanes.astype(np.int64).astype(np.uint16)
+    return exact, lanes.astype(np.int64).astype(np.uint32)
+
+
+def code_grams(word: bytes) -> np.ndarray:
+    """Hashes of all runs of GRAM code points of a word."""
+    points = np.frombuffer(word.decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
+    total = np.full(max(0, len(points) - GRAM + 1), GRAM, np.uint64)
+    for k in range(GRAM):
+        total = total * GOLDEN + points[k:k + len(total)]
+    return mix64(total)
 
 
 def insert(a: tuple, b: tuple) -> tuple:
@@ -54,14 +70,14 @@ def delete(a: tuple, b: tuple) -> tuple:
 
 
 def as_hex(f: tuple) -> str:
-    return (f[0].astype("<u8").tobytes() + f[1].astype("<u2").tobytes()).hex()
+    return (f[0].astype("<u8").tobytes() + f[1].astype("<u4").tobytes()).hex()
 
 
 def likeness(a: tuple, b: tuple) -> float:
-    """Estimated share of the word pairs of either that both have, 0 to 1; 1 for equal fingerprints."""
+    """Estimated share of the features of either that both have, 0 to 1; 1 for equal fingerprints."""
     if (a[0] == b[0]).all() and (a[1] == b[1]).all():
         return 1.0
-    x, y = a[1].astype(np.int16).astype(float), b[1].astype(np.int16).astype(float)
+    x, y = a[1].astype(np.int32).astype(float), b[1].astype(np.int32).astype(float)
     both = float(x @ y)
     union = float(x @ x) + float(y @ y) - both
     return min(1.0, max(0.0, both / union)) if union > 0 else 0.0

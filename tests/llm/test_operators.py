@@ -586,3 +586,13 @@ def test_urn_counts_every_class():
     z = [math.log(0.5) + sum(math.log((lattice_lm.URN * math.exp(logp[w, k]) + (i if w == 0 else 0)) / (lattice_lm.URN + i)) for i, w in enumerate(at)) for k in (0, 1)]
     assert z[1] - z[0] > -60
     assert lattice_lm.log_probability(at, logp, prior) == pytest.approx(np.logaddexp(*z), rel=1e-9)
+
+
+def test_fingerprints_of_repeats_and_scripts_without_blanks():
+    random.seed(9)
+    chinese = "".join(chr(random.randint(0x4E00, 0x9FA5)) for _ in range(4000))
+    other = "".join(chr(random.randint(0x4E00, 0x9FA5)) for _ in range(4000))
+    for text, following in ((("same words " * 50_000).strip(), "others here " * 50_000), ("word " * 100_000, "else " * 100_000), (chinese, other)):
+        a, b = (fingerprints.fingerprint(x.encode()) for x in (text, fingerprints.edited(text, following)))
+        assert 0.4 < fingerprints.likeness(a, b) < 1
+        assert fingerprints.likeness(a, fingerprints.fingerprint(following.encode())) < 0.3
