@@ -111,6 +111,8 @@ def datespace(df: DataFrame, ts_col: str, num: int = 1, unit: str = "D") -> Data
             .select("edge_idx", edge_at(F.col("start"), F.col("edge_idx"), num, unit).alias("edge")))
 
 
+DAY_US = 24 * 3600 * 1_000_000
+
 _STATS = {
     "mean": lambda v: F.avg(v),
     "sum": lambda v: F.sum(v),
@@ -185,7 +187,15 @@ def share_per_bin(df: DataFrame, bin_col: str, value_col: str, out: str = "share
 
 def event_markers(bins: DataFrame, markers: DataFrame, start_col: str = "bin_start",
                   width_days: int = 7) -> DataFrame:
-    """E12 markers: the bins with the markers (marker, date) that fall in them."""
-    cond = (markers["date"] >= bins[start_col]) & \
-           (markers["date"] < F.timestamp_add("DAY", F.lit(width_days), bins[start_col]))
-    return bins.join(markers, cond, "left")
+    """E12 markers: the bins with the markers (marker, date) that fall in them.
+
+    An interval join by equal keys: a bin of ``width_days`` days begins in one
+    of the two cells of that width, counted from the epoch, that a marker of
+    it can lie in, so each marker is looked up in its own cell and the one
+    before, and the bounds are checked there."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    cell = lambda t: F.floor(F.timestamp_diff("MICROSECOND", epoch, t.cast("timestamp_ntz")) / (width_days * DAY_US)).cast("long")
+    left = bins.withColumn("_cell", cell(F.col(start_col)))
+    right = markers.select("marker", "date", F.explode(F.array(cell(F.col("date")), cell(F.col("date")) - 1)).alias("_cell"))
+    inside = (right["date"] >= left[start_col]) & (right["date"] < F.timestamp_add("DAY", F.lit(width_days), left[start_col]))
+    return left.join(right, (left["_cell"] == right["_cell"]) & inside, "left").drop("_cell")

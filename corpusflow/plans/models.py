@@ -411,7 +411,7 @@ def _topic_vectors(spark, sf):
 @query("I12")
 def i12_lda(spark: SparkSession, sf: str) -> DataFrame:
     v, vocab = _topic_vectors(spark, sf)
-    _, topics = md.lda_topics(v, vocab, k=5, max_iter=20)
+    _, topics = md.lda_topics(v, vocab, k=5)
     return topics
 
 
@@ -423,7 +423,7 @@ def i13_lda_hashwords(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "documents").select("doc_id", tx.drop_stopwords(
         tx.regex_tokens("text", "hashword", lower=True), stop).alias("tokens"))
     v, vocab = md.term_vectors(c, "tokens")
-    model, topics = md.lda_topics(v, vocab, k=4, max_iter=20, optimize_doc_concentration=True)
+    model, topics = md.lda_topics(v, vocab, k=4, optimize_doc_concentration=True)
     docs = md.document_topics(model, v).select(F.lit("document").alias("kind"), "doc_id", F.col("top_topic").cast("int").alias("topic"),
                                                F.col("top_weight").alias("weight"))
     return topics.withColumn("kind", F.lit("topic")).unionByName(docs, allowMissingColumns=True)
@@ -435,7 +435,7 @@ def i14_lda_per_label(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for lab in sorted(r[0] for r in c.select("label").distinct().collect()):     # class names: bounded
         v, vocab = md.term_vectors(c.where(F.col("label") == lab), "tokens", weight=_log_weights)
-        _, t = md.lda_topics(v, vocab, k=5, max_iter=20)
+        _, t = md.lda_topics(v, vocab, k=5)
         t = t.withColumn("label", F.lit(lab))
         out = t if out is None else out.unionByName(t)
     return out
@@ -444,7 +444,7 @@ def i14_lda_per_label(spark: SparkSession, sf: str) -> DataFrame:
 @query("I16")
 def i16_doc_topics(spark: SparkSession, sf: str) -> DataFrame:
     v, vocab = _topic_vectors(spark, sf)
-    model, _ = md.lda_topics(v, vocab, k=5, max_iter=20)
+    model, _ = md.lda_topics(v, vocab, k=5)
     return md.document_topics(model, v)
 
 

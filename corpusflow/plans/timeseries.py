@@ -246,6 +246,30 @@ def e12_bounds(spark: SparkSession, sf: str) -> DataFrame:
                    F.count(F.lit(1)).alias("n_labelled"))
 
 
+#: Dated events to mark on a time axis.
+EVENTS = (("opening", "2024-01-03 12:00:00"), ("review", "2024-01-15 00:00:00"), ("second review", "2024-01-17 09:30:00"), ("closing", "2024-02-26 00:00:00"))
+_EVENTS_SQL = ", ".join(f"('{m}', TIMESTAMP '{d}')" for m, d in EVENTS)
+
+
+@query("E12_markers", sql=f"""
+WITH lab AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + d.doc_id * INTERVAL 1 HOUR AS published FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+{grid_sql('lab', 'published', WEEK_US)},
+r AS (SELECT {bin_sql('lab.published', WEEK_US)} AS bin_idx FROM lab, p),
+b AS (SELECT CAST(i AS BIGINT) AS bin_idx, p.start + i * INTERVAL 7 DAY AS bin_start,
+        (SELECT count(*) FROM r WHERE r.bin_idx = i) AS count FROM p, range(0, p.n_edges - 1) t(i)),
+m(marker, date) AS (VALUES {_EVENTS_SQL})
+SELECT bin_idx, strftime(bin_start, '%Y-%m-%d %H:%M:%S') AS bin_start, count, marker, strftime(date, '%Y-%m-%d %H:%M:%S') AS date
+FROM b LEFT JOIN m ON m.date >= b.bin_start AND m.date < b.bin_start + INTERVAL 7 DAY
+""")
+def e12_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents a week, with the events that fall in each week."""
+    lab = labelled_documents(spark, sf, inner=True)
+    bins = ts.binned_statistic(lab, "published", None, None, 7, "D", stats=("count",)).select("bin_idx", "bin_start", "count")
+    marks = spark.createDataFrame(list(EVENTS), "marker string, date string").select("marker", F.col("date").cast("timestamp_ntz").alias("date"))
+    found = ts.event_markers(bins, marks, "bin_start", 7)
+    return found.select("bin_idx", _fmt(F.col("bin_start")).alias("bin_start"), "count", "marker", _fmt(F.col("date")).alias("date"))
+
+
 # E13 -------------------------------------------------------------------------
 @query("E13", sql=f"""
 WITH base AS (
