@@ -22,7 +22,9 @@ from ..operators.features import df_cut, join_by_term, ngram_array, term_counts,
 from ..operators.linkage import cut_tree, single_linkage
 from ..operators.links import ENGLISH_STOPWORDS
 from ..operators.timeseries import running_stats
+from ..operators.perceptron import perceptron_folds
 from ..session import cut_lineage
+from ..sources.sinks import landed
 from ..sources.tables import table
 from .common import key_sql, labelled_documents
 from .registry import query
@@ -203,20 +205,21 @@ def i18_accuracy_on_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("I19")
-def i19_linear_svc_folds(spark: SparkSession, sf: str) -> DataFrame:
-    """Perceptron stand-in: Spark ML has no linear perceptron; LinearSVC
-    (hinge loss, linear) over 10 shuffled folds."""
-    from pyspark.ml.classification import LinearSVC
-    v, _ = _vectors(spark, sf)
-    v = sp.kfold(v, "doc_id", 10, seed=4)
-    rows = []
-    for f in range(10):
-        tr, te = v.where(F.col("fold") != f), v.where(F.col("fold") == f)
-        m = LinearSVC(featuresCol="features", labelCol="label_id", maxIter=10, regParam=0.01).fit(tr)
-        acc = m.transform(te).select(md.accuracy(te)).first()[0]
-        coefs = m.coefficients.toArray()
-        rows.append((f, float(acc or 0.0), float(sum(1 for x in coefs if x == 0) / max(len(coefs), 1))))
-    return spark.createDataFrame(rows, "fold int, accuracy double, sparsity double")
+def i19_perceptron_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Perceptrons with truncated L1 of 10 folds: accuracy, share of coefficients
+    that are 0 (kind fold), and the histogram of all coefficients (kind
+    histogram: x is a bin's left edge, n its coefficients)."""
+    c = corpus(spark, sf)
+    docs = c.select("doc_id", "label_id")
+    long = df_cut(term_counts(c.select("doc_id", "tokens"), ngram_array(F.col("tokens"), 2)), F.lit(docs.count()), 2)
+    coefs, predictions = perceptron_folds(long, docs, k=10, seed=4)
+    coefs = landed(coefs, "perceptron-coefs")
+    accuracy = predictions.groupBy("fold").agg(md.accuracy(predictions).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    sparsity = coefs.groupBy("fold").agg(F.avg((F.col("coef") == 0).cast("double")).alias("sparsity"))
+    folds = accuracy.join(sparsity, "fold").select(F.lit("fold").alias("kind"), F.col("fold").cast("int").alias("fold"), F.lit(None).cast("double").alias("x"),
+                                                   "n", "accuracy", "sparsity")
+    bins = histogram(coefs, "coef", 20).select(F.lit("histogram").alias("kind"), F.col("left").alias("x"), "n")
+    return folds.unionByName(bins, allowMissingColumns=True)
 
 
 def _bootstrap(spark, sf, n_iter=10, proportion=0.5, penalty="l2"):
