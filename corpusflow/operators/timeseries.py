@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .ranking import group_rank
+
 # unit -> (date_trunc field, microseconds per unit or None for calendar units)
 _UNITS = {
     "s": ("SECOND", 1_000_000),
@@ -117,10 +119,21 @@ _STATS = {
     "mean": lambda v: F.avg(v),
     "sum": lambda v: F.sum(v),
     "count": lambda v: F.count(v),
-    "median": lambda v: F.percentile(v, 0.5),
 }
 
 
+def group_medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys..., median): the mean of the one or two middle values of each
+    group, picked by a distributed rank, so a group of any size spreads over
+    tasks.  Nulls are left out."""
+    known = rows.where(F.col(value).isNotNull()).select(*keys, value)
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = group_rank(known, keys, [value], out="_rn")
+    cond = [ranked[k].eqNullSafe(sizes[k]) for k in keys]
+    middle = (F.col("_rn") >= F.floor((F.col("_n") + 1) / 2)) & (F.col("_rn") <= F.floor(F.col("_n") / 2) + 1)
+    return ranked.join(sizes, cond).where(middle).select(*[ranked[k] for k in keys], value).groupBy(*keys).agg(F.avg(value).alias("median"))
+
+
 def binned_statistic(df: DataFrame, ts_col: str, term_col: str | None, value_col: str | None,
                      num: int = 1, unit: str = "D", stats=("mean",),
                      include_tail: bool = True, dense: bool = True) -> DataFrame:
@@ -137,8 +150,11 @@ def binned_statistic(df: DataFrame, ts_col: str, term_col: str | None, value_col
     rows = df.select(bin_index(ts, start, n_edges, num, unit).alias("bin_idx"),
                      term.alias("term"), val.alias("v")).where(F.col("bin_idx").isNotNull())
     aggs = [_STATS[s](F.col("v")).alias(s) if s in _STATS else s(F.col("v"))
-            for s in stats]
-    g = rows.groupBy("bin_idx", "term").agg(*aggs)
+            for s in stats if s != "median"]
+    g = rows.groupBy("bin_idx", "term").agg(*aggs) if aggs else rows.select("bin_idx", "term").distinct()
+    if "median" in stats:
+        m = group_medians(rows, ["bin_idx", "term"], "v").select(F.col("bin_idx").alias("_bin"), F.col("term").alias("_term"), "median")
+        g = g.join(m, (g["bin_idx"] == m["_bin"]) & g["term"].eqNullSafe(m["_term"]), "left").drop("_bin", "_term")
     if dense:
         # distinct terms x bin indices, generated by explode (bins are
         # bounded by the time span, not by the data volume)

@@ -23,6 +23,7 @@ from ..operators.linkage import cut_tree, single_linkage
 from ..operators.links import ENGLISH_STOPWORDS
 from ..operators.timeseries import running_stats
 from ..operators.perceptron import perceptron_folds
+from ..operators.ranking import global_rank
 from ..session import cut_lineage
 from ..sources.sinks import landed
 from ..sources.tables import table
@@ -178,6 +179,21 @@ def d19_covariance(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("i", "j", _r(F.col("cov"), 5).alias("cov"), _r(F.col("corr"), 5).alias("corr"))
 
 
+@query("D19_order", sql="""
+WITH x AS (SELECT vec_id, CAST(i AS BIGINT) AS i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(0, 64) t(i)),
+c AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.i, b.i),
+s AS (SELECT i, sum(cov) AS row_sum FROM c GROUP BY i)
+SELECT i, round(row_sum, 5) AS row_sum, row_number() OVER (ORDER BY row_sum, i) - 1 AS position FROM s
+""")
+def d19_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The dimensions in the order of their covariances' row sums, least first."""
+    from pyspark.ml.functions import array_to_vector
+    e = table(spark, sf, "embeddings").select(array_to_vector(
+        F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    sums = md.correlation_matrix(e).groupBy("i").agg(F.sum("cov").alias("row_sum"))
+    return global_rank(sums, ["row_sum", "i"], out="position", start=0).select("i", _r(F.col("row_sum"), 5).alias("row_sum"), "position")
+
+
 # Logistic models ---------------------------------------------------------------------
 @query("I17")
 def i17_logistic(spark: SparkSession, sf: str) -> DataFrame:
@@ -451,6 +467,16 @@ def i16_doc_topics(spark: SparkSession, sf: str) -> DataFrame:
     return md.document_topics(model, v)
 
 
+@query("D22_topics")
+def d22_document_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Topic totals over the documents' own topic shares."""
+    from ..operators.aggregate import topic_totals
+    v, vocab = _topic_vectors(spark, sf)
+    model, _ = md.lda_topics(v, vocab, k=5)
+    shares = model.transform(v).select("doc_id", F.posexplode(md.vector_to_array("topicDistribution")).alias("topic", "ratio"))
+    return topic_totals(shares, "doc_id", "topic", "ratio").select(F.col("topic").cast("long").alias("topic"), _r(F.col("total"), 5).alias("total"), "first", "second")
+
+
 @query("I15")
 def i15_pca(spark: SparkSession, sf: str) -> DataFrame:
     """The centred scores of two components of the smoothed, normalised weights."""

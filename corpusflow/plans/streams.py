@@ -46,6 +46,13 @@ def j03_emoticons(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("emoticon").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("J03_tokens")
+def j03_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Every token of every document, from a stream."""
+    d = _stream(spark, sf, "documents").select("doc_id", "text")
+    return _run(spark, st.token_stream(d), "J03_tokens").select("doc_id", "pos", "token")
+
+
 @query("J04")
 def j04_frontier(spark: SparkSession, sf: str) -> DataFrame:
     base = landing_dir(spark, "J04")

@@ -57,6 +57,17 @@ def e08_datespace(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # E07 -------------------------------------------------------------------------
+@query("E07_median", sql=f"""
+WITH {grid_sql('events', 'ts', WEEK_US)},
+r AS (SELECT {bin_sql('e.ts', WEEK_US)} AS bin_idx, e.event_type AS term, e.value AS v FROM events e, p)
+SELECT bin_idx, term, round(quantile_cont(v, 0.5), 6) AS median, count(v) AS count FROM r WHERE bin_idx IS NOT NULL GROUP BY bin_idx, term
+""")
+def e07_median(spark: SparkSession, sf: str) -> DataFrame:
+    """Weekly medians by event type."""
+    b = ts.binned_statistic(table(spark, sf, "events"), "ts", "event_type", "value", 7, "D", stats=("median", "count"), dense=False)
+    return b.select("bin_idx", "term", _r(F.col("median")).alias("median"), "count")
+
+
 @query("E07", sql=f"""
 WITH {grid_sql('events', 'ts', WEEK_US)},
 r AS (SELECT {bin_sql('e.ts', WEEK_US)} AS bin_idx, e.event_type AS term, e.value AS v
