@@ -15,8 +15,8 @@ probability of 1.  Arcs are counted for each of a few latent classes of document
 arcs of all documents below them; a text's probability is the sum over the classes.  Within a text, a word that has
 occurred gains weight (Polya urn), which again keeps the sum over all words at 1.
 
-The classes are fitted to all training documents, as bags of hashed words, by rounds of expectation and maximisation: a
-pass over the blocks each, of which classes x 2^13 sums come back.  A bounded sample (``most_fitted`` documents) gives their
+The classes are fitted to all training documents, as bags of hashed words, by rounds that give each document to its
+best class and count the classes' words anew: a pass over the blocks each, of which classes x 2^13 sums come back.  A bounded sample (``most_fitted`` documents) gives their
 start alone; in each of the first rounds the document of all that they explain worst starts one more class, so a language
 that the sample has missed gets its own.  Every count is over all training documents, too.
 """
@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, batches_of, blocks, by_block, hashed_words, learn_remainder, mix64, rows_of, split_words, written
+from .common import GOLDEN, batches_of, blocks, by_block, hashed_words, learn_remainder, mix64, rows_of, split_words, text_chunks, written
 
 PARTS, HELD_OUT = 5, 1
 FITS = 3  # rounds of expected counts
 CLASSES, MOST_FITTED, BAG_BITS = 8, 1000, 13
-MORE_CLASSES, ROUNDS = 2, 4  # classes added on the way, passes over all training documents
+MORE_CLASSES, ROUNDS = 2, 3  # classes added on the way, passes over all training documents
 LEAST_WORDS = 20  # of a document that starts a class
 BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20  # of the corpus for one bucket of words
@@ -269,30 +269,32 @@ def fitted_round(known: DataFrame, words: np.ndarray, share: np.ndarray, grow: b
     """(words, share) after one round over all documents; with ``grow`` the one explained worst, a word, starts another class."""
     kinds, width = words.shape
 
+    start = np.log(share + 1e-9)
+
     def run(batches):
-        sums, docs, worst = np.zeros((kinds, width)), np.zeros(kinds), (0.0, -1, None)
-        for rows, texts in ((b.column("row").to_pylist(), b.column("text").to_pylist()) for b in batches):
-            for row, text in zip(rows, texts):
-                n = bag(text)
-                at = np.flatnonzero(n)
-                fit = words[:, at] @ n[at]
-                size = int(n.sum())
-                if size >= LEAST_WORDS:
-                    worst = min(worst, (float(fit.max()) / size, row, (at, n[at])), key=lambda x: x[:2])
-                p = np.log(share + 1e-9) + fit
-                p = np.exp(p - p.max())
-                p /= p.sum()
-                docs += p
-                big = np.flatnonzero(p > 1e-6)
-                sums[np.ix_(big, at)] += p[big, None] * n[at]
-        cells = np.flatnonzero(sums.ravel())
-        at, n = worst[2] if worst[2] is not None else ([], [])
+        sums, docs, worst = np.zeros(kinds * width), np.zeros(kinds), (0.0, -1, None)
+        for b in batches:
+            rows = b.column("row").to_numpy()
+            for first, data, offsets in text_chunks(b.column("text")):
+                hashes, counts, _ = hashed_words(data, offsets)
+                at = (hashes >> np.uint64(64 - BAG_BITS)).astype(np.int64)
+                doc = np.repeat(np.arange(len(counts)), counts)
+                fit = np.stack([np.bincount(doc, words[k][at], len(counts)) for k in range(kinds)])
+                best = (fit + start[:, None]).argmax(0)
+                docs += np.bincount(best, minlength=kinds)
+                sums += np.bincount(best[doc] * width + at, minlength=kinds * width)
+                each = np.where(counts >= LEAST_WORDS, fit.max(0) / np.maximum(counts, 1), 0.0)
+                i = int(each.argmin())
+                if (found := (float(each[i]), int(rows[first + i]))) < worst[:2]:
+                    worst = (*found, np.bincount(at[doc == i], minlength=width))
+        cells = np.flatnonzero(sums)
         # cells beyond the sums: the classes' documents
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, kinds * width + np.arange(kinds))), pa.array(np.append(sums.ravel()[cells], docs)),
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, kinds * width + np.arange(kinds))), pa.array(np.append(sums[cells], docs)),
                                           *(pa.nulls(len(cells) + kinds, t) for t in (pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], schema=_ROUND)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0.0]), pa.array([worst[0]]), pa.array([worst[1]]), pa.array([list(at)], pa.list_(pa.int64())),
-                                              pa.array([[int(v) for v in n]], pa.list_(pa.int64()))], schema=_ROUND)
+        if worst[2] is not None:
+            at = np.flatnonzero(worst[2])
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0.0]), pa.array([worst[0]]), pa.array([worst[1]]), pa.array([at.tolist()], pa.list_(pa.int64())),
+                                              pa.array([worst[2][at].tolist()], pa.list_(pa.int64()))], schema=_ROUND)
 
     found = (known.select("row", "text").mapInArrow(run, "cell long, n double, fit double, row long, at array<long>, times array<long>")
              .groupBy("cell").agg(F.sum("n").alias("n"), F.min(F.struct("fit", "row", "at", "times")).alias("worst"))
