@@ -30,11 +30,16 @@ TRIE_BYTES = 48 << 20
 class PatriciaTrie:
     """Compressed radix trie over byte strings; every edge carries a run of bytes."""
 
-    __slots__ = ("root", "size")
+    __slots__ = ("root", "size", "sizes")
 
     def __init__(self):
         self.root: list = [{}, None]  # a node: [first byte -> [label, node], value of the string that ends here]
         self.size = 0
+        self.sizes: dict[int, int] = {}  # bytes of the root's subtrees, about, by their first byte
+
+    def _grown(self, key: bytes, by: int) -> None:
+        self.size += by
+        self.sizes[key[0]] = self.sizes.get(key[0], 0) + by
 
     def terminal(self, key: bytes) -> list:
         """The node at which ``key`` ends; made where it's missing, with the value None."""
@@ -44,7 +49,7 @@ class PatriciaTrie:
             if edge is None:
                 leaf = [{}, None]
                 node[0][key[at]] = [key[at:], leaf]
-                self.size += end - at + 200
+                self._grown(key, end - at + 200)
                 return leaf
             label = edge[0]
             if key.startswith(label, at):
@@ -59,7 +64,7 @@ class PatriciaTrie:
                     high = mid - 1
             fork = [{label[low]: [label[low:], edge[1]]}, None]
             edge[0], edge[1] = label[:low], fork
-            self.size += 200
+            self._grown(key, 200)
             node, at = fork, at + low
         return node
 
@@ -74,14 +79,12 @@ class PatriciaTrie:
 
     def largest_subtree(self) -> int:
         """First byte of the root's subtree that holds the most bytes."""
-        return max(self.root[0], key=lambda b: sum(len(s) for s, _ in self.strings(b)))
+        return max(self.sizes, key=self.sizes.get)
 
     def drop(self, first: int) -> None:
         """Forget a subtree of the root."""
-        self.size -= sum(len(s) + 200 for s, _ in self.strings(first))
+        self.size -= self.sizes.pop(first)
         del self.root[0][first]
-        if not self.root[0]:
-            self.size = 0
 
 
 def content_hash(text: bytes) -> int:
@@ -137,10 +140,11 @@ def exact_owners(docs: DataFrame, keep: str = "largest", trie_bytes: int = TRIE_
                     end[1] = (end[1][0], _better(end[1][1], (doc_id, row), largest), end[1][2] + 1)
                 yield (False, end[1][0], doc_id, row, 1, hashlib.sha256(text).hexdigest(), None, None, None)
                 row += 1
-                while trie.size > trie_bytes:
-                    first = trie.largest_subtree()
-                    yield from spilled(first)
-                    trie.drop(first)
+                if trie.size > trie_bytes:
+                    while trie.size > trie_bytes // 2:  # several subtrees at once, so that spills are rare
+                        first = trie.largest_subtree()
+                        yield from spilled(first)
+                        trie.drop(first)
             yield from spilled()
 
         return batches_of(out(), _LOCAL, weigh=lambda r: len(r[8] or b"") + 100)

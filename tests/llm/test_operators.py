@@ -52,6 +52,23 @@ def test_small_tries_spill(odd):
     assert sorted(map(str, got)) == want
 
 
+def test_spills_take_no_walk_of_all_strings():
+    import time
+    trie, out, t = exact_dedup.PatriciaTrie(), 0, time.time()
+    for i in range(40_000):  # 120 MB in a trie of 8 MB
+        key = hashlib.sha256(str(i).encode()).digest() + bytes(3000)
+        trie.terminal(key)[1] = i
+        if trie.size > 8 << 20:
+            while trie.size > 4 << 20:
+                first = trie.largest_subtree()
+                out += sum(1 for _ in trie.strings(first))
+                trie.drop(first)
+    assert out + sum(1 for _ in trie.strings()) == 40_000 and time.time() - t < 10
+    for first in list(trie.sizes):
+        trie.drop(first)
+    assert trie.size == 0 and not trie.root[0]
+
+
 def test_trie_is_exact_where_hashes_meet(monkeypatch, odd):
     trie = exact_dedup.PatriciaTrie()
     random.seed(3)
