@@ -213,6 +213,17 @@ def bag(text: bytes) -> np.ndarray:
     return np.bincount((words >> np.uint64(64 - BAG_BITS)).astype(np.int64), minlength=1 << BAG_BITS)
 
 
+def class_fits(by_word: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashed words, number of words of each text, log probability of each text by each class) of some texts; ``by_word``: a row a hashed word."""
+    hashes, counts, _ = hashed_words(data, offsets)
+    at = (hashes >> np.uint64(64 - BAG_BITS)).astype(np.int64)
+    fit = np.zeros((len(counts), by_word.shape[1]), by_word.dtype)
+    some = counts > 0
+    if len(at):
+        fit[some] = np.add.reduceat(by_word[at], (np.cumsum(counts) - counts)[some], axis=0)
+    return at, counts, fit
+
+
 def fit_classes(bags: np.ndarray, classes: int, rounds: int = 25) -> np.ndarray:
     """Log probabilities of hashed words, a row a class: a mixture of unigrams fitted by expectation and maximisation.
 
@@ -269,24 +280,22 @@ def fitted_round(known: DataFrame, words: np.ndarray, share: np.ndarray, grow: b
     """(words, share) after one round over all documents; with ``grow`` the one explained worst, a word, starts another class."""
     kinds, width = words.shape
 
-    start = np.log(share + 1e-9)
+    start, by_word = np.log(share + 1e-9), np.ascontiguousarray(words.T, np.float32)
 
     def run(batches):
         sums, docs, worst = np.zeros(kinds * width), np.zeros(kinds), (0.0, -1, None)
         for b in batches:
             rows = b.column("row").to_numpy()
             for first, data, offsets in text_chunks(b.column("text")):
-                hashes, counts, _ = hashed_words(data, offsets)
-                at = (hashes >> np.uint64(64 - BAG_BITS)).astype(np.int64)
-                doc = np.repeat(np.arange(len(counts)), counts)
-                fit = np.stack([np.bincount(doc, words[k][at], len(counts)) for k in range(kinds)])
-                best = (fit + start[:, None]).argmax(0)
+                at, counts, fit = class_fits(by_word, data, offsets)
+                best = (fit + start).argmax(1)
                 docs += np.bincount(best, minlength=kinds)
-                sums += np.bincount(best[doc] * width + at, minlength=kinds * width)
-                each = np.where(counts >= LEAST_WORDS, fit.max(0) / np.maximum(counts, 1), 0.0)
+                sums += np.bincount(np.repeat(best * width, counts) + at, minlength=kinds * width)
+                each = np.where(counts >= LEAST_WORDS, fit.max(1) / np.maximum(counts, 1), 0.0)
                 i = int(each.argmin())
                 if (found := (float(each[i]), int(rows[first + i]))) < worst[:2]:
-                    worst = (*found, np.bincount(at[doc == i], minlength=width))
+                    begin = int(counts[:i].sum())
+                    worst = (*found, np.bincount(at[begin:begin + counts[i]], minlength=width))
         cells = np.flatnonzero(sums)
         # cells beyond the sums: the classes' documents
         yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, kinds * width + np.arange(kinds))), pa.array(np.append(sums[cells], docs)),
@@ -324,17 +333,19 @@ def counted_words(held: DataFrame, classes: np.ndarray, parts: int, held_out: in
     """
     total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, kinds = max(1, -(-total // bucket_bytes)), len(classes)
+    by_word = np.ascontiguousarray(classes.T, np.float32)
 
     def run(batches):
         def out():
             for block, ids, texts in by_block(batches):
                 index: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
-                end, cells, n = index[END], [], []
-                for doc_id, text in zip(ids, texts):
+                end, cells = index[END], []
+                best = [k for _, data, offsets in text_chunks(pa.array(texts, pa.binary())) for k in class_fits(by_word, data, offsets)[2].argmax(1).tolist()]
+                for doc_id, text, kind in zip(ids, texts, best):
                     own = split_words(text)
                     at = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
                     if learn_remainder(doc_id, parts) != held_out:
-                        cells.append(np.append(at, end) * kinds + int((classes @ bag(text)).argmax()))
+                        cells.append(np.append(at, end) * kinds + kind)
                 counts = np.bincount(np.concatenate(cells) if cells else [], minlength=len(index) * kinds).astype("<i4").reshape(-1, kinds)
                 words = list(index)
                 bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
