@@ -408,24 +408,26 @@ def earlier(at: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_probability(at: np.ndarray, logp: np.ndarray, prior: np.ndarray, urn: float = URN) -> float:
-    """Natural log probability of the tokens ``at``; ``logp``: a row a word, a column a class.
+def log_probability(at: np.ndarray, logp: np.ndarray, prior: np.ndarray, urn: float = URN, top: np.ndarray | None = None) -> float:
+    """Natural log probability of the tokens ``at``; ``logp``: a row a word, a column a class; ``top``: each word's largest probability.
 
     With r earlier occurrences among the i tokens before it, a word has the probability (urn * p + r) / (urn + i).
     """
-    own = logp[at].astype(np.float64)
-    plain = prior + own.sum(0)
+    own = logp[at]
+    plain = prior + own.sum(0, dtype=np.float64)
     rank = earlier(at)
-    again, first = np.flatnonzero(rank), rank == 0
+    again = np.flatnonzero(rank)
     r = rank[again] / urn
 
-    def full(some):
-        return plain[some] + np.log1p(r[:, None] * np.exp(-own[again][:, some])).sum(0)
+    def full(k):
+        return plain[k] + np.log1p(r * np.exp(-own[again, k].astype(np.float64))).sum()
 
     # a class can't have more than this, whatever it gives the repeated words; what stays below exp(-60) can't show in the result
-    most = prior + own[first].sum(0) + np.log(np.exp(own[again].max(1, initial=-np.inf)) + r).sum()
-    z = full(np.array([most.argmax()]))
-    z = full(np.flatnonzero(most >= z[0] - 60))
+    top = np.exp(logp.max(1).astype(np.float64)) if top is None else top
+    most = prior + own[rank == 0].sum(0, dtype=np.float64) + np.log(top[at[again]] + r).sum()
+    best = int(most.argmax())
+    z = [full(best)]
+    z = np.array(z + [full(k) for k in np.flatnonzero(most >= z[0] - 60) if k != best])
     return float(z.max() + np.log(np.exp(z - z.max()).sum()) - np.log1p(np.arange(len(at)) / urn).sum())
 
 
@@ -479,10 +481,11 @@ def score_documents(docs: DataFrame, vocabulary_path: str | None = None, parts:
         every = (np.maximum(c - discount, 0.0) + (discount * types + 1) * np.exp(spelt)) / (total + 1)
         p = (np.maximum(by_class - discount, 0.0) + (discount * class_types + 1) * every[:, None]) / (class_tokens + 1)
         logp, base, out = np.log(np.maximum(p, 1e-300)).astype(np.float32), np.log10(c + 0.5) - norm, []
+        top = np.exp(logp.max(1).astype(np.float64))
         for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
             at = np.array([index[w] for w in split_words(text)] + [index[END]], np.int64)
             out.append((doc_id, learn_remainder(doc_id, parts) == held_out, len(at), int((c[at] > 0).sum()), int(total), float(base[at].sum()),
-                        log_probability(at, logp, prior) / math.log(10), float(spelt[at].sum()) / math.log(10)))
+                        log_probability(at, logp, prior, top=top) / math.log(10), float(spelt[at].sum()) / math.log(10)))
         return pa.table([list(x) for x in zip(*out)] or [[]] * 8, schema=pa.schema(
             [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
              ("base_score", pa.float64()), ("score", pa.float64()), ("lattice_score", pa.float64())]))
