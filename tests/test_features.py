@@ -75,3 +75,40 @@ def test_smoothed_tfidf_l2(spark):
     for r in rows:
         norms[r["doc_id"]] = norms.get(r["doc_id"], 0) + r["value"] ** 2
     assert all(abs(v - 1) < 1e-12 for v in norms.values())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_are_grouped_where_the_documents_were_dealt(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (None, "b"), (1, "a"), (None, "b c")], "doc_id long, text string")
+    long = ft.term_counts(docs, F.split("text", " "))
+    assert _plan(long).count("Exchange") == 1      # the texts; not the long rows, too
+    got = sorted(((r.doc_id, r.term, r.value) for r in long.collect()), key=str)
+    assert got == sorted([(1, "a", 3), (1, "b", 1), (None, "b", 2), (None, "c", 1)], key=str)
+
+
+def test_common_and_rare_terms_have_their_df(spark, monkeypatch):
+    monkeypatch.setattr(ft, "SAMPLED", 1)
+    monkeypatch.setattr(ft, "COMMON", 4)
+    monkeypatch.setattr(ft, "LEAST", 1)
+    rows = [(d, t, 1) for d in range(40) for t in ["every", f"half{d % 2}", f"some{d % 8}", f"one{d}"]]
+    long = spark.createDataFrame(rows, "doc_id long, term string, value long")
+    common = {r.term for r in ft.common_terms(long, F.lit(40)).collect()}
+    assert common == {"every", "half0", "half1"}
+    want = {}
+    for _, t, _ in rows:
+        want[t] = want.get(t, 0) + 1
+    got = ft.with_df(long, F.lit(40)).collect()
+    assert len(got) == len(rows) and all(r.df == want[r.term] for r in got)
+    assert {r.term for r in ft.df_cut(long, F.lit(40), 5, 0.5).collect()} == {"half0", "half1"} | {f"some{i}" for i in range(8)}
+
+
+def test_only_hot_terms_are_spread(spark):
+    rows = [(d, t, 1) for d in range(20) for t in ["hot", f"cold{d}"]]
+    long = spark.createDataFrame(rows, "doc_id long, term string, value long")
+    vocab = ft.vocabulary_ids(long)
+    joined = ft.join_by_term(long, vocab, hot=20)
+    ids = {r.term: r.term_id for r in vocab.collect()}
+    assert sorted((r.doc_id, r.term_id) for r in joined.collect()) == sorted((d, ids[t]) for d, t, _ in rows)
