@@ -149,3 +149,37 @@ def test_bootstrap_coefs_of_every_replicate(spark):
     assert {(r["replicate"], r["n"]) for r in coefs.groupBy("replicate").agg(F.count("*").alias("n")).collect()} == {(i, vocab.count()) for i in range(3)}
     mean = {r["term"]: r["c"] for r in coefs.join(vocab, "term_id").groupBy("term").agg(F.avg("coef").alias("c")).collect()}
     assert mean["x"] > 0 > mean["w"]
+
+
+def _labelled(spark):
+    rng = np.random.default_rng(5)
+    rows = [(d, "high" if d % 3 else "low", float(d % 3 > 0), [f"w{i}" for i in rng.integers(0, 25 if d % 3 else 18, 12)]) for d in range(40)]
+    rows[7] = (7, "high", 1.0, [])
+    return spark.createDataFrame(rows, "doc_id long, label string, label_id double, tokens array<string>")
+
+
+def test_holdout_matches_spark_naive_bayes(spark):
+    from pyspark.ml.classification import NaiveBayes
+    from corpusflow.operators import sampling as sp
+    from corpusflow.operators.features import term_counts
+    c = _labelled(spark)
+    v, vocab = md.term_vectors(c, "tokens")
+    split = sp.stratified_split(v, "label", "doc_id", test_size=0.3, n_iter=3, seed=2)
+    want = {}
+    for s in range(3):
+        vv = v.join(split.where(F.col("split") == s).select("doc_id", "is_test"), "doc_id")
+        te = vv.where("is_test")
+        want[s] = NaiveBayes(featuresCol="features", labelCol="label_id").fit(vv.where("not is_test")).transform(te).select(md.accuracy(te)).first()[0]
+    long = term_counts(c.select("doc_id", "tokens"), F.col("tokens"))
+    got = {r.split: r.accuracy for r in md.naive_bayes_holdout(long, md.split_members(c, split), vocab.count()).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_narrowed_fit_is_the_fit_of_the_whole_vocabulary(spark):
+    v, vocab = md.term_vectors(_labelled(spark), "tokens")
+    train = v.where("doc_id < 6")
+    few, every = md.narrowed(train, v)
+    whole, small = md.logistic("l2", 1.0, 6).fit(train), md.logistic("l2", 1.0, 6).fit(few)
+    assert small.numFeatures < whole.numFeatures == vocab.count()
+    p = lambda m, x: [r[0] for r in m.transform(x).orderBy("doc_id").select(F.get(md.vector_to_array("probability"), 1)).collect()]
+    assert p(small, every) == pytest.approx(p(whole, v), abs=1e-9)
