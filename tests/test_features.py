@@ -112,3 +112,26 @@ def test_only_hot_terms_are_spread(spark):
     joined = ft.join_by_term(long, vocab, hot=20)
     ids = {r.term: r.term_id for r in vocab.collect()}
     assert sorted((r.doc_id, r.term_id) for r in joined.collect()) == sorted((d, ids[t]) for d, t, _ in rows)
+
+
+def test_pairs_of_a_document_in_parts_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ft, "PAIR_CELLS", 7)      # several parts a document
+    tokens = "aa bb aa cc bb bb dd aa ee".split()
+    ids = {t: i for i, t in enumerate(sorted(set(tokens)))}
+    places = [[p for p, x in enumerate(tokens) if x == t] for t in ids]
+    names = {i: t for t, i in ids.items()}
+    got = {}
+    for keys, values in ft.document_pairs(list(ids.values()), places, len(ids)):
+        for k, v in zip(keys.tolist(), values.tolist()):
+            pair = f"{names[k // len(ids)]}-{names[k % len(ids)]}"
+            assert pair not in got
+            got[pair] = v
+    assert got == _brute_pairs(tokens)
+
+
+def test_no_pair_of_a_document_is_shuffled(spark):
+    docs = spark.createDataFrame([(0, "ab cd ab"), (0, "cd"), (1, "ab cd"), (None, "ab ab")], "doc_id long, text string")
+    out = ft.cooccurrences(docs, "text", min_df=1, max_df=1.0)
+    assert "SortMergeJoin" not in _plan(out) and "hashpartitioning(doc_id" not in _plan(out)
+    # rows of one doc_id are one document: its places are those of both rows
+    assert sorted((r.doc_id, r.term, r.value) for r in out.collect()) == [(0, "ab-ab", 1), (0, "ab-cd", 1), (0, "cd-ab", 2), (0, "cd-cd", 1), (1, "ab-cd", 1)]
