@@ -129,8 +129,9 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                     keep.append(i)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    full = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"))
+    # by a shuffle at every size: few pairs would be broadcast, and the figures of small inputs would not tell those of large ones
+    full = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+            .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a"))
     return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
