@@ -183,3 +183,22 @@ def test_narrowed_fit_is_the_fit_of_the_whole_vocabulary(spark):
     assert small.numFeatures < whole.numFeatures == vocab.count()
     p = lambda m, x: [r[0] for r in m.transform(x).orderBy("doc_id").select(F.get(md.vector_to_array("probability"), 1)).collect()]
     assert p(small, every) == pytest.approx(p(whole, v), abs=1e-9)
+
+
+def test_weighted_vectors_make_their_tokens_once(spark):
+    from corpusflow.plans.models import _log_weights
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(d, t) for d, _, t in DOCS], "doc_id long, tokens array<string>")
+    v, vocab = md.term_vectors(rows.mapInArrow(counted, rows.schema), weight=_log_weights)
+    assert read.value == 3 * len(DOCS)      # for their number, for the counts, and for the documents themselves
+    df = {r["term"]: (r["term_id"], r["df"]) for r in vocab.collect()}
+    for r in v.collect():
+        toks = DOCS[r["doc_id"]][2]
+        want = {df[t][0]: toks.count(t) * math.log(len(DOCS) / df[t][1]) for t in set(toks)}
+        assert dict(zip(r["features"].indices.tolist(), r["features"].values.tolist())) == pytest.approx(want)
