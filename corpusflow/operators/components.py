@@ -2,9 +2,11 @@
 
 The matrix stays in the long form (doc_id, term, value) and is centred
 implicitly: with s = X q - mean, the next block is X' s, since the centred
-scores of a component sum to 0.  A round is two grouped sums, one per
-document and one per term; the driver holds matrices of ``columns`` rows and
-columns only.  No limit on terms or documents.
+scores of a component sum to 0.  Documents lie in blocks of bounded size.  In
+a round a block is given the rows of q of its own terms and returns its share
+of X' s, so that what is shuffled are a block's terms and not its entries; the
+driver holds matrices of ``columns`` rows and columns only.  No limit on terms
+or documents.
 """
 
 from __future__ import annotations
@@ -18,19 +20,53 @@ from ..sources.sinks import landed
 from .features import vocabulary_ids
 
 COLUMNS, ROUNDS, TOLERANCE = 24, 40, 1e-7
+BLOCK_ROWS = 8192   # documents of a block, about
+STEP = 1 << 16      # entries that are multiplied at a time
 
 
 def _kept(df: DataFrame) -> DataFrame:
     return landed(df, "components")
 
 
-def _sums(value, arrays: str, width: int):
-    return [F.sum(value * F.get(arrays, F.lit(i))).alias(f"s{i}") for i in range(width)]
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _array(width: int, less=None):
-    less = np.zeros(width) if less is None else less
-    return F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) - F.lit(float(less[i])) for i in range(width)])
+def sums_of(values: np.ndarray, at: np.ndarray, starts: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Row i: the sum of values x matrix[at] over the entries from ``starts[i]`` up to the next start; no row is without entries."""
+    out = np.empty((len(starts), matrix.shape[1]))
+    ends = np.append(starts[1:], len(values))
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + STEP, "right")))
+        part = slice(starts[low], ends[high - 1])
+        out[low:high] = np.add.reduceat(values[part, None] * matrix[at[part]], starts[low:high] - starts[low], axis=0)
+        low = high
+    return out
+
+
+class Block:
+    """A block's documents and the rows of q of its terms."""
+
+    def __init__(self, held: pa.Table, given: pa.Table):
+        names = given.column("term_id").to_numpy()
+        order = np.argsort(names)
+        lists = held.column("ids").combine_chunks()
+        self.names, self.q = names[order], _matrix(given.column("q"))[order]
+        self.at = np.searchsorted(self.names, lists.flatten().to_numpy())
+        self.values = held.column("values").combine_chunks().flatten().to_numpy()
+        lengths = lists.value_lengths().to_numpy()
+        self.docs, self.starts = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
+
+    def scores(self, mean: np.ndarray) -> np.ndarray:
+        return sums_of(self.values, self.at, self.starts, self.q) - mean
+
+    def back(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The block's terms and its share of X' s."""
+        order = np.argsort(self.at, kind="stable")
+        terms, starts = np.unique(self.at[order], return_index=True)
+        return self.names[terms], sums_of(self.values[order], self.docs[order], starts, s)
 
 
 def _products(df: DataFrame, columns: list[str]) -> np.ndarray:
@@ -50,18 +86,22 @@ def _products(df: DataFrame, columns: list[str]) -> np.ndarray:
     return g.reshape(int(len(g) ** 0.5), -1)
 
 
-def _times(df: DataFrame, key: str, column: str, by: np.ndarray, out: str) -> DataFrame:
-    """(key, out): the rows of an array column times a small matrix."""
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.array(list(x), pa.list_(pa.float64()))
+
+
+def _times(df: DataFrame, key: str, column: str, by: np.ndarray, out: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, out, *keep): the rows of an array column times a small matrix; ``keep``: array columns that stay."""
     def run(batches):
         for b in batches:
-            x = b.column(column).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, len(by)))
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(list(x @ by), pa.list_(pa.float64()))], names=[key, out])
+            x = _matrix(b.column(column)) if b.num_rows else np.zeros((0, len(by)))
+            yield pa.RecordBatch.from_arrays([b.column(key), _lists(x @ by), *[b.column(c) for c in keep]], names=[key, out, *keep])
 
-    return df.select(key, column).mapInArrow(run, f"{key} long, {out} array<double>")
+    return df.select(key, column, *keep).mapInArrow(run, ", ".join([f"{key} long", *[f"{c} array<double>" for c in (out, *keep)]]))
 
 
 def principal_components(long: DataFrame, docs: DataFrame, k: int = 2, columns: int = COLUMNS, rounds: int = ROUNDS,
-                         tolerance: float = TOLERANCE, seed: int = 0) -> tuple[DataFrame, DataFrame, list[float]]:
+                         tolerance: float = TOLERANCE, seed: int = 0, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, list[float]]:
     """(scores, loadings, variances): doc_id and its centred scores ``pc`` for
     every row of ``docs``, term and its loadings, and the variance (n - 1) of
     each component, largest first.  The loading of largest size (ties: the
@@ -70,33 +110,55 @@ def principal_components(long: DataFrame, docs: DataFrame, k: int = 2, columns:
     x = _kept(long.join(vocab, "term").groupBy("doc_id", "term_id").agg(F.sum(F.col("value").cast("double")).alias("value")))
     ids = docs.select("doc_id")
     n = ids.count()
-
-    def scored(q: DataFrame, width: int) -> DataFrame:
-        """doc_id and the centred scores of the rows that have terms, and the mean."""
-        raw = _kept(x.join(q, "term_id").groupBy("doc_id").agg(*_sums(F.col("value"), "q", width)))
-        mean = raw.agg(*[F.sum(f"s{i}") for i in range(width)]).first()
-        mean = np.array([float(m or 0.0) for m in mean]) / max(n, 1)
-        return raw, mean
-
-    def orthonormal(z: DataFrame, gram: np.ndarray) -> tuple[DataFrame, int]:
-        values, vectors = np.linalg.eigh(gram)
-        keep = values > max(values.max(initial=0.0), 0.0) * 1e-13
-        by = vectors[:, keep] / np.sqrt(values[keep])
-        return _kept(_times(z, "term_id", "z", by, "q")), int(keep.sum())
-
     start = vocab.select("term_id", F.array(*[F.randn(seed + i) for i in range(columns)]).alias("z"))
     # random numbers are drawn once: the copy is what both readings see
     z = _kept(start)
     if n < 2 or not z.head(1):
         return ids.select("doc_id", F.array().cast("array<double>").alias("pc")), vocab.select("term", F.array().cast("array<double>").alias("loadings")), []
-    q, width = orthonormal(z, _products(z, ["z"]))
+    value = F.coalesce("value", F.lit(0.0))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // block_rows)))
+    known = x.where(F.col("doc_id").isNotNull())
+    entries = F.sort_array(F.collect_list(F.struct("term_id", value.alias("value"))))
+    rows = _kept(known.groupBy("doc_id").agg(entries.alias("e")).select("doc_id", block.alias("block"), F.col("e.term_id").alias("ids"), F.col("e.value").alias("values")))
+    needs = _kept(known.select(block.alias("block"), "term_id").distinct())
+    # a term's sum over all documents; with q, the means of the scores
+    totals = x.groupBy("term_id").agg(F.array(F.sum(value)).alias("t"))
+
+    def blocks(q: DataFrame, run, schema: str) -> DataFrame:
+        given = needs.join(q.select("term_id", "q"), "term_id").select(F.col("block").alias("to"), "term_id", "q")
+        return rows.groupBy("block").cogroup(given.groupBy("to")).applyInArrow(run, schema)
+
+    def round_of(q: DataFrame, width: int, mean: np.ndarray) -> DataFrame:
+        """(term_id, z): X' s of the centred scores s of q."""
+        def share(held: pa.Table, given: pa.Table) -> pa.Table:
+            here = Block(held, given)
+            terms, z = here.back(here.scores(mean))
+            return pa.Table.from_arrays([pa.array(terms, pa.int64()), _lists(z)], names=["term_id", "z"])
+
+        sums = blocks(q, share, "term_id long, z array<double>").groupBy("term_id").agg(*[F.sum(F.get("z", F.lit(i))).alias(f"s{i}") for i in range(width)])
+        return sums.select("term_id", F.array(*[f"s{i}" for i in range(width)]).alias("z"))
+
+    def scored(q: DataFrame, mean: np.ndarray) -> DataFrame:
+        """(doc_id, pc): the centred scores of the rows that have terms."""
+        def run(held: pa.Table, given: pa.Table) -> pa.Table:
+            return pa.Table.from_arrays([held.column("doc_id"), _lists(Block(held, given).scores(mean))], names=["doc_id", "pc"])
+
+        return blocks(q, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pc array<double>")
+
+    def orthonormal(z: DataFrame, gram: np.ndarray, sums: np.ndarray) -> tuple[DataFrame, int, np.ndarray]:
+        """The orthonormal q of z, its width and the means of its scores; ``sums``: those of z's scores."""
+        values, vectors = np.linalg.eigh(gram)
+        keep = values > max(values.max(initial=0.0), 0.0) * 1e-13
+        by = vectors[:, keep] / np.sqrt(values[keep])
+        return _kept(_times(z, "term_id", "z", by, "q", ("t",))), int(keep.sum()), sums @ by / n
+
+    both = _kept(z.join(totals, "term_id"))
+    gram = _products(both, ["z", "t"])
+    q, width, mean = orthonormal(both, gram[:-1, :-1], gram[-1, :-1])
     for _ in range(rounds):
-        raw, mean = scored(q, width)
-        s = raw.select("doc_id", _array(width, mean).alias("s"))
-        z = x.join(s, "doc_id").groupBy("term_id").agg(*_sums(F.col("value"), "s", width)).select("term_id", _array(width).alias("z"))
-        both = _kept(q.join(z, "term_id"))
-        gram = _products(both, ["q", "z"])
-        inner, square = gram[:width, width:], gram[width:, width:]
+        both = _kept(q.join(round_of(q, width, mean), "term_id"))
+        gram = _products(both, ["q", "z", "t"])
+        inner, square, sums = gram[:width, width:-1], gram[width:-1, width:-1], gram[-1, width:-1]
         values, vectors = np.linalg.eigh((inner + inner.T) / 2)
         order = np.argsort(-values)[:k]
         values, vectors = values[order], vectors[:, order]
@@ -104,7 +166,7 @@ def principal_components(long: DataFrame, docs: DataFrame, k: int = 2, columns:
         rest = np.sqrt(np.maximum(0.0, np.einsum("ij,ik,kj->j", vectors, square, vectors) - values ** 2))
         if values.max(initial=0.0) <= 0 or (rest <= tolerance * values.max()).all():
             break
-        q, width = orthonormal(both.select("term_id", "z"), square)
+        q, width, mean = orthonormal(both, square, sums)
     real = values > values.max(initial=0.0) * 1e-12
     values, vectors = values[real], vectors[:, real]
     loadings = _kept(_times(q, "term_id", "q", vectors, "v"))
@@ -112,6 +174,8 @@ def principal_components(long: DataFrame, docs: DataFrame, k: int = 2, columns:
     first = loadings.agg(*[F.max_by(F.get("v", F.lit(i)), F.struct(F.abs(F.get("v", F.lit(i))), -F.col("term_id"))) for i in range(k)]).first() if k else []
     sign = np.diag([1.0 if v >= 0 else -1.0 for v in first]) if k else np.zeros((0, 0))
     loadings = _kept(_times(loadings, "term_id", "v", sign, "q"))
-    raw, mean = scored(loadings, k) if k else (x.select("doc_id").distinct(), np.zeros(0))
-    scores = ids.join(raw, "doc_id", "left").select("doc_id", _array(k, mean).cast("array<double>").alias("pc"))
+    mean = mean @ vectors @ sign
+    nothing = F.array(*[F.lit(float(-m)) for m in mean]).cast("array<double>")     # documents without terms
+    scores = ids.join(scored(loadings, mean), "doc_id", "left") if k else ids.withColumn("pc", F.lit(None))
+    scores = scores.select("doc_id", F.coalesce(F.col("pc").cast("array<double>"), nothing).alias("pc"))
     return scores, loadings.join(vocab, "term_id").select("term", F.col("q").alias("loadings")), [float(v) / (n - 1) for v in values]

@@ -135,3 +135,14 @@ def test_no_pair_of_a_document_is_shuffled(spark):
     assert "SortMergeJoin" not in _plan(out) and "hashpartitioning(doc_id" not in _plan(out)
     # rows of one doc_id are one document: its places are those of both rows
     assert sorted((r.doc_id, r.term, r.value) for r in out.collect()) == [(0, "ab-ab", 1), (0, "ab-cd", 1), (0, "cd-ab", 2), (0, "cd-cd", 1), (1, "ab-cd", 1)]
+
+
+def test_texts_are_tokenized_once(spark):
+    rows = [(0, "ab cd ab"), (1, ""), (2, None), (None, "ab"), (0, "cd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.regexp_extract_all("text", F.lit(r"\w{2}"), 0).alias("tokens"))
+    long = ft.term_counts(docs, F.col("tokens"))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.term, r.value) for r in long.collect()) == [(False, 0, "ab", 2), (False, 0, "cd", 2), (True, 0, "ab", 1)]
+    assert long._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    # null elements are terms, as of a plain explode
+    arrays = spark.createDataFrame([(0, ["x", None]), (1, [])], "doc_id long, a array<string>")
+    assert sorted((r.doc_id, r.term or "") for r in ft.exploded(arrays, F.col("a"), "doc_id").collect()) == [(0, ""), (0, "x")]
