@@ -90,3 +90,9 @@ def test_ensemble_has_all_replicates(spark, tables, monkeypatch):
     assert sum(seen) == pm.REPLICATES == 100 and len(r) == 45
     assert all(abs(x.p0 + x.p1 - 1) < 1e-12 and (x.pred == "high") == (x.p1 >= 0.5) for x in r)
 
+
+def test_self_training_has_the_bootstraps_sparsity(spark, tables):
+    r = {x.model: x for x in _query(spark, "I30", tables)}
+    assert set(r) == {"supervised", "self_trained", "bootstrap"}
+    assert 0 <= r["bootstrap"].sparsity < 1 and r["bootstrap"].accuracy > 0.6 and r["supervised"].sparsity is None
+
