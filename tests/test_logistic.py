@@ -96,3 +96,13 @@ def test_self_training_has_the_bootstraps_sparsity(spark, tables):
     assert set(r) == {"supervised", "self_trained", "bootstrap"}
     assert 0 <= r["bootstrap"].sparsity < 1 and r["bootstrap"].accuracy > 0.6 and r["supervised"].sparsity is None
 
+
+def test_confidence_compares_both_models_on_every_split(spark, tables, monkeypatch):
+    from corpusflow.plans import models as pm
+    assert pm.STUDY_REPLICATES == 200
+    monkeypatch.setattr(pm, "STUDY_REPLICATES", 5)  # a shorter test
+    r = _query(spark, "I31", tables)
+    assert {(x.split, x.model) for x in r} == {(s, m) for s in range(20) for m in ("logistic", "bootstrap")} and len(r) == 40
+    mean = {m: np.mean([x.mean_best_proba for x in r if x.model == m]) for m in ("logistic", "bootstrap")}
+    assert 0.5 < mean["bootstrap"] and mean["bootstrap"] != mean["logistic"]
+
