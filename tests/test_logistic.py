@@ -106,3 +106,13 @@ def test_confidence_compares_both_models_on_every_split(spark, tables, monkeypat
     mean = {m: np.mean([x.mean_best_proba for x in r if x.model == m]) for m in ("logistic", "bootstrap")}
     assert 0.5 < mean["bootstrap"] and mean["bootstrap"] != mean["logistic"]
 
+
+def test_score_bins_hold_both_models(spark, tables):
+    r = _query(spark, "I32", tables)
+    for model in ("logistic", "bootstrap"):
+        mine = [x for x in r if x.model == model]
+        tested = sum(x.n for x in mine if x.bin is not None)
+        assert sum(x.n for x in mine if x.grp in ("middle", "extreme")) == sum(x.n for x in mine if x.grp and x.grp[0] == "q") == tested == 14
+        assert len({x.log_loss for x in mine}) == 1
+    assert len({x.log_loss for x in r}) == 2
+
