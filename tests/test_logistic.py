@@ -116,3 +116,31 @@ def test_score_bins_hold_both_models(spark, tables):
         assert len({x.log_loss for x in mine}) == 1
     assert len({x.log_loss for x in r}) == 2
 
+
+def test_coefficient_study_has_all_parts(spark, tables):
+    r = _query(spark, "I33", tables)
+    by = {}
+    for x in r:
+        by.setdefault(x.kind, []).append(x)
+    assert set(by) == {"hist", "quantile", "var_hist", "var_quantile", "total", "extreme", "binned_hist", "daily", "weekly"}
+    assert len(by["total"]) == 10 and len(by["extreme"]) == 12 and len({x.term for x in by["daily"]}) == 12
+    n = {kind: sum(x.y for x in by[kind]) for kind in ("hist", "var_hist", "binned_hist")}
+    assert len(set(n.values())) == 1
+    counts = {}
+    for d, _, _, t in _rows(60):
+        t = t or ["w1", "w2"]
+        if d % 4:
+            for g in t + [f"{a} {b}" for a, b in zip(t, t[1:])]:
+                counts[g] = counts.get(g, 0) + 1
+    assert sorted((x.x for x in by["total"]), reverse=True) == sorted(counts.values(), reverse=True)[:10]
+    assert all(counts[x.term] == x.x for x in by["total"])
+
+
+def test_binned_variance_matches_numpy():
+    x = np.array([[1, 0, 2, 0, 0, 3], [0, 1, 1, 0, 4, 0]])    # terms, documents
+    bins = np.array([0, 0, 2, 2, 3, -1])
+    at, rows = np.nonzero(x)
+    got = lg.binned_variance((bins, np.bincount(bins[bins >= 0])), rows, at, x[at, rows].astype(float), np.searchsorted(at, [0, 1]))
+    means = [[t[bins == b].mean() for b in (0, 2, 3)] for t in x]
+    assert got["variance"] == pytest.approx(np.var(means, axis=1)) and got["total"].tolist() == [6, 6]
+
