@@ -144,3 +144,10 @@ def test_binned_variance_matches_numpy():
     means = [[t[bins == b].mean() for b in (0, 2, 3)] for t in x]
     assert got["variance"] == pytest.approx(np.var(means, axis=1)) and got["total"].tolist() == [6, 6]
 
+
+def test_convergence_over_replicates(spark, tables):
+    r = _query(spark, "E09", tables)
+    assert len({x.term_id for x in r}) <= 50 and {x.replicate for x in r} == set(range(10)) and len(r) == 10 * len({x.term_id for x in r})
+    one = sorted((x for x in r if x.term_id == r[0].term_id), key=lambda x: x.replicate)
+    coefs = np.diff([0] + [x.running_mean * (i + 1) for i, x in enumerate(one)])
+    assert one[-1].running_var == pytest.approx(np.var(coefs), abs=1e-9)
